@@ -24,28 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kenmap.llm.bpe import codec
+from kenmap.llm.shared import keep
 
 GROUP_ROWS = 60_000
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's checkpoint folder: later stages read it and survive lost executors."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="kenmap-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 class SumOfSquares:
     """The open sequences of one group."""
 

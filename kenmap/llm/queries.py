@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kenmap.llm import binary_output, bpe, packing, token_count
+from kenmap.llm import binary_output, bpe, imatch, packing, quality, sharding, token_count
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_rows(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -34,5 +38,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op4_token_counts, op6_binary_output, op7_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op4_token_counts, op5_quality_rules, op6_binary_output, op7_best_fit_packing, op8_imatch, op10_sharding)}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality.ORACLE_SQL}
