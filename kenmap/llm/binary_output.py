@@ -5,7 +5,9 @@ packed by best-fit decreasing: pieces in descending length, each into the fulles
 holds it.  A segment tree over capacities, which stores for each remaining capacity how many open sequences
 have it, finds that sequence in logarithmic time.  Documents longer than a sequence are split losslessly
 first.  Sequences leave the task as rows of one matrix: ids padded to the capacity, the cumulative segment
-lengths, and positions that restart at each piece.  No row is shuffled, so ids never cross the network.
+lengths, and positions that restart at each piece.  Ids and positions are binary rows of little-endian
+unsigned 16-bit numbers where the vocabulary and the capacity fit them, else of 32-bit numbers (column
+``item_bytes``), ready to be mapped as one matrix.  No row is shuffled, so ids never cross the network.
 
 Defined results: an empty document (or a null text) is its closing id alone; a document's pieces may lie in
 different sequences and are put together again by (doc_id, start); an empty table gives an empty table.
@@ -24,7 +26,7 @@ from kenmap.llm.bpe import codec
 
 BUFFER_PIECES = 20_000
 
-SCHEMA = "sequence_id string, n_tokens int, doc_ids array<long>, starts array<long>, cu_lengths array<int>, input_ids array<int>, position_ids array<int>"
+SCHEMA = "sequence_id string, n_tokens int, doc_ids array<long>, starts array<long>, cu_lengths array<int>, item_bytes int, input_ids binary, position_ids binary"
 
 
 class CapacityTree:
@@ -83,43 +85,45 @@ def packed_rows(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
     ``sequence_id`` is unique within one result (task number and count).
     """
 
-    def matrices(task: int, made: int, pieces: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    def matrices(task: int, made: int, pieces: list[tuple[int, int, np.ndarray]], kind: np.dtype) -> pa.RecordBatch:
         packed = best_fit_decreasing([len(p[2]) for p in pieces], capacity)
-        ids = np.full((len(packed), capacity), pad_id, np.int32)
-        places = np.zeros((len(packed), capacity), np.int32)
+        ids = np.full((len(packed), capacity), pad_id, kind)
+        places = np.zeros((len(packed), capacity), kind)
+        counting = np.arange(capacity, dtype=kind)
         cols: list[list] = [[], [], [], [], []]
         for row, members in enumerate(packed):
             ends = [0]
             for i in members:
                 part = pieces[i][2]
                 ids[row, ends[-1] : ends[-1] + len(part)] = part
-                places[row, ends[-1] : ends[-1] + len(part)] = np.arange(len(part))
+                places[row, ends[-1] : ends[-1] + len(part)] = counting[: len(part)]
                 ends.append(ends[-1] + len(part))
             for c, v in zip(cols, (f"{task}-{made + row}", ends[-1], [pieces[i][0] for i in members], [pieces[i][1] for i in members], ends)):
                 c.append(v)
-        edges = pa.array(np.arange(0, ids.size + 1, capacity, dtype=np.int32))
-        lists = [pa.ListArray.from_arrays(edges, pa.array(m.ravel())) for m in (ids, places)]
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), *lists], ["sequence_id", "n_tokens", "doc_ids", "starts", "cu_lengths", "input_ids", "position_ids"])
+        cols += [[kind.itemsize] * len(packed), [row.tobytes() for row in ids], [row.tobytes() for row in places]]
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary())
+        names = ["sequence_id", "n_tokens", "doc_ids", "starts", "cu_lengths", "item_bytes", "input_ids", "position_ids"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, task, made, pieces = codec(path), TaskContext.get().partitionId(), 0, []
+        own, task, made, pieces = codec(path, lookups=True), TaskContext.get().partitionId(), 0, []
+        kind = np.dtype("<u2" if max(own.tables.top, capacity) <= 2**16 else "<u4")
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array([*own.encode(text), closing_id], np.int32)
+                ids = np.append(np.frombuffer(own.encode_raw(text), "=u4"), np.uint32(closing_id)).astype(kind)
                 pieces += [(doc_id, at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
                 if len(pieces) >= buffer_pieces:
-                    for out in cut(task, made, pieces):
+                    for out in cut(task, made, pieces, kind):
                         made += out.num_rows
                         yield out
                     pieces = []
         if pieces:
-            yield from cut(task, made, pieces)
+            yield from cut(task, made, pieces, kind)
 
-    def cut(task: int, made: int, pieces: list) -> Iterator[pa.RecordBatch]:
-        whole = matrices(task, made, pieces)
+    def cut(task: int, made: int, pieces: list, kind: np.dtype) -> Iterator[pa.RecordBatch]:
+        whole = matrices(task, made, pieces, kind)
         for at in range(0, whole.num_rows, 512):
             yield whole.slice(at, 512)
 

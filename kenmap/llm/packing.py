@@ -18,8 +18,9 @@ its own; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import struct
+import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,16 +102,16 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
     """doc_id, piece, start, length, ids_crc32 of each document's ids (closed by ``closing_id``), cut where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own, closing, width = codec(path, lookups=True), struct.pack("=I", closing_id), 4 * capacity
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = array("I", own.encode(text))
-                ids.append(closing_id)
-                raw = np.asarray(ids, dtype="<u4")
-                for k, at in enumerate(range(0, len(raw), capacity)):
-                    part = raw[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part)))
+                raw = own.encode_raw(text) + closing
+                if sys.byteorder == "big":
+                    raw = np.frombuffer(raw, "=u4").astype("<u4").tobytes()
+                for k, at in enumerate(range(0, len(raw), width)):
+                    part = raw[at : at + width]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
