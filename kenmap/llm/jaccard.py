@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from kenmap.llm.shared import keep
 
 WIDTH = 5
-KEYS_PER_PART = 1_000_000
+KEYS_PER_PART = 3_000_000
 U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
@@ -277,17 +277,15 @@ def _rest_pairs(groups: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     def pairs(table: pa.Table) -> pa.Table:
         order = np.argsort(table["n"].to_numpy(), kind="stable")
         doc, comp, n = (table[c].to_numpy()[order] for c in ("doc_id", "component", "n"))
-        bits = [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
-        bits = [bits[i] for i in order]
+        raw = table["bits"].to_pylist()
+        size = min(map(len, raw))  # sizes within a key differ by little: one folding of the larger sketches suits all
+        bits = np.stack([fold(np.frombuffer(raw[i], np.uint8), size) for i in order]).view(U)
+        stops = np.searchsorted(n, n * 5 // 4, "right")  # sizes ascend
         out: list[tuple[int, int]] = []
         for i in range(len(doc) - 1):
-            stop = np.searchsorted(n, n[i] * 5 // 4, "right")  # sizes ascend from i
-            js = i + 1 + np.flatnonzero(comp[i + 1 : stop] != comp[i])
-            size = len(bits[i])
-            if len(js):
-                others = np.stack([fold(bits[j], size) for j in js])
-                apart = np.bitwise_count(others ^ bits[i]).sum(axis=1)
-                out += [(int(doc[i]), int(doc[j])) for j in js[9 * apart <= n[i] + n[js]]]
+            apart = np.bitwise_count(bits[i + 1 : stops[i]] ^ bits[i]).sum(axis=1)
+            js = i + 1 + np.flatnonzero((9 * apart <= n[i] + n[i + 1 : stops[i]]) & (comp[i + 1 : stops[i]] != comp[i]))
+            out += [(int(doc[i]), int(j)) for j in doc[js]]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     tokens = docs.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sketched, "doc_id long, n int, bits binary")
