@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kenmap.llm import binary_output, bpe, imatch, jaccard, packing, quality, sharding, token_count
+from kenmap.llm import binary_output, bpe, imatch, jaccard, packing, quality, sharding, token_count, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -50,5 +55,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op4_token_counts, op5_quality_rules, op6_binary_output, op7_best_fit_packing, op8_imatch, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_toxicity, op4_token_counts, op5_quality_rules, op6_binary_output, op7_best_fit_packing, op8_imatch, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality.ORACLE_SQL}
