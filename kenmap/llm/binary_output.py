@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kenmap.llm.bpe import codec
+from kenmap.llm.token_ids import SLICE, token_ids
 
 BUFFER_PIECES = 20_000
 
@@ -108,11 +108,11 @@ def packed_rows(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, task, made, pieces = codec(path, lookups=True), TaskContext.get().partitionId(), 0, []
-        kind = np.dtype("<u2" if max(own.tables.top, capacity) <= 2**16 else "<u4")
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(own.encode_raw(text), "=u4"), np.uint32(closing_id)).astype(kind)
+        own, task, made, pieces = token_ids(path), TaskContext.get().partitionId(), 0, []
+        kind = np.dtype("<u2" if max(own.top, capacity) <= 2**16 else "<u4")
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).to_pylist())):
+                ids = np.append(np.frombuffer(raw, "=u4"), np.uint32(closing_id)).astype(kind)
                 pieces += [(doc_id, at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
                 if len(pieces) >= buffer_pieces:
                     for out in cut(task, made, pieces, kind):

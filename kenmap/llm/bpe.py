@@ -22,7 +22,6 @@ import gc
 import hashlib
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -113,10 +112,6 @@ class BpeTables:
             self.automaton.add_word(form, (len(form), token))
         self.automaton.make_automaton()
         self.length = {token: len(form) for form, token in self.whole.items()}
-        #: Length of the longest token that begins with a symbol.
-        self.longest: dict[str, int] = {}
-        for form in self.whole:
-            self.longest[form[0]] = max(len(form), self.longest.get(form[0], 0))
         self.pairs: dict[int, bool] = {}
         self.top = max(self.names) + 1
         self.spines: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
@@ -220,44 +215,11 @@ class BpeTables:
         return tuple(out)
 
 
-    def encode_short(self, form: str) -> tuple[int, ...]:
-        """As ``encode_form``, for pieces of a few symbols: longest matches are looked up where they are needed, without the automaton."""
-        whole = self.whole
-        found = whole.get(form)
-        if found is not None:
-            return (found,)
-        size, longest, pairs, top = len(form), self.longest, self.pairs, self.top
-        out: list[int] = []
-        dead: set[int] = set()
-        at, last, reach = 0, -1, size
-        while at < size:
-            end = min(at + longest.get(form[at], 0), reach)
-            while end > at:
-                token = whole.get(form[at:end])
-                if token is not None and end not in dead:
-                    fits = last < 0 or pairs.get(last * top + token)
-                    if fits is None:
-                        fits = self.compatible(last, token)
-                    if fits:
-                        break
-                end -= 1
-            if end > at:
-                out.append(token)
-                last, at, reach = token, end, size
-            else:
-                dead.add(at)
-                reach = at - 1
-                at -= self.length[out.pop()]
-                last = out[-1] if out else -1
-        return tuple(out)
-
-
 class BpeCodec:
     """Encoder and decoder of one vocabulary file, equal to the tokenizers library without added special tokens."""
 
-    def __init__(self, path: str, lookups: bool = False) -> None:
-        """``lookups``: pieces of up to 24 symbols are encoded without the automaton, with the same result."""
-        self.path, self.lookups = path, lookups
+    def __init__(self, path: str) -> None:
+        self.path = path
         self.tables = BpeTables(path)
         self.letters = byte_alphabet()
         self.alphabet = {b: c for b, c in enumerate(self.letters)}
@@ -268,7 +230,6 @@ class BpeCodec:
         self.pieces_of = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN).findall
         self.piece_ids = Memo(self._encode_piece)
         self.chunk_ids = Memo(self._encode_chunk)
-        self.chunk_raw = Memo(lambda chunk: array("I", self._encode_chunk(chunk)).tobytes())
         top = max(self.tables.names) + 1
         self.offsets, blob = [0], bytearray()
         for i in range(top):
@@ -282,8 +243,7 @@ class BpeCodec:
         return "".join([self.letters[b] for b in piece.encode()])
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        form = self._mapped(piece) + (END if self.tables.suffixed else "")
-        return self.tables.encode_short(form) if self.lookups and len(form) <= 24 else self.tables.encode_form(form)
+        return self.tables.encode_form(self._mapped(piece) + (END if self.tables.suffixed else ""))
 
     def _pieces(self, text: str) -> Iterable[tuple[int, ...]]:
         if not text.isascii():
@@ -329,10 +289,6 @@ class BpeCodec:
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.chunk_ids.__getitem__, self.chunks(text)))) if text else []
 
-    def encode_raw(self, text: str | None) -> bytes:
-        """The ids as unsigned 32-bit numbers in the machine's byte order."""
-        return b"".join(map(self.chunk_raw.__getitem__, self.chunks(text))) if text else b""
-
     def decode(self, ids: Iterable[int]) -> str:
         """As the library decodes when the file names no decoder: the tokens' strings, joined by one space."""
         if self.spec_decoder is not None:
@@ -367,10 +323,10 @@ def byte_decode(string: str, letters: list[str]) -> str:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, lookups: bool = False) -> BpeCodec:
+def codec(path: str) -> BpeCodec:
     """One codec for each vocabulary and worker process."""
     gc.disable()  # a worker's memos hold no cycles, and walking them costs a fifth of the time
-    return BpeCodec(path, lookups)
+    return BpeCodec(path)
 
 
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kenmap.llm.bpe import codec
 from kenmap.llm.shared import keep
+from kenmap.llm.token_ids import SLICE, token_ids
 
 GROUP_ROWS = 60_000
 
@@ -102,11 +102,11 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
     """doc_id, piece, start, length, ids_crc32 of each document's ids (closed by ``closing_id``), cut where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, closing, width = codec(path, lookups=True), struct.pack("=I", closing_id), 4 * capacity
-        for b in batches:
+        own, closing, width = token_ids(path), struct.pack("=I", closing_id), 4 * capacity
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             rows: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = own.encode_raw(text) + closing
+            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).to_pylist())):
+                raw += closing
                 if sys.byteorder == "big":
                     raw = np.frombuffer(raw, "=u4").astype("<u4").tobytes()
                 for k, at in enumerate(range(0, len(raw), width)):
