@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kenmap.llm import binary_output, bpe, imatch, jaccard, packing, quality, sharding, token_count, toxicity
+from kenmap.llm import binary_output, bpe, imatch, jaccard, packing, pii, quality, sharding, token_count, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,9 +51,13 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_toxicity, op4_token_counts, op5_quality_rules, op6_binary_output, op7_best_fit_packing, op8_imatch, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_toxicity, op4_token_counts, op5_quality_rules, op6_binary_output, op7_best_fit_packing, op8_imatch, op9_pii, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality.ORACLE_SQL}
