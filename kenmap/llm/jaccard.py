@@ -11,9 +11,10 @@ a <= b <= 1.25 a, and this is what the join looks for:
   sends its first D + 1 filled words, in word order, as keys, for the band of every size that a partner of
   its own or smaller size may have.  In the bands up to 64 shingles each token is a word of its own.
 * Keys are dealt by hash, packed into one binary row for each batch and part, and matched by sorting in the part.
-* Documents that share a key are tried first against the smallest id of that key, and verified exactly on whole texts.
+* Documents that share a key are tried first against the smallest id of that key.  A pair goes on where its sizes and
+  its folded parity sketches (two to four bits a token) allow a link, and is verified exactly on whole texts.
   Where a key's documents are then still in several components, all pairs across components are tried
-  that their sizes and folded parity sketches allow, and verified.  So no link between components is lost,
+  that sizes and sketches allow, and verified.  So no link between components is lost,
   while copies of copies are never expanded into all pairs.
 * Links, and equal sets, are joined into components by alternating large-star and small-star steps.
 
@@ -135,7 +136,7 @@ def keys(tokens: np.ndarray) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity sketch of 2**m bits, m growing with the size: bit i is the parity of the tokens whose hash points to i."""
-    bits = 1 << min(14, max(6, math.ceil(math.log2(2 * len(tokens) + 1))))
+    bits = 1 << min(15, max(6, math.ceil(math.log2(2 * len(tokens) + 1))))
     odd = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
 
@@ -155,15 +156,16 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), same (digest of the set; null for an empty one)."""
+    """doc_id, n (size of the set), same (digest of the set; null for an empty one), bits (its parity sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary())], ["doc_id", "n", "same"])
+            bits = [sketch(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "same", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, same binary")
+    return docs.mapInArrow(run, "doc_id long, n long, same binary, bits binary")
 
 
 def _key_parts(docs: DataFrame, parts: int) -> DataFrame:
@@ -226,6 +228,22 @@ def _groups(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part").applyInArrow(run, "gid binary, members array<long>").dropDuplicates(["gid"])
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep_ = []
+            for x, n, y, m in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                size = min(len(x), len(y))
+                apart = np.bitwise_count(fold(np.frombuffer(x, np.uint8), size).view(U) ^ fold(np.frombuffer(y, np.uint8), size).view(U)).sum()
+                keep_.append(9 * int(apart) <= n + m and 5 * min(n, m) >= 4 * max(n, m))
+            yield b.select(["a", "b"]).filter(pa.array(keep_, pa.bool_()))
+
+    left = pairs.join(sketches.selectExpr("doc_id as a", "bits as x", "n as n"), "a")
+    return left.join(sketches.selectExpr("doc_id as b", "bits as y", "n as m"), "b").select("a", "b", "x", "n", "y", "m").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link, by the whole texts."""
 
@@ -263,17 +281,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _rest_pairs(groups: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+def _rest_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of one key in different components that sizes and sketches allow."""
     open_ = groups.select("gid", F.explode("members").alias("doc_id")).join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     wide = open_.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
     open_ = keep(open_.join(wide, "gid"))
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "bits"])
-
     def pairs(table: pa.Table) -> pa.Table:
         order = np.argsort(table["n"].to_numpy(), kind="stable")
         doc, comp, n = (table[c].to_numpy()[order] for c in ("doc_id", "component", "n"))
@@ -288,8 +301,7 @@ def _rest_pairs(groups: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
             out += [(int(doc[i]), int(j)) for j in doc[js]]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    tokens = docs.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sketched, "doc_id long, n int, bits binary")
-    return open_.join(tokens, "doc_id").groupBy("gid").applyInArrow(pairs, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+    return open_.join(sketches, "doc_id").groupBy("gid").applyInArrow(pairs, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
 def jaccard_join(df: DataFrame) -> DataFrame:
@@ -299,12 +311,13 @@ def jaccard_join(df: DataFrame) -> DataFrame:
     total = sizes.agg(F.sum("n")).first()[0] or 0
     groups = keep(_groups(_key_parts(docs, max(8, -(-2 * total // (5 * KEYS_PER_PART))))))
     known = docs.where("doc_id is not null")
+    sketches = sizes.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id", "same"]).select("doc_id", "n", "bits")
     stars = groups.select(F.expr("members[0] as a"), F.expr("explode(slice(members, 2, size(members) - 1)) as b")).distinct()
     equal = sizes.where("doc_id is not null and same is not null")
     first = equal.groupBy("same").agg(F.min("doc_id").alias("b"))
-    edges = equal.join(first, "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").union(_verified(stars, known))
+    edges = equal.join(first, "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").union(_verified(keep(_possible(stars, sketches)), known))
     found = components(edges)
-    rest = keep(_rest_pairs(groups, found, known))
+    rest = keep(_rest_pairs(groups, found, sketches))
     if not rest.isEmpty():
         found = components(found.withColumnsRenamed({"node": "a", "component": "b"}).union(_verified(rest, known)))
     placed = sizes.join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
