@@ -111,7 +111,7 @@ def packed_rows(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
         own, task, made, pieces = token_ids(path), TaskContext.get().partitionId(), 0, []
         kind = np.dtype("<u2" if max(own.top, capacity) <= 2**16 else "<u4")
         for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
-            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).to_pylist())):
+            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).cast(pa.binary()).to_pylist())):
                 ids = np.append(np.frombuffer(raw, "=u4"), np.uint32(closing_id)).astype(kind)
                 pieces += [(doc_id, at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
                 if len(pieces) >= buffer_pieces:

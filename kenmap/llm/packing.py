@@ -105,7 +105,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
         own, closing, width = token_ids(path), struct.pack("=I", closing_id), 4 * capacity
         for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             rows: list[tuple] = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).to_pylist())):
+            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).cast(pa.binary()).to_pylist())):
                 raw += closing
                 if sys.byteorder == "big":
                     raw = np.frombuffer(raw, "=u4").astype("<u4").tobytes()

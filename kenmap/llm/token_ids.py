@@ -13,9 +13,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from kenmap.llm.bpe import CACHE_CHARS, ENGINE_SPACE, SEPARATORS
-
 SLICE = 1000
+CHUNK_BYTES = 64
 ENTRIES = 400_000
 
 
@@ -25,26 +24,21 @@ class TokenIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.top = self.library.get_vocab_size(with_added_tokens=True)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         probe = self.library.encode("a  b\n c", add_special_tokens=False).ids
         if probe != [i for x in "abc" for i in self.library.encode(x, add_special_tokens=False).ids]:
             raise ValueError("this vocabulary's tokens hold white space")
 
-    def chunks(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return text.split() if SEPARATORS.search(text) is None else [x for x in ENGINE_SPACE.split(text) if x]
-
-    def raw(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit numbers in the machine's byte order; at most ``SLICE`` texts a call keep memory bounded."""
-        parts = [self.chunks(t) for t in texts]
-        wanted: set[str] = set()
+    def raw(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text as unsigned 32-bit numbers in the machine's byte order; at most ``SLICE`` texts a call keep memory bounded."""
+        parts = [t.split() if t else [] for t in texts]  # ASCII white space; other white space stays in a chunk, where the library finds it
+        wanted: set[bytes] = set()
         for p in parts:
             wanted.update(p)
         if len(self.young) > ENTRIES:
             self.young, self.old = {}, self.young
-        once: dict[str, bytes] = {}
+        once: dict[bytes, bytes] = {}
         new = []
         for chunk in wanted - self.young.keys():
             known = self.old.get(chunk)
@@ -53,13 +47,13 @@ class TokenIds:
             else:
                 self.young[chunk] = known
         if new:
-            encoded = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+            encoded = self.library.encode([c.decode() for c in new], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(encoded.ids, np.uint32).tobytes()
             words = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)
             ends = 4 * np.cumsum(np.bincount(words, minlength=len(new)))
             start = 0
             for chunk, end in zip(new, ends.tolist()):
-                (self.young if len(chunk) <= CACHE_CHARS else once)[chunk] = raw[start:end]
+                (self.young if len(chunk) <= CHUNK_BYTES else once)[chunk] = raw[start:end]
                 start = end
         if once:
             return [b"".join([once[c] if c in once else self.young[c] for c in p]) if not once.keys().isdisjoint(p) else b"".join(map(self.young.__getitem__, p)) for p in parts]
