@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kenmap.llm.shared import small_batches
 from kenmap.llm.token_ids import SLICE, token_ids
 
 BUFFER_PIECES = 20_000
@@ -127,6 +128,7 @@ def packed_rows(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
         for at in range(0, whole.num_rows, 512):
             yield whole.slice(at, 512)
 
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 

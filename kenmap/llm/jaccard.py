@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kenmap.llm.shared import keep
+from kenmap.llm.shared import keep, small_batches
 
 WIDTH = 5
 KEYS_PER_PART = 3_000_000
@@ -172,19 +172,21 @@ def _key_parts(docs: DataFrame, parts: int) -> DataFrame:
     """part, ids, counts, keys: for each batch and part the documents with keys there, how many each, and the keys (six bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                yield packed(whole.slice(at, 4000))
-
-    def packed(b: pa.RecordBatch) -> pa.RecordBatch:
         seen, ids, found = set(), [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            tokens = shingles(text)
-            if not len(tokens) or doc_id is None or (own := hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()) in seen:
-                continue  # equal sets are joined by their digests
-            seen.add(own)
-            ids.append(doc_id)
-            found.append(keys(tokens))
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens = shingles(text)
+                if not len(tokens) or doc_id is None or (own := hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()) in seen:
+                    continue  # equal sets are joined by their digests
+                seen.add(own)
+                ids.append(doc_id)
+                found.append(keys(tokens))
+            if len(ids) >= 6000:
+                yield packed(ids, found)
+                seen, ids, found = set(), [], []
+        yield packed(ids, found)
+
+    def packed(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
         rows: list[list] = [[], [], [], []]
         if ids:
             flat, owner = np.concatenate(found), np.repeat(np.arange(len(ids)), [len(k) for k in found])
@@ -306,6 +308,7 @@ def _rest_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame) -> Dat
 
 def jaccard_join(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``df`` (doc_id, text)."""
+    small_batches(df.sparkSession)
     docs = _documents(df)
     sizes = keep(_sizes(docs))
     total = sizes.agg(F.sum("n")).first()[0] or 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kenmap.llm.shared import keep
+from kenmap.llm.shared import keep, small_batches
 from kenmap.llm.token_ids import SLICE, token_ids
 
 GROUP_ROWS = 60_000
@@ -116,6 +116,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -17,3 +17,10 @@ def keep(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="kenmap-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let at most ``rows`` texts go to a Python worker at a time: whole texts are long, and both sides of the pipe hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
