@@ -1,8 +1,8 @@
 """I-Match fingerprints with DataFrame functions only.
 
 Terms are the lower-cased runs of letters and digits.  A first pass counts, over all documents, in how
-many each term occurs; terms are counted by a 20-bit hash, so the table of the terms whose inverse document
-frequency lies in the chosen band is a bitmap of 2**20 bits (128 KiB) whatever the vocabulary, which is the
+many each term occurs; terms are counted by a 17-bit hash, so the table of the terms whose inverse document
+frequency lies in the chosen band is a bitmap of 2**17 bits (16 KiB) whatever the vocabulary, which is the
 one thing that is broadcast.
 
 A document's fingerprint keeps its distinct terms in that band, sorts them, and hashes randomised lexicon
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kenmap.llm.shared import keep
 from kenmap.llm.sqltext import let
 
-BITS = 20
+BITS = 17
 LEVELS = 15
 #: The band: a term's documents, as a share of all; and the least number of them.
 MIN_SHARE, MAX_SHARE, MIN_DOCUMENTS = 0.00001, 0.01, 2
@@ -44,7 +44,7 @@ def _term_hashes(text: str) -> str:
 
 
 def band_bitmap(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """One row: ``band``, an array of 2**(BITS-6) longs with a bit for each 20-bit hash whose document frequency is in the band."""
+    """One row: ``band``, an array of 2**(BITS-6) longs with a bit for each 17-bit hash whose document frequency is in the band."""
     total = docs.count()
     low, high = max(min_documents, min_share * total), max(max_share * total, min_documents + 1)
     counted = docs.select(F.explode(F.expr(f"transform({_term_hashes('text')}, h -> cast(h & {2**BITS - 1} as int))")).alias("b")).groupBy("b").count().where(F.col("count").between(low, high))
@@ -101,7 +101,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``df``."""
     docs = df.select(F.expr(f"coalesce(cast(doc_id as bigint), {NULL_ID}L) as key"), F.expr("coalesce(text, '') as text"))
     band = F.broadcast(band_bitmap(docs)).withColumn("one", F.lit(1))
-    with_band = lambda d: d.withColumn("one", F.lit(1)).join(band, "one").drop("one")  # noqa: E731  one row of 128 KiB
+    with_band = lambda d: d.withColumn("one", F.lit(1)).join(band, "one").drop("one")  # noqa: E731  one row of 16 KiB
     # ``^ 0L`` hides where the keys come from: else a condition on them is pushed into one of the two reads of the texts, which then share no exchange.
     order = keep(next_documents(docs)).selectExpr("key ^ 0L as own", "next_key ^ 0L as next_key", "quarter")
     after = with_band(docs.join(order, docs["key"] == order["next_key"])).select("own", F.expr("substring(text, 1, quarter) as start"), F.expr(_codes("text")).alias("codes"))
