@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kenmap.operators import concentration, history, ownership, people, risk, rules
 from kenmap.params import Params
 from kenmap.plans.engine import Engine, Operator, statement
+from kenmap.plans.schemas import SCHEMAS
 from kenmap.sources import adapter
 
 OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (history, ownership, concentration, rules, risk, people) for n, (doc, sql) in module.SQL.items()}
@@ -26,15 +27,19 @@ def engine(spark: SparkSession, sf_dir: str, params: Params = Params()) -> Engin
     return Engine(spark, adapter.OPERATORS | OPERATORS, {}, params)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits (engines differ in the last bit of ``power`` and of sums), time stamps as text."""
-    kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, ROUND).alias(c) if k == "double" else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if k.startswith("timestamp") else F.col(c) for c, k in kinds.items()])
+def _columns(name: str) -> list[tuple[str, str]]:
+    return [tuple(c.split(" ")) for c in SCHEMAS[name].split(", ")]
+
+
+def rounded(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a report in their published form: doubles to six digits (engines differ in the last bit of ``power`` and of sums), whole numbers as bigint, time stamps as text."""
+    form = {"double": lambda c: F.round(c, ROUND), "bigint": lambda c: F.col(c).cast("bigint"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
+    return df.select(*[form.get(k, F.col)(c).alias(c) for c, k in _columns(name)])
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(engine(spark, sf_dir).table(name))
+        return rounded(engine(spark, sf_dir).table(name), name)
 
     run.__name__, run.__doc__ = name, OPERATORS[name].doc
     return run
@@ -44,9 +49,10 @@ QUERIES = {name: _query(name) for name in OPERATORS if name not in STEPS}
 
 
 def oracle(name: str) -> str:
-    """The statement of an operator for DuckDB, with the rounding of ``rounded``."""
+    """The statement of an operator for DuckDB, in the form of ``rounded``."""
+    form = {"double": "round({0}, 6) AS {0}", "bigint": "CAST({0} AS BIGINT) AS {0}", "timestamp": "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"}
     text = statement(adapter.OPERATORS | OPERATORS, name, Params())
-    return text
+    return text[: text.rindex("SELECT * FROM")] + "SELECT " + ", ".join(form.get(k, "{0}").format(c) for c, k in _columns(name)) + f" FROM {name}"
 
 
 ORACLES = {name: oracle(name) for name in QUERIES}
