@@ -35,13 +35,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kenmap.llm.shared import keep, small_batches
 
 WIDTH = 5
-KEYS_PER_PART = 3_000_000
+KEYS_PER_PART = 1_500_000
 U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
@@ -208,16 +209,18 @@ def _groups(parts: DataFrame) -> DataFrame:
     """gid, members: the sorted documents of each key that several have, each set of documents once."""
 
     def run(table: pa.Table) -> pa.Table:
-        who, what = [], []
-        for ids, counts, raw in zip(*(table[c].to_pylist() for c in ("ids", "counts", "keys"))):
-            who.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)))
-            six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
-            what.append(wide.view(U).ravel())
-        owner, key = np.concatenate(who), np.concatenate(what)
-        order = np.lexsort((owner, key))
-        owner, key = owner[order], key[order]
+        size = pc.sum(pc.binary_length(table["keys"])).as_py() // 6
+        owner, key, at = np.empty(size, np.int64), np.zeros(size, U), 0
+        for row in range(table.num_rows):
+            ids, counts, raw = (table[c][row].as_py() for c in ("ids", "counts", "keys"))
+            stop = at + len(raw) // 6
+            owner[at:stop] = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32))
+            key[at:stop].view(np.uint8).reshape(-1, 8)[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+            at = stop
+        order = np.argsort(key)
+        key = key[order]
+        owner = owner[order]
+        del order
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         wide = np.flatnonzero(np.diff(edges) > 1)
         out = {}

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kenmap.llm.bpe import Memo
 from kenmap.llm.jaccard import shingles
-from kenmap.llm.shared import keep
+from kenmap.llm.shared import keep, small_batches
 
 SAMPLE = 20_000
 MAX_TERMS = 50_000
@@ -60,7 +60,7 @@ class Model:
     bias: float = -60.0
 
     def __post_init__(self) -> None:
-        self.memo = Memo(lambda chunk: self.terms.get(chunk.strip(MARKS), 0.0))
+        self.memo = Memo(lambda chunk: self.terms.get(chunk.strip(MARKS), 0.0), 50_000)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
@@ -123,6 +123,7 @@ def _sample(labels: DataFrame, per_label: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
     """The model from the labelled rows of ``docs`` that are not held out."""
+    small_batches(docs.sparkSession)
     chosen = F.broadcast(_sample(labels, per_label))  # at most 2 x per_label pairs of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic")
 
