@@ -22,12 +22,13 @@ SQL = {
           power(0.5e0, greatest(0e0, @days(TIMESTAMP :as_of, q.last_commit)) / q.half_life) AS recency,
           CASE WHEN q.most > 0 THEN least(1e0, q.credit / (q.most + :frequency_prior)) ELSE 0e0 END AS frequency,
           CASE WHEN bp.path IS NOT NULL THEN q.blame_raw END AS blame,
-          coalesce(least(1e0, r.share), 0e0) AS review,
+          CASE WHEN rc.n > 0 THEN least(1e0, coalesce(r.share, 0e0)) END AS review,
           CASE WHEN bp.path IS NOT NULL THEN s.ratio END AS survival
         FROM (
-          SELECT *, coalesce(least(greatest(cadence_days, :half_life_floor), :half_life_ceiling), :half_life) AS half_life,
+          SELECT *, CASE WHEN cadence_days IS NULL THEN :half_life ELSE least(greatest(cadence_days, :half_life_floor), :half_life_ceiling) END AS half_life,
             max(credit) OVER (PARTITION BY path) AS most, max(last_commit) OVER (PARTITION BY path) AS path_last
           FROM {qualified}) AS q
+        CROSS JOIN (SELECT count(*) AS n FROM {review_counts}) AS rc
         LEFT JOIN (SELECT DISTINCT path FROM {blame_lines}) AS bp ON q.path = bp.path
         LEFT JOIN {review_share} AS r ON q.path = r.path AND q.author = r.author
         LEFT JOIN {survival} AS s ON q.path = s.path AND q.author = s.author"""),
