@@ -10,7 +10,7 @@ must be.  Once all splitters stand, rows are exchanged once, to (shard, part of
 
 What reaches the driver is one number for each candidate boundary: at most (shards - 1) x ``PROBES`` rows a round.
 
-Defined results: a null text counts 16 bytes and is ordered as the empty text; a null doc_id comes first
+Defined results: a null text counts 16 bytes and is ordered as the empty text; doc_ids lie within 2**62 of zero; a null doc_id comes first
 among equal texts; rows with the same text and doc_id are not told apart by a splitter, and get slots of their own;
 an empty table gives an empty result; extra columns are not read.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from kenmap.llm.shared import keep
 
 PROBES = 256
+NO_ID = -(2**62)
 TOP = 2**63 - 1
 PART_ROWS = 100_000
 
@@ -55,7 +56,7 @@ def _sizes(df: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.expr(f"xxhash64(coalesce(text, '')) & {TOP}L").alias("h"),
-        F.expr(f"coalesce(cast(doc_id as bigint), {-TOP}L)").alias("id"),
+        F.expr(f"coalesce(cast(doc_id as bigint), {NO_ID}L)").alias("id"),
     )
 
 
@@ -122,5 +123,5 @@ def write_shards(df: DataFrame, target: str, shards: int = 40, tolerance: float
     splitters = find_splitters(keep(_sizes(df)), shards, tolerance)
     names = {"h": "__h", "id": "__id"}
     place = _shard_of(splitters).replace("h ", f"{names['h']} ").replace("id >=", f"{names['id']} >=")
-    keyed = df.withColumns({names["h"]: F.expr(f"xxhash64(coalesce(text, '')) & {TOP}L"), names["id"]: F.expr(f"coalesce(cast(doc_id as bigint), {-TOP}L)")})
+    keyed = df.withColumns({names["h"]: F.expr(f"xxhash64(coalesce(text, '')) & {TOP}L"), names["id"]: F.expr(f"coalesce(cast(doc_id as bigint), {NO_ID}L)")})
     keyed.withColumn("shard", F.expr(place)).drop(*names.values()).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8).cast("long"))).write.mode("overwrite").partitionBy("shard").parquet(target)
