@@ -18,7 +18,6 @@ empty string; rows are never merged, so repeated rows give repeated results; ext
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import unicodedata
@@ -42,7 +41,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and signs that every Unicode version knows.
 KNOWN = frozenset(map(chr, range(0x180)))
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 64
 
 
@@ -325,7 +324,6 @@ def byte_decode(string: str, letters: list[str]) -> str:
 @lru_cache(maxsize=4)
 def codec(path: str) -> BpeCodec:
     """One codec for each vocabulary and worker process."""
-    gc.disable()  # a worker's memos hold no cycles, and walking them costs a fifth of the time
     return BpeCodec(path)
 
 

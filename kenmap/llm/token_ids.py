@@ -7,7 +7,6 @@ Chunks that are new in a slice of documents go to the library together, as one p
 
 from __future__ import annotations
 
-import gc
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +14,7 @@ from tokenizers import Tokenizer
 
 SLICE = 1000
 CHUNK_BYTES = 64
-ENTRIES = 400_000
+ENTRIES = 200_000
 
 
 class TokenIds:
@@ -63,5 +62,4 @@ class TokenIds:
 @lru_cache(maxsize=2)
 def token_ids(path: str) -> TokenIds:
     """One for each vocabulary and worker process."""
-    gc.disable()  # the memo holds no cycles, and walking it costs time
     return TokenIds(path)
