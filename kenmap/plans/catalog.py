@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.operators import concentration, history, ownership, people, risk, rules
+from kenmap.operators import concentration, history, ownership, people, policy, risk, rules
 from kenmap.params import Params
 from kenmap.plans.engine import Engine, Operator, statement
 from kenmap.plans.schemas import SCHEMAS
 from kenmap.sources import adapter
 
-OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (history, ownership, concentration, rules, risk, people) for n, (doc, sql) in module.SQL.items()}
+OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (history, ownership, concentration, rules, risk, people, policy) for n, (doc, sql) in module.SQL.items()}
 
 #: Operators that are steps of others and no report of their own.
 STEPS = {"gaps", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs"}

@@ -102,15 +102,23 @@ class Engine:
     operators: Mapping[str, Operator]
     facts: dict[str, DataFrame]
     params: Params = field(default_factory=Params)
+    #: Small results that many reports read: kept in memory or on disk, and computed again where an executor is lost.
+    pinned: frozenset[str] = frozenset({"scored", "rule_matches", "findings"})
 
     def table(self, name: str) -> DataFrame:
         if name not in self.facts:
             op = self.operators[name]
             sql = with_params(in_dialect(op.sql, 0), self.params)
             plain = _BRACES.sub(lambda m: m[0] if m[1] else 2 * m[0], sql)  # other braces are ordinary text
-            self.facts[name] = self.spark.sql(plain, **{i: self.table(i) for i in op.inputs})
+            made = self.spark.sql(plain, **{i: self.table(i) for i in op.inputs})
+            self.facts[name] = made.persist() if name in self.pinned else made
         return self.facts[name]
 
+    def release(self) -> None:
+        """Let go of what is kept."""
+        for name in self.pinned & self.facts.keys():
+            self.facts[name].unpersist()
+
 
 def statement(operators: Mapping[str, Operator], name: str, params: Params, which: int = 1) -> str:
     """One statement for ``name``: its inputs as common table expressions; what is no operator is a table of the database."""

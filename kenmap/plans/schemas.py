@@ -101,4 +101,30 @@ SCHEMAS: dict[str, str] = {
     "orphan_groups": "dir string, paths bigint",
     "mentors": "author string, paths bigint, commits bigint",
     "onboarding": "path string, step bigint, qualified_owners bigint, primary_owner string",
+    "mass_commits": "sha bigint, modified bigint",
+    "rename_commits": "sha bigint, renames bigint, similarity bigint",
+    "lineage_confidence": "path string, author string, score double, quality double",
+    "security_findings": "path string, problems bigint",
+    "invalid_rules": "line_no bigint, pattern string, problem string",
+    "blocking_findings": "rule string, path string",
+    "expired_suppressions": "rule string, path string",
+    "shadowed_generated": "line_no bigint, hidden_line bigint, paths bigint",
+    "match_chain": "path string, line_no bigint, step bigint",
+    "explanation": "author string, score double, recency double, frequency double, blame double, review double, survival double, status string, paths bigint",
+    "why_not": "author string, paths bigint, below_threshold bigint, beyond_top bigint, best double",
+    "outside_window": "author string, last_commit timestamp",
+    "assessment": "path string, verdict string",
+    "layers": "top string, observed string, declared string",
+    "merged_owners": "path string, handle string, score double, commits bigint, last_commit timestamp, quality double, merged bigint",
+    "without_person": "path string, owners bigint, top_score double",
+    "private_owners": "path string, person string, score double",
+    "redacted_subjects": "sha bigint, subject string",
+    "completeness": "completeness double, gaps bigint",
+    "reviewer_suggestions": "author string, score double, covered bigint, last_commit timestamp, overloaded bigint",
+    "waiting_reviews": "reviewer string, waiting bigint",
+    "first_response": "number bigint, hours double",
+    "stale_declared": "path string, owner string, status string",
+    "solo_repository": "people bigint, solo boolean",
+    "single_owner_paths": "path string, has_backup bigint",
+    "team_status": "line_no bigint, slug string, paths bigint",
 }

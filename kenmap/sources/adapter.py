@@ -57,5 +57,10 @@ FACTS: dict[str, str] = {
     "identities": "SELECT s_name AS identity, CASE WHEN s_suppkey % 4 = 0 THEN @str(s_suppkey) || '+sup' || @str(s_suppkey % 40) || '@users.noreply.example.com' ELSE 'sup' || @str(s_suppkey % 40) || '@mail.example.com' END AS email, 'Name ' || @str(s_suppkey % 30) AS name FROM supplier",
 }
 
+FACTS |= {
+    "security": _values([(target_regex(p),) for p in ("Brand#1", "*/PROMO/*")], "rx"),
+    "roster": "SELECT n_name AS identity, '@handle' || @str(n_nationkey % 20) AS handle, n_nationkey % 3 <> 0 AS certain FROM nation",
+    "moves": f"SELECT p.p_partkey AS sha, 60 + p.p_size % 40 AS similarity, p.p_type || '/' || p.p_name AS old_path, {_PATH} AS path FROM part AS p WHERE p.p_partkey % 10 = 0",
+}
 OPERATORS = {name: Operator(name, sql, "Fact table from the star schema.") for name, sql in FACTS.items()}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
