@@ -9,6 +9,7 @@ inputs as one self-contained statement, for any other SQL engine that is to chec
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 
@@ -94,6 +95,14 @@ def with_params(sql: str, params: Params) -> str:
     return _PARAM.sub(lambda m: _literal(known[m[1]]) if m[1] in known else m[0], sql)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` in the cluster's checkpoint folder (one of our own where none is set)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kenmap-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 @dataclass
 class Engine:
     """Operators over the fact tables ``facts`` (name: DataFrame)."""
@@ -102,8 +111,8 @@ class Engine:
     operators: Mapping[str, Operator]
     facts: dict[str, DataFrame]
     params: Params = field(default_factory=Params)
-    #: Small results that many reports read: kept in memory or on disk, and computed again where an executor is lost.
-    pinned: frozenset[str] = frozenset({"scored", "rule_matches", "findings"})
+    #: Owner-level results that many steps of one report read: written once to the checkpoint folder, which also keeps the plans above them small.
+    pinned: frozenset[str] = frozenset({"scored", "winners", "drift", "findings"})
 
     def table(self, name: str) -> DataFrame:
         if name not in self.facts:
@@ -111,14 +120,9 @@ class Engine:
             sql = with_params(in_dialect(op.sql, 0), self.params)
             plain = _BRACES.sub(lambda m: m[0] if m[1] else 2 * m[0], sql)  # other braces are ordinary text
             made = self.spark.sql(plain, **{i: self.table(i) for i in op.inputs})
-            self.facts[name] = made.persist() if name in self.pinned else made
+            self.facts[name] = kept(made) if name in self.pinned else made
         return self.facts[name]
 
-    def release(self) -> None:
-        """Let go of what is kept."""
-        for name in self.pinned & self.facts.keys():
-            self.facts[name].unpersist()
-
 
 def statement(operators: Mapping[str, Operator], name: str, params: Params, which: int = 1) -> str:
     """One statement for ``name``: its inputs as common table expressions; what is no operator is a table of the database."""
