@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 SLICE = 1000
 CHUNK_BYTES = 64
-ENTRIES = 200_000
+ENTRIES = 350_000
 
 
 class TokenIds:
@@ -48,8 +48,7 @@ class TokenIds:
         if new:
             encoded = self.library.encode([c.decode() for c in new], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(encoded.ids, np.uint32).tobytes()
-            words = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)
-            ends = 4 * np.cumsum(np.bincount(words, minlength=len(new)))
+            ends = 4 * np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(new)))
             start = 0
             for chunk, end in zip(new, ends.tolist()):
                 (self.young if len(chunk) <= CHUNK_BYTES else once)[chunk] = raw[start:end]
