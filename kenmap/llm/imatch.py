@@ -94,7 +94,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
     placed = sizes.withColumn("bucket", F.expr(f"if(key < {start}L, -1L, (key - {start}L) div {width}L)"))
     heads = placed.groupBy("bucket").agg(F.min("key").alias("head")).selectExpr("bucket", f"coalesce(lead(head) over (order by bucket), {least}L) as head")
     within = placed.withColumn("after", F.expr("lead(key) over (partition by bucket order by key)"))
-    return within.join(F.broadcast(heads), "bucket").selectExpr("key", "coalesce(after, head) as next_key", "cast(floor(n / 4) as int) as quarter")
+    return within.join(heads, "bucket").selectExpr("key", "coalesce(after, head) as next_key", "cast(floor(n / 4) as int) as quarter")
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
