@@ -49,7 +49,7 @@ def coauthors(commits: DataFrame) -> DataFrame:
 def credits(commits: DataFrame, trailers: DataFrame, mailmap: DataFrame) -> DataFrame:
     """sha, author, ts for the author and each co-author of a commit, addresses canonical, nobody twice."""
     everyone = commits.select("sha", "author", "ts").unionByName(trailers.join(commits.select("sha", "ts"), "sha").select("sha", F.lower("email").alias("author"), "ts"))
-    mapped = everyone.join(F.broadcast(mailmap.select(F.lower("raw_email").alias("author"), "canonical")), "author", "left") if mailmap is not None else everyone.withColumn("canonical", F.lit(None).cast("string"))
+    mapped = everyone.join(mailmap.select(F.lower("raw_email").alias("author"), "canonical"), "author", "left") if mailmap is not None else everyone.withColumn("canonical", F.lit(None).cast("string"))
     return mapped.select("sha", F.coalesce("canonical", "author").alias("author"), "ts").dropDuplicates(["sha", "author"])
 
 
