@@ -7,6 +7,7 @@ Chunks that are new in a slice of documents go to the library together, as one p
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,14 @@ class TokenIds:
             raise ValueError("this vocabulary's tokens hold white space")
 
     def raw(self, texts: list[bytes | None]) -> list[bytes]:
+        """As ``_raw``, without walks of the garbage collector over the memo meanwhile."""
+        gc.disable()
+        try:
+            return self._raw(texts)
+        finally:
+            gc.enable()
+
+    def _raw(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text as unsigned 32-bit numbers in the machine's byte order; at most ``SLICE`` texts a call keep memory bounded."""
         parts = [t.split() if t else [] for t in texts]  # ASCII white space; other white space stays in a chunk, where the library finds it
         wanted: set[bytes] = set()
