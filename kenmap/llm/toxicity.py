@@ -3,7 +3,9 @@
 Model, learnt from a bounded sample of labelled documents (``SAMPLE`` of each label, chosen by a hash of
 doc_id; of copies and near copies, told by the least hash of their shingles, one): a term's score is the lower confidence bound of its log-odds between
 toxic and other documents under an informative Dirichlet prior (the prior of a term is its share of all
-documents).  A token that is no term scores the log-odds of such tokens, a little below zero.
+documents).  Terms are whole words and word beginnings of ``STEMS`` characters (written with a star), because in
+languages with many word forms a label shows in a stem whose single forms are rare.  Of several terms that fit
+a token the largest bound counts.  A token that is no term scores the log-odds of such tokens, a little below zero.
 
 Scan: a linear pass over a document's token scores finds all maximal scoring segments, each of which no
 extension or cut improves (only tokens above zero can start one, so the pass steps from term to term).
@@ -45,9 +47,15 @@ MIN_Z = 3.0
 FAMILY = 3.0
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
+STEMS = range(4, 9)
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "…“”‘’«»¡¿–—"
 
 
+def fitting(word: str) -> list[str]:
+    """The terms that a word (without marks around it, so no word ends in a star) can be."""
+    return [word, *(word[:k] + "*" for k in STEMS if k <= len(word))] if word else []
+
+
 @dataclass
 class Model:
     """Terms and their scores, and the calibration; ``other`` is what any other token scores."""
@@ -60,7 +68,11 @@ class Model:
     bias: float = -60.0
 
     def __post_init__(self) -> None:
-        self.memo = Memo(lambda chunk: self.terms.get(chunk.strip(MARKS), 0.0), 50_000)
+        self.memo = Memo(lambda chunk: self.terms.get(self.term(chunk), 0.0), 50_000)
+
+    def term(self, chunk: str) -> str | None:
+        """The term that counts for a token."""
+        return max((t for t in fitting(chunk.strip(MARKS)) if t in self.terms), key=self.terms.__getitem__, default=None)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
@@ -137,33 +149,31 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        uses: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [w for w in (x.strip(MARKS) for x in text.lower().split()) if w]
-                uses[label].update(words)
-                seen[label].update(set(words))
-        rows = [(w, seen[1][w], seen[0][w], uses[1][w], uses[0][w]) for w in uses[0].keys() | uses[1].keys()]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["term", "n1", "n0", "u1", "u0"])
+                seen[label].update({t for w in {x.strip(MARKS) for x in text.lower().split()} for t in fitting(w)})
+        rows = [(t, seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys()]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["term", "n1", "n0"])
 
     totals = dict(sample.groupBy("toxic").count().collect())
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model()
-    terms = keep(sample.mapInArrow(count, "term string, n1 long, n0 long, u1 long, u0 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "u1", "u0"))))
-    all1, all0 = terms.agg(F.sum("u1"), F.sum("u0")).first()
+    terms = keep(sample.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
     prior = 10.0
-    odds = lambda n, size: f"ln(({n} + a) / ({size + prior} - {n} - a))"
+    odds = lambda n, size: f"ln(({n} + a) / greatest({size + prior} - {n} - a, 1e-9))"  # noqa: E731  a term of every document tells nothing (its ratio is 0)
     scored = terms.withColumn("a", F.expr(f"{prior} * (n1 + n0) / {n1 + n0}")).selectExpr("*", f"{odds('n1', n1)} - {odds('n0', n0)} as odds", "sqrt(1 / (n1 + a) + 1 / (n0 + a)) as error", f"2 * n1 * ln(n1 * {n1 + n0} / ({n1} * (n1 + n0))) as ratio")
     least = FAMILY * math.log(max(2, terms.count()))
     best = scored.where(f"odds > {MIN_Z} * error and odds - 1.96 * error >= 1 and ratio >= {least}").orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
     if not best:
         return Model()
     term_scores = {r["term"]: r["odds"] - 1.96 * r["error"] for r in best}
-    share1, share0 = sum(r["u1"] for r in best) / all1, sum(r["u0"] for r in best) / all0
-    other = min(-0.001, math.log((1 - share1 + 1e-9) / (1 - share0 + 1e-9)))
-    model = Model(term_scores, other, _rate([(r["odds"] - 1.96 * r["error"], (r["u0"] + 0.5) / (all0 + 1)) for r in best], other))
+    uses = {r["term"]: (r["u1"], r["u0"]) for r in _uses(sample, Model(term_scores)).collect()}  # at most one row a term
+    all1, all0 = (max(1, sum(u[k] for u in uses.values())) for k in (0, 1))
+    none1, none0 = uses.get(None, (0, 0))
+    other = min(-0.001, math.log((none1 / all1 + 1e-9) / (none0 / all0 + 1e-9)))
+    model = Model(term_scores, other, _rate([(s, (uses.get(t, (0, 0))[1] + 0.5) / (all0 + 1)) for t, s in term_scores.items() if t in uses], other))
     seen = _best_segments(sample, model).collect()  # three numbers a document of the sample
     quiet = [(r["tokens"], r["best"]) for r in seen if not r["toxic"]]
     model.size = len(quiet) / max(1e-9, sum(max(n, 1) * math.exp(-model.rate * s) for n, s in quiet))
@@ -171,6 +181,21 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
     return model
 
 
+def _uses(sample: DataFrame, model: Model) -> DataFrame:
+    """term (null: none), u1, u0: tokens of toxic and of other documents for which the term counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        term_of = Memo(model.term, 50_000)
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens[label].update(map(term_of.__getitem__, (x for x in text.lower().split() if x.strip(MARKS))))
+        terms = list(tokens[0].keys() | tokens[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([tokens[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "u1", "u0"])
+
+    return sample.mapInArrow(run, "term string, u1 long, u0 long").groupBy("term").agg(F.sum("u1").alias("u1"), F.sum("u0").alias("u0"))
+
+
 def _rate(scores: list[tuple[float, float]], other: float) -> float:
     """The positive solution x of the sum of p exp(x s) = 1 over token scores s with their shares p in other text."""
     rest = 1 - sum(p for _, p in scores)

@@ -150,6 +150,16 @@ def test_toxicity_learns_scores_and_filters(spark):
     assert toxicity.score(docs, toxicity.train(docs, marks.where("toxic = 0"))).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_toxicity_learns_stems_of_rare_word_forms(spark):
+    rng = random.Random(5)
+    end = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(i, " ".join([*("word" + rng.choice("abcdefgh") for _ in range(60)), *(("bomente" if i % 4 == 0 else "") + end() for _ in range(3))])) for i in range(400)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "bomente*" in model.terms
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in toxicity.score(docs, model).collect())
+
+
 def test_maximal_segments_equal_brute_force():
     rng = random.Random(2)
     for _ in range(300):
