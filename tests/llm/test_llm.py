@@ -292,6 +292,15 @@ def test_disclosing_terms_are_found_and_generalised(spark):
     assert pii.sanitise(awkward(spark)).count() == len(AWKWARD) + 2
 
 
+def test_disclosing_terms_are_counted_one_by_one(spark):
+    # Other words whose hashes end in the same 20 bits stand for a table so large that any 20 bits are shared.
+    same = spark.range(2**24).selectExpr("concat('zz', lower(translate(hex(id), '0123456789', 'ghijklmnop'))) as w").where(f"(xxhash64(w) ^ xxhash64('kowalczyk')) & {2**20 - 1} = 0")
+    rows = [(i, f"note {i} by Kowalczyk jk@mail.example.org sent today") for i in range(6)] + [(100 + i, f"note {i} by {r['w']} sent today") for i, r in enumerate(same.collect())]
+    assert len(rows) > 12
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(table(spark, rows)).collect()}
+    assert all("term:" in spans[i] for i in range(6)) and not any(s for i, s in spans.items() if i >= 100)
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rng = random.Random(9)
     rows = [(i, "hot text" * 20 if i % 3 == 0 else "t" * rng.randint(0, 300)) for i in range(6000)] + [(None, None), (None, None), (7, "again")]
