@@ -301,6 +301,15 @@ def test_disclosing_terms_are_counted_one_by_one(spark):
     assert all("term:" in spans[i] for i in range(6)) and not any(s for i, s in spans.items() if i >= 100)
 
 
+def test_disclosing_terms_are_found_anywhere_in_the_text(spark):
+    rows = [(i, f"Dear Kowalczyk, in note {i} you find our offer at last. Write to jk@mail.example.org today. Yours, the office of Kowalczyk, no {i}") for i in range(6)]
+    rows += [(100 + i, f"Dear reader, in note {i} you find our offer at last. Write today. Yours, the office of plain words") for i in range(60)] + [(200, "kowalczyk elsewhere")]
+    docs = table(spark, rows, clash=True)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[3] == "Dear [TERM], in note 3 you find our offer at last. Write to [EMAIL] today. Yours, the office of [TERM], no 3"
+    assert clean[105] == rows[11][1] and clean[200] == "kowalczyk elsewhere"
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rng = random.Random(9)
     rows = [(i, "hot text" * 20 if i % 3 == 0 else "t" * rng.randint(0, 300)) for i in range(6000)] + [(None, None), (None, None), (7, "again")]
