@@ -1,11 +1,16 @@
 """Toxic passages by maximum-scoring segments.
 
 Model, learnt from a bounded sample of labelled documents (``SAMPLE`` of each label, chosen by a hash of
-doc_id; of copies and near copies, told by the least hash of their shingles, one): a term's score is the lower confidence bound of its log-odds between
-toxic and other documents under an informative Dirichlet prior (the prior of a term is its share of all
-documents).  Terms are whole words and word beginnings of ``STEMS`` characters (written with a star), because in
-languages with many word forms a label shows in a stem whose single forms are rare.  Of several terms that fit
-a token the largest bound counts.  A token that is no term scores the log-odds of such tokens, a little below zero.
+doc_id).  Copies must not count as independent evidence: of the rows with one label that share their least
+shingle hash each weighs one part of their number, so all rows and their labels stay.  A term's score is the
+lower confidence bound of its log-odds of *token* shares between toxic and other documents under a Dirichlet
+prior (``PRIOR`` pseudo-tokens a term); its error counts a document's tokens together, so one document that
+repeats a word does not look like many.  A term is taken where its likelihood ratio, divided by the same
+clustering, exceeds ``FAMILY`` times the logarithm of the number of terms that could pass (those of at least
+``LEAST`` weighted toxic documents).  Terms are whole words and word beginnings of ``STEMS`` characters (written
+with a star), because in languages with many word forms a label shows in a stem whose single forms are rare.
+Of several terms that fit a token the largest bound counts.  A token that is no term scores the log-odds of
+such tokens, a little below zero.
 
 Scan: a linear pass over a document's token scores finds all maximal scoring segments, each of which no
 extension or cut improves (only tokens above zero can start one, so the pass steps from term to term).
@@ -13,10 +18,10 @@ extension or cut improves (only tokens above zero can start one, so the pass ste
 Calibration: in other text the largest segment score of n tokens follows an extreme-value law with
 P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda solves the equation of the token scores' moment
 generating function, K is fitted to the sample's non-toxic documents.  A segment is significant where that
-probability is at most ``SIGNIFICANT``.  A document's score is a logistic function, fitted to the sample, of
-lambda S - ln(K n) for its best segment S.
-
-The terms number at most ``MAX_TERMS`` (the most significant), so the model that tasks receive is bounded.
+probability is at most ``SIGNIFICANT``.  All segments of a document are aggregated by the law of sums of the
+r best: with T = sum (lambda S_i - ln(K n)) the evidence is the largest, over r, of T - (r-1) ln T + ln r! +
+ln (r-1)! - (r-1) ln 2.  A document's score is a logistic function of that evidence, fitted on evidence that
+each half of the sample gets from a model learnt on the other half (copies stay in one half).
 
 Defined results: a null or empty text has no segment and gets the score of a text without terms; without
 labelled documents of both kinds every score is 0; label rows without a value are not used, of several rows
@@ -41,11 +46,16 @@ from kenmap.llm.jaccard import shingles
 from kenmap.llm.shared import keep, small_batches
 
 SAMPLE = 20_000
-MAX_TERMS = 50_000
-MIN_Z = 3.0
-#: A term's likelihood ratio against chance must reach so many times the logarithm of the number of terms tried.
-FAMILY = 3.0
+PRIOR = 0.5
+LEAST = 3
+FAMILY = 2.0
+#: Lower bounds of log-odds are so many errors below them, and at least ``MIN_ODDS``.
+CONFIDENCE, MIN_ODDS = 1.96, 1.0
+#: Distinct terms that a task gathers before it hands them on.
+GATHERED = 200_000
 SIGNIFICANT = 0.01
+#: Evidence counts up to here.
+TOP = 60.0
 THRESHOLD = 0.7
 STEMS = range(4, 9)
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "…“”‘’«»¡¿–—"
@@ -87,17 +97,28 @@ class Model:
         hits = [(i, s) for i, s in enumerate(scores) if s]
         return len(scores), maximal_segments(hits, self.other)
 
-    def evidence(self, tokens: int, score: float) -> float:
-        """lambda S - ln(K n): minus the logarithm of how many segments as good other text of this length has."""
-        return self.rate * score - math.log(self.size * max(tokens, 1))
+    def evidence(self, tokens: int, scores: list[float]) -> float:
+        """Minus the logarithm of how many sets of segments as good as these other text of this length has."""
+        rare, best, total = math.log(self.size * max(tokens, 1)), None, 0.0
+        for r, score in enumerate(sorted(scores, reverse=True), 1):
+            total += self.rate * score - rare
+            if r == 1:
+                best = total
+            elif total > r:
+                best = max(best, total - (r - 1) * math.log(2 * total) + math.lgamma(r + 1) + math.lgamma(r))
+        return -rare if best is None else best
 
     def chance(self, tokens: int, score: float) -> float:
-        return -math.expm1(-math.exp(min(50.0, -self.evidence(tokens, score))))
+        return -math.expm1(-math.exp(min(50.0, -self.evidence(tokens, [score]))))
 
-    def probability(self, tokens: int, best: float) -> float:
-        x = self.slope * min(60.0, self.evidence(tokens, best)) + self.bias
+    def probability(self, evidence: float) -> float:
+        x = self.slope * min(TOP, evidence) + self.bias
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
+    def score(self, text: str | None) -> float:
+        tokens, found = self.segments(text)
+        return self.probability(self.evidence(tokens, [x for *_, x in found]))
+
 
 def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, from the (place, score) of the tokens above zero; each token between them scores ``other`` < 0.
@@ -133,67 +154,155 @@ def _sample(labels: DataFrame, per_label: int) -> DataFrame:
     return mixed.where("toxic = 1").orderBy("order", "doc_id").limit(per_label).union(mixed.where("toxic = 0").orderBy("order", "doc_id").limit(per_label)).drop("order")
 
 
+def _marked(texts: DataFrame) -> DataFrame:
+    """The sample: text, toxic, fold (0 or 1), weight; copies share their weight and their fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = [int(s[0] >> np.uint64(1)) if len(s) else 0 for s in map(shingles, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["text", "toxic", "same"])
+
+    sample = keep(texts.mapInArrow(run, "text string, toxic int, same long"))
+    copies = F.broadcast(sample.groupBy("toxic", "same").agg(F.count("*").alias("n")))  # at most 2 x SAMPLE rows of three numbers, but for repeated rows of ``docs``
+    return sample.join(copies, ["toxic", "same"]).selectExpr("text", "toxic", "cast(pmod(xxhash64(same), 2) as int) as fold", "1D / n as weight")
+
+
+def _term_sums(sample: DataFrame) -> DataFrame:
+    """term, and by label l and fold f: n{l}{f} weighted documents, y{l}{f} weighted tokens, q{l}{f} squares of a document's weighted tokens.
+
+    The null term stands for all tokens.
+    """
+    keys = [f"{c}{label}{fold}" for label in (0, 1) for fold in (0, 1) for c in "nyq"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, list[float]] = {}
+        forms = Memo(fitting, 50_000)
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*sums.values())) if sums else [()] * len(keys)
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.float64()) for c in cols)], ["term", *keys])
+
+        for b in batches:
+            for text, label, fold, weight in zip(*(c.to_pylist() for c in b.columns)):
+                seen: Counter = Counter()
+                for word, n in Counter(x.strip(MARKS) for x in text.lower().split()).items():
+                    seen[None] += n
+                    for term in forms[word]:
+                        seen[term] += n
+                at = 3 * (2 * label + fold)
+                for term, n in seen.items():
+                    own = sums.get(term)
+                    if own is None:
+                        own = sums[term] = [0.0] * len(keys)
+                    own[at] += weight
+                    own[at + 1] += weight * n
+                    own[at + 2] += (weight * n) ** 2
+                if len(sums) >= GATHERED:
+                    yield out()
+                    sums.clear()
+        yield out()
+
+    total = sample.select("text", "toxic", "fold", "weight").mapInArrow(run, "term string, " + ", ".join(f"{k} double" for k in keys))
+    return total.groupBy("term").agg(*(F.round(F.sum(k), 6).alias(k) for k in keys))
+
+
+def term_scores(sums: DataFrame, folds: tuple[int, ...]) -> dict[str, float]:
+    """The terms that these folds of the sample tell apart, and their scores; as many as the bounded sample proves."""
+    added = sums.selectExpr("term", *(" + ".join(f"{c}{label}{f}" for f in folds) + f" as {c}{label}" for label in (0, 1) for c in "nyq"))
+    every = added.where("term is null").first()
+    if every is None or not every["n1"] or not every["n0"]:
+        return {}
+    size1, size0 = every["y1"], every["y0"]
+    tried = added.where(f"term is not null and n1 >= {LEAST}")
+    least = FAMILY * math.log(max(2, tried.count()))
+    odds = f"ln((y1 + {PRIOR}) / ({size1 + 1} - y1)) - ln((y0 + {PRIOR}) / ({size0 + 1} - y0))"
+    error = f"sqrt((q1 + {PRIOR}) / pow(y1 + {PRIOR}, 2) + (q0 + {PRIOR}) / pow(y0 + {PRIOR}, 2))"
+    share = f"((y1 + y0) / {size1 + size0})"
+    ratio = f"2 * (y1 * ln(y1 / {size1} / {share}) + if(y0 > 0, y0 * ln(y0 / {size0} / {share}), 0)) / greatest(1, (q1 + q0) / (y1 + y0))"
+    bounded = tried.selectExpr("term", f"{odds} - {CONFIDENCE} * {error} as score", f"{ratio} as ratio").where(f"ratio >= {least} and score >= {MIN_ODDS}")
+    return dict(sorted((r["term"], r["score"]) for r in bounded.collect()))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
     """The model from the labelled rows of ``docs`` that are not held out."""
     small_batches(docs.sparkSession)
     chosen = F.broadcast(_sample(labels, per_label))  # at most 2 x per_label pairs of numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = _marked(texts)
+    sums = keep(_term_sums(sample))
+    # The model itself, and one for each half of the sample, learnt on the other half.
+    models = [Model(term_scores(sums, folds)) for folds in ((0, 1), (1,), (0,))]
+    if not models[0].terms:
+        return Model()
+    uses: dict[int, dict] = {k: {} for k in range(len(models))}
+    for r in _uses(sample, models).collect():  # at most one row a term and model
+        uses[r["model"]][r["term"]] = (r["u1"], r["u0"])
+    for k, model in enumerate(models):
+        all1, all0 = (max(1, sum(u[i] for u in uses[k].values())) for i in (0, 1))
+        none1, none0 = uses[k].get(None, (0, 0))
+        model.other = min(-0.001, math.log((none1 / all1 + 1e-9) / (none0 / all0 + 1e-9)))
+        model.rate = _rate([(s, (uses[k][t][1] + 0.5) / (all0 + 1)) for t, s in model.terms.items() if t in uses[k]], model.other)
+    quiet = dict(_quiet(sample, models).collect())
+    for k, model in enumerate(models):
+        model.size = quiet.get(k) or 1.0
+    seen = _evidence(sample, models).collect()  # three numbers a document of the sample
+    models[0].slope, models[0].bias = _logistic(*(np.array([float(r[c]) for r in seen]) for c in ("evidence", "toxic", "weight")))
+    return models[0]
+
+
+def _learns(k: int, fold: int) -> bool:
+    """Whether model ``k`` (0: the whole sample's, else the model for half k - 1) is learnt from this fold."""
+    return k - 1 != fold
+
+
+def _uses(sample: DataFrame, models: list[Model]) -> DataFrame:
+    """model, term (null: none), u1, u0: weighted tokens of toxic and of other documents for which the term counts."""
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: dict[tuple, float] = {}
+        finders = [Memo(m.term, 50_000) for m in models]
         for b in batches:
-            least = [int(s[0] >> np.uint64(1)) if len(s) else 0 for s in map(shingles, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["text", "toxic", "same"])
+            for text, label, fold, weight in zip(*(c.to_pylist() for c in b.columns)):
+                words = [x for x in text.lower().split() if x.strip(MARKS)]
+                for k, term_of in enumerate(finders):
+                    if _learns(k, fold):
+                        for t, n in Counter(map(term_of.__getitem__, words)).items():
+                            tokens[k, t, label] = tokens.get((k, t, label), 0.0) + weight * n
+        terms = sorted({(k, t) for k, t, _ in tokens}, key=lambda x: (x[0], x[1] or ""))
+        cols = (pa.array([k for k, _ in terms], pa.int32()), pa.array([t for _, t in terms], pa.string()), *(pa.array([tokens.get((k, t, y), 0.0) for k, t in terms], pa.float64()) for y in (1, 0)))
+        yield pa.RecordBatch.from_arrays(list(cols), ["model", "term", "u1", "u0"])
+
+    return sample.select("text", "toxic", "fold", "weight").mapInArrow(run, "model int, term string, u1 double, u0 double").groupBy("model", "term").agg(F.round(F.sum("u1"), 6).alias("u1"), F.round(F.sum("u0"), 6).alias("u0"))
+
 
-    once = texts.mapInArrow(marked, f"text string, toxic {texts.schema['toxic'].dataType.simpleString()}, same long").groupBy("same").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = keep(once.drop("same"))
+def _quiet(sample: DataFrame, models: list[Model]) -> DataFrame:
+    """model, size: the K that the non-toxic documents show."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[label].update({t for w in {x.strip(MARKS) for x in text.lower().split()} for t in fitting(w)})
-        rows = [(t, seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys()]
-        cols = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["term", "n1", "n0"])
-
-    totals = dict(sample.groupBy("toxic").count().collect())
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1 or not n0:
-        return Model()
-    terms = keep(sample.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
-    prior = 10.0
-    odds = lambda n, size: f"ln(({n} + a) / greatest({size + prior} - {n} - a, 1e-9))"  # noqa: E731  a term of every document tells nothing (its ratio is 0)
-    scored = terms.withColumn("a", F.expr(f"{prior} * (n1 + n0) / {n1 + n0}")).selectExpr("*", f"{odds('n1', n1)} - {odds('n0', n0)} as odds", "sqrt(1 / (n1 + a) + 1 / (n0 + a)) as error", f"2 * n1 * ln(n1 * {n1 + n0} / ({n1} * (n1 + n0))) as ratio")
-    least = FAMILY * math.log(max(2, terms.count()))
-    best = scored.where(f"odds > {MIN_Z} * error and odds - 1.96 * error >= 1 and ratio >= {least}").orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
-    if not best:
-        return Model()
-    term_scores = {r["term"]: r["odds"] - 1.96 * r["error"] for r in best}
-    uses = {r["term"]: (r["u1"], r["u0"]) for r in _uses(sample, Model(term_scores)).collect()}  # at most one row a term
-    all1, all0 = (max(1, sum(u[k] for u in uses.values())) for k in (0, 1))
-    none1, none0 = uses.get(None, (0, 0))
-    other = min(-0.001, math.log((none1 / all1 + 1e-9) / (none0 / all0 + 1e-9)))
-    model = Model(term_scores, other, _rate([(s, (uses.get(t, (0, 0))[1] + 0.5) / (all0 + 1)) for t, s in term_scores.items() if t in uses], other))
-    seen = _best_segments(sample, model).collect()  # three numbers a document of the sample
-    quiet = [(r["tokens"], r["best"]) for r in seen if not r["toxic"]]
-    model.size = len(quiet) / max(1e-9, sum(max(n, 1) * math.exp(-model.rate * s) for n, s in quiet))
-    model.slope, model.bias = _logistic(np.array([min(60.0, model.evidence(r["tokens"], r["best"])) for r in seen]), np.array([float(r["toxic"]) for r in seen]))
-    return model
-
-
-def _uses(sample: DataFrame, model: Model) -> DataFrame:
-    """term (null: none), u1, u0: tokens of toxic and of other documents for which the term counts."""
+            out = []
+            for text, fold, weight in zip(*(c.to_pylist() for c in b.columns)):
+                for k, model in enumerate(models):
+                    if _learns(k, fold):
+                        tokens, found = model.segments(text)
+                        out.append((k, weight, weight * max(tokens, 1) * math.exp(-model.rate * max((x for *_, x in found), default=0.0))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.float64(), pa.float64()))], ["model", "w", "x"])
+
+    return sample.where("toxic = 0").select("text", "fold", "weight").mapInArrow(run, "model int, w double, x double").groupBy("model").agg(F.expr("round(sum(w) / greatest(1e-9, sum(x)), 12)").alias("size"))
+
+
+def _evidence(sample: DataFrame, models: list[Model]) -> DataFrame:
+    """toxic, weight, evidence of each document of the sample, by the model that has not learnt from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        term_of = Memo(model.term, 50_000)
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens[label].update(map(term_of.__getitem__, (x for x in text.lower().split() if x.strip(MARKS))))
-        terms = list(tokens[0].keys() | tokens[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([tokens[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "u1", "u0"])
+            out = []
+            for text, fold in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                tokens, found = models[fold + 1].segments(text)
+                out.append(min(TOP, models[fold + 1].evidence(tokens, [x for *_, x in found])))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(out, pa.float64())], ["toxic", "weight", "evidence"])
 
-    return sample.mapInArrow(run, "term string, u1 long, u0 long").groupBy("term").agg(F.sum("u1").alias("u1"), F.sum("u0").alias("u0"))
+    return sample.select("text", "toxic", "fold", "weight").mapInArrow(run, "toxic int, weight double, evidence double")
 
 
 def _rate(scores: list[tuple[float, float]], other: float) -> float:
@@ -209,39 +318,27 @@ def _rate(scores: list[tuple[float, float]], other: float) -> float:
     return max(high, 0.01)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (never negative) and bias by Newton steps with a small ridge."""
     a = np.stack([x, np.ones_like(x)], axis=1)
     w = np.zeros(2)
     ridge = np.diag([1e-3, 1e-6]) * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + ridge, a.T @ (weight * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def _best_segments(sample: DataFrame, model: Model) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [model.segments(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([max((s[2] for s in g), default=0.0) for _, g in found], pa.float64())], ["toxic", "tokens", "best"])
-
-    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, tokens long, best double")
-
-
 def score(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                n, found = model.segments(text)
-                out.append(model.probability(n, max((s[2] for s in found), default=0.0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
+            out = pa.array(list(map(model.score, b.column(1).to_pylist())), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), out], ["doc_id", "held_out", "score"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -270,7 +367,6 @@ def without_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = fields.fieldNames().index("text")
         for b in batches:
-            best = [(n, max((s[2] for s in g), default=0.0)) for n, g in map(model.segments, b.column(at).to_pylist())]
-            yield b.filter(pa.array([model.probability(n, x) < threshold for n, x in best], pa.bool_()))
+            yield b.filter(pa.array([model.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, fields)
