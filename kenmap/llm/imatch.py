@@ -1,20 +1,21 @@
 """I-Match fingerprints with DataFrame functions only.
 
-Terms are the lower-cased runs of letters and digits.  A first pass counts, over all documents, in how
-many each term occurs; terms are counted by a 17-bit hash, so the table of the terms whose inverse document
-frequency lies in the chosen band is a bitmap of 2**17 bits (16 KiB) whatever the vocabulary, which is the
-one thing that is broadcast.
+Terms are the lower-cased runs of letters and digits, told apart by 64-bit hashes.  A first pass counts, over
+all documents and term by term, in how many each occurs; the counts are added up before they are shuffled.
+The band keeps terms that occur in at least ``MIN_DOCUMENTS`` documents and in a share of all documents between
+``MIN_SHARE`` and ``MAX_SHARE``.  As each of its terms takes a share of ``MIN_SHARE`` of the documents, the band holds at most
+(mean distinct terms of a document) / ``MIN_SHARE`` terms, however many documents there are.  It goes to the
+tasks as one hash table (an array of buckets) that is a constant of the plan, so it is never copied into a row.
 
 A document's fingerprint keeps its distinct terms in that band, sorts them, and hashes randomised lexicon
 subsets: each term of the lexicon belongs to one of 15 x 8 subsets at random, subsets of level l holding a
 share of 2**-(l+1) / 8 of the lexicon.  Large subsets tell copies from near copies; small ones, in which a
-long document has a term or two, survive edits.  A fingerprint is the list of its non-empty subsets, each
-with the hash of its sorted terms.  The likeness of two is the largest share, over the levels l, of equal
-subsets among the non-empty ones of level l or above, of which there must be six (or all there are).
+long document has a term or two, survive edits.  A last subset holds all terms of the document, in the band or not, so that
+every document that has a term has a fingerprint.  A fingerprint is the list of its non-empty subsets, each
+with the hash of its sorted terms.  The likeness of two is 1 where they are equal, else the largest share, over the levels l, of equal
+subsets among the non-empty ones of the band at level l or above, of which there must be six (or all there are).
 
-A document whose band holds fewer than four terms keeps all its terms.
-
-Defined results: a null text is the empty text; the empty text has the empty fingerprint, which is like
+Defined results: a null text is the empty text; a text without terms has the empty fingerprint, which is like
 itself (1) and like nothing else (0); documents are neighbours in ascending doc_id, a null doc_id first,
 after the last comes the first; where a doc_id repeats, the next document is that of the next larger doc_id
 (of several texts there, the smallest start), and each repeated row gives a result of its own; one document alone is its own next.
@@ -23,18 +24,22 @@ An empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kenmap.llm.shared import keep
 from kenmap.llm.sqltext import let
 
-BITS = 17
+#: Levels of eight subsets each; the number of the subset of all terms follows theirs.
 LEVELS = 15
+WHOLE = 8 * LEVELS
 #: The band: a term's documents, as a share of all; and the least number of them.
-MIN_SHARE, MAX_SHARE, MIN_DOCUMENTS = 0.00001, 0.01, 2
-LEAST_TERMS = 4
+MIN_SHARE, MAX_SHARE, MIN_DOCUMENTS = 0.0001, 0.01, 2
 BUCKET_ROWS = 100_000
+#: Mean terms in a bucket of the band's table, at most.
+BUCKET_TERMS = 8
 NULL_ID = -(2**63) + 1
 
 
@@ -43,18 +48,20 @@ def _term_hashes(text: str) -> str:
     return f"array_distinct(transform(filter(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> ''), x -> xxhash64(x)))"
 
 
-def band_bitmap(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """One row: ``band``, an array of 2**(BITS-6) longs with a bit for each 17-bit hash whose document frequency is in the band."""
+def band_table(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """One row: ``band``, a hash table of the terms whose document frequency is in the band; a term lies in the bucket of its last bits."""
     total = docs.count()
     low, high = max(min_documents, min_share * total), max(max_share * total, min_documents + 1)
-    counted = docs.select(F.explode(F.expr(f"transform({_term_hashes('text')}, h -> cast(h & {2**BITS - 1} as int))")).alias("b")).groupBy("b").count().where(F.col("count").between(low, high))
-    longs = dict(counted.groupBy(F.expr("shiftright(b, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, b & 63))")).collect())
-    rows = [([longs.get(i, 0) for i in range(2 ** (BITS - 6))],)]
-    return docs.sparkSession.createDataFrame(rows, "band array<bigint>")
+    counted = docs.select(F.explode(F.expr(_term_hashes("text"))).alias("h")).groupBy("h").count()
+    inside = keep(counted.where(F.col("count").between(low, high)).select("h"))
+    buckets = 1 << max(0, inside.count() // BUCKET_TERMS).bit_length()
+    filled = inside.groupBy(F.expr(f"h & {buckets - 1}L").alias("id")).agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    every = docs.sparkSession.range(buckets).join(filled, "id", "left").selectExpr("id", "coalesce(hs, cast(array() as array<bigint>)) as hs")
+    return keep(every.agg(F.expr("transform(sort_array(collect_list(struct(id, hs))), b -> b.hs) as band")))
 
 
-def _codes(text: str) -> str:
-    """Sorted array of longs: number of the subset in the top byte, hash of its terms below; reads the column ``band``."""
+def _codes(text: str, band: str) -> str:
+    """Sorted array of longs: number of the subset in the top byte, hash of its terms below; ``band`` names the table."""
     level = let("y", "(r & 16383) | 16384", "bit_count(y ^ (y - 1)) - 1")
     coded = f"transform(t, h -> {let('r', 'xxhash64(h, 7)', f'shiftleft(cast({level} * 8 + (shiftrightunsigned(r, 20) & 7) as bigint), 56) | (h & {2**56 - 1}L)')})"
     hashed = "shiftleft(a.s, 56) | (a.h & 72057594037927935L)"
@@ -64,8 +71,9 @@ def _codes(text: str) -> str:
         f"if(shiftright(c, 56) = a.s, struct(a.s as s, xxhash64(a.h, c) as h, a.o as o), struct(shiftright(c, 56) as s, xxhash64(0L, c) as h, if(a.s < 0, a.o, concat(a.o, array({hashed}))) as o)), "
         f"a -> if(a.s < 0, a.o, concat(a.o, array({hashed}))))"
     )
-    inside = f"filter(g, h -> getbit(band[cast(shiftright(h & {2**BITS - 1}, 6) as int)], cast(h & 63 as int)) = 1)"
-    return let("g", _term_hashes(text), let("i", inside, let("t", f"if(size(i) < {LEAST_TERMS}, g, i)", folded)))
+    whole = f"if(size(g) = 0, cast(array() as array<bigint>), array(shiftleft({WHOLE}L, 56) | (xxhash64(sort_array(g)) & {2**56 - 1}L)))"
+    inside = f"filter(g, h -> array_contains({band}[cast(h & (size({band}) - 1) as int)], h))"
+    return let("g", _term_hashes(text), let("t", inside, f"concat({folded}, {whole})"))
 
 
 def _likeness(f: str, g: str) -> str:
@@ -74,7 +82,8 @@ def _likeness(f: str, g: str) -> str:
         + let("n", "size(filter(s, x -> shiftright(x, 3) >= l))", "if(n >= least(6, size(s)) and n > 0, size(filter(m, c -> shiftright(c, 59) >= l)) / n, 0D)")
         + ")"
     )
-    both = let("m", f"array_intersect({f}, {g})", let("s", f"array_distinct(transform(concat({f}, {g}), c -> shiftright(c, 56)))", f"array_max({shares})"))
+    of_band = lambda codes: f"filter({codes}, c -> shiftrightunsigned(c, 56) < {WHOLE})"
+    both = let("m", of_band(f"array_intersect({f}, {g})"), let("s", f"array_distinct(transform({of_band(f'concat({f}, {g})')}, c -> shiftright(c, 56)))", f"array_max({shares})"))
     return f"case when {f} = {g} then 1D else cast({both} as double) end"
 
 
@@ -100,16 +109,18 @@ def next_documents(docs: DataFrame) -> DataFrame:
 def fingerprints(df: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``df``."""
     docs = df.select(F.expr(f"coalesce(cast(doc_id as bigint), {NULL_ID}L) as key"), F.expr("coalesce(text, '') as text"))
-    band = F.broadcast(band_bitmap(docs)).withColumn("one", F.lit(1))
-    with_band = lambda d: d.withColumn("one", F.lit(1)).join(band, "one").drop("one")  # noqa: E731  one row of 16 KiB
+    spark, band = df.sparkSession, f"kenmap_band_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {band} ARRAY<ARRAY<BIGINT>>")
+    spark.sql(f"SET VARIABLE {band} = (SELECT band FROM {{made}})", made=band_table(docs))
     # ``^ 0L`` hides where the keys come from: else a condition on them is pushed into one of the two reads of the texts, which then share no exchange.
-    order = keep(next_documents(docs)).selectExpr("key ^ 0L as own", "next_key ^ 0L as next_key", "quarter")
-    after = with_band(docs.join(order, docs["key"] == order["next_key"])).select("own", F.expr("substring(text, 1, quarter) as start"), F.expr(_codes("text")).alias("codes"))
+    order = keep(next_documents(docs)).select(F.expr("key ^ 0L as own"), F.expr("next_key ^ 0L as next_key"), "quarter")
+    after = docs.join(order, docs["key"] == order["next_key"]).select("own", F.expr("substring(text, 1, quarter) as start"), F.expr(_codes("text", band)).alias("codes"))
     after = after.groupBy("own").agg(F.min("start").alias("start"), F.min_by("codes", "start").alias("next_codes"))
     own = docs.join(after, docs["key"] == after["own"])
     own = own.withColumn("n", F.length("text"))
     own = own.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(floor(n / 4) as int)), substring(start, 1, cast(floor(n / 4) as int)))"))
-    coded = with_band(own).select("key", "n", F.sha2("edited", 256).alias("edited_sha256"), F.expr(_codes("text")).alias("codes"), F.expr(_codes("edited")).alias("edited_codes"), "next_codes")
+    coded = own.select("key", "n", F.sha2("edited", 256).alias("edited_sha256"), F.expr(_codes("text", band)).alias("codes"), F.expr(_codes("edited", band)).alias("edited_codes"), "next_codes")
+    spark.sql(f"DROP TEMPORARY VARIABLE {band}")  # the plans hold its value
     return coded.select(
         F.expr(f"nullif(key, {NULL_ID}L) as doc_id"),
         F.col("n").cast("long").alias("n_chars"),
