@@ -15,7 +15,8 @@ a <= b <= 1.25 a, and this is what the join looks for:
   its folded parity sketches (two to four bits a token) allow a link, and is verified exactly on whole texts.
   Where a key's documents are then still in several components, all pairs across components are tried
   that sizes and sketches allow, and verified.  So no link between components is lost,
-  while copies of copies are never expanded into all pairs.
+  while copies of copies are never expanded into all pairs.  A key of many documents is split into blocks of about
+  ``BLOCK`` documents, and each pair of blocks is a group of its own, so no task takes a whole key.
 * Links, and equal sets, are joined into components by alternating large-star and small-star steps.
 
 A document has fewer filled words than D + 1 with a chance below 1e-9 (band widths are chosen so); it then sends all.
@@ -43,6 +44,8 @@ from kenmap.llm.shared import keep, small_batches
 
 WIDTH = 5
 KEYS_PER_PART = 1_500_000
+#: Documents of a key that are compared in one group, and that one row lists.
+BLOCK = 4096
 U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
@@ -206,7 +209,7 @@ def _key_parts(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _groups(parts: DataFrame) -> DataFrame:
-    """gid, members: the sorted documents of each key that several have, each set of documents once."""
+    """gid, head, size, chunk, members: the sorted documents of each key that several have, each set of documents once, in rows of at most ``BLOCK``."""
 
     def run(table: pa.Table) -> pa.Table:
         size = pc.sum(pc.binary_length(table["keys"])).as_py() // 6
@@ -228,9 +231,11 @@ def _groups(parts: DataFrame) -> DataFrame:
             members = np.unique(owner[lo:hi])
             if len(members) > 1:
                 out[hashlib.blake2b(members.tobytes(), digest_size=16).digest()] = members
-        return pa.table({"gid": pa.array(list(out), pa.binary()), "members": pa.array(list(out.values()), pa.list_(pa.int64()))})
+        rows = [(gid, int(m[0]), len(m), k, m[at : at + BLOCK]) for gid, m in out.items() for k, at in enumerate(range(0, len(m), BLOCK))]
+        kinds = (("gid", pa.binary()), ("head", pa.int64()), ("size", pa.int64()), ("chunk", pa.int32()), ("members", pa.list_(pa.int64())))
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
 
-    return parts.groupBy("part").applyInArrow(run, "gid binary, members array<long>").dropDuplicates(["gid"])
+    return parts.groupBy("part").applyInArrow(run, "gid binary, head long, size long, chunk int, members array<long>").dropDuplicates(["gid", "chunk"])
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -288,13 +293,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rest_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of one key in different components that sizes and sketches allow."""
-    open_ = groups.select("gid", F.explode("members").alias("doc_id")).join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_ = groups.select("gid", "size", F.explode("members").alias("doc_id")).join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     wide = open_.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    open_ = keep(open_.join(wide, "gid"))
+    open_ = open_.join(wide, "gid").withColumn("blocks", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}")).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    # A document goes to the tile of its block with each block; one block alone is one tile.
+    tiles = keep(open_.select("gid", "doc_id", "component", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).selectExpr("gid", "least(own, other) as t1", "greatest(own, other) as t2", "doc_id", "component", "own"))
 
     def pairs(table: pa.Table) -> pa.Table:
+        tile = (table["t1"][0].as_py(), table["t2"][0].as_py())
         order = np.argsort(table["n"].to_numpy(), kind="stable")
-        doc, comp, n = (table[c].to_numpy()[order] for c in ("doc_id", "component", "n"))
+        doc, comp, n, own = (table[c].to_numpy()[order] for c in ("doc_id", "component", "n", "own"))
         raw = table["bits"].to_pylist()
         size = min(map(len, raw))  # sizes within a key differ by little: one folding of the larger sketches suits all
         bits = np.stack([fold(np.frombuffer(raw[i], np.uint8), size) for i in order]).view(U)
@@ -302,11 +310,11 @@ def _rest_pairs(groups: DataFrame, found: DataFrame, sketches: DataFrame) -> Dat
         out: list[tuple[int, int]] = []
         for i in range(len(doc) - 1):
             apart = np.bitwise_count(bits[i + 1 : stops[i]] ^ bits[i]).sum(axis=1)
-            js = i + 1 + np.flatnonzero((9 * apart <= n[i] + n[i + 1 : stops[i]]) & (comp[i + 1 : stops[i]] != comp[i]))
+            js = i + 1 + np.flatnonzero((9 * apart <= n[i] + n[i + 1 : stops[i]]) & (comp[i + 1 : stops[i]] != comp[i]) & ((own[i + 1 : stops[i]] != own[i]) | (tile[0] == tile[1])))
             out += [(int(doc[i]), int(j)) for j in doc[js]]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return open_.join(sketches, "doc_id").groupBy("gid").applyInArrow(pairs, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+    return tiles.join(sketches, "doc_id").groupBy("gid", "t1", "t2").applyInArrow(pairs, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
 def jaccard_join(df: DataFrame) -> DataFrame:
@@ -318,7 +326,7 @@ def jaccard_join(df: DataFrame) -> DataFrame:
     groups = keep(_groups(_key_parts(docs, max(8, -(-2 * total // (5 * KEYS_PER_PART))))))
     known = docs.where("doc_id is not null")
     sketches = sizes.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id", "same"]).select("doc_id", "n", "bits")
-    stars = groups.select(F.expr("members[0] as a"), F.expr("explode(slice(members, 2, size(members) - 1)) as b")).distinct()
+    stars = groups.select(F.col("head").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
     equal = sizes.where("doc_id is not null and same is not null")
     first = equal.groupBy("same").agg(F.min("doc_id").alias("b"))
     edges = equal.join(first, "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").union(_verified(keep(_possible(stars, sketches)), known))

@@ -58,6 +58,10 @@ def test_bpe_equals_the_merge_procedure():
 
 def test_token_ids_equal_the_library():
     own, texts = TokenIds(WORD), fuzz(1500, 2)
+    words = ["word", "Word", "WÖRD", "É", "Ärger", "id9", "PhD", "x" * 70, "don't", "İx", "I", "<|endoftext|>", "<|ENDOFTEXT|>", "a×b", "ß"]
+    rng = random.Random(3)
+    texts += [" ".join(rng.choice(words) + "".join(rng.choice(".,!?;:#$%&*|'-)") for _ in range(rng.randint(0, 3))) for _ in range(20)) for _ in range(300)] + ["word" + "." * 80, "W" * 90 + "!"]
+    assert own.derives
     for raw, want in zip(own.raw([t.encode() for t in texts]), own.library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(raw, np.uint32).tolist() == want.ids
 
@@ -79,7 +83,9 @@ def test_token_counts(spark):
     assert (rows[0]["n_bytes"], rows[0]["n_tokens"], rows[8]["over_limit"], rows[3]["over_limit"]) == (0, 0, True, False)
 
 
-def test_jaccard_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
+def test_jaccard_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(7)
     base = [[rng.choice("abcdefghijklmnop") + str(rng.randint(0, 50)) for _ in range(rng.randint(1, 140))] for _ in range(25)]
     texts = list(AWKWARD)
@@ -110,6 +116,14 @@ def test_jaccard_equals_brute_force(spark):
     assert {i: (len(sets[i]), find(i)) for i in range(len(texts))} == {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()}
 
 
+def test_different_texts_with_one_long_passage_do_not_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    passage = " ".join(f"shared{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"own{i // 2}x{k}" for k in range(30)) + (" tail" if i % 2 else "")) for i in range(300)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_join(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_jaccard_keeps_rows_without_id_and_empty_tables(spark):
     rows = jaccard.jaccard_join(awkward(spark)).collect()
     assert len(rows) == len(AWKWARD) + 2 and [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
