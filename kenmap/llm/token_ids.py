@@ -2,12 +2,15 @@
 
 A text's chunks (what white space separates) encode on their own under the word vocabularies, so each
 distinct chunk is encoded once and its ids are remembered as raw bytes; a text's ids are one join of them.
-Chunks that are new in a slice of documents go to the library together, as one pre-split sequence.
+Chunks that are new in a slice of documents go to the library together, as one pre-split sequence.  A word that
+differs from a known one only in the case of A-Z or in the marks behind it is put together from the known ids,
+where the vocabulary is one that folds case and cuts marks off (which two probes tell).
 """
 
 from __future__ import annotations
 
 import gc
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +19,9 @@ from tokenizers import Tokenizer
 SLICE = 1000
 CHUNK_BYTES = 64
 ENTRIES = 350_000
+#: A word of ASCII letters, digits and Latin-1 letters (in UTF-8), and the marks behind it.
+_WORD = rb"((?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)"
+_MARKED = re.compile(_WORD + rb"([.,!?;:#$%&*|]*)").fullmatch
 
 
 class TokenIds:
@@ -29,6 +35,10 @@ class TokenIds:
         probe = self.library.encode("a  b\n c", add_special_tokens=False).ids
         if probe != [i for x in "abc" for i in self.library.encode(x, add_special_tokens=False).ids]:
             raise ValueError("this vocabulary's tokens hold white space")
+        alike = lambda *texts: [i for x in texts for i in self.library.encode(x, add_special_tokens=False).ids]
+        folds = all(alike(x) == alike(x.lower()) for x in ("Word", "WÖRD", "Id9", "PhD"))
+        cuts = all(alike(x + y) == alike(x, y) for x in ("word", "wörd", "id9") for y in (".", ",", "!?", "...", "###", "&&&", ";:|"))
+        self.derives = folds and cuts
 
     def raw(self, texts: list[bytes | None]) -> list[bytes]:
         """As ``_raw``, without walks of the garbage collector over the memo meanwhile."""
@@ -47,21 +57,43 @@ class TokenIds:
         if len(self.young) > ENTRIES:
             self.young, self.old = {}, self.young
         once: dict[bytes, bytes] = {}
-        new = []
-        for chunk in wanted - self.young.keys():
-            known = self.old.get(chunk)
-            if known is None:
-                new.append(chunk)
+        young, old = self.young, self.old
+        fresh: dict[bytes, None] = {}
+        derived = []
+
+        def want(form: bytes) -> None:
+            if form not in young:
+                known = old.get(form)
+                if known is None:
+                    fresh[form] = None
+                else:
+                    young[form] = known
+
+        for chunk in wanted - young.keys():
+            known = old.get(chunk)
+            if known is not None:
+                young[chunk] = known
+            elif self.derives and (found := _MARKED(chunk)) and (form := found[1].lower()) != chunk:
+                derived.append((chunk, form, found[2]))
+                want(form)
+                if found[2]:
+                    want(found[2])
             else:
-                self.young[chunk] = known
-        if new:
+                fresh[chunk] = None
+        if fresh:
+            new = list(fresh)
             encoded = self.library.encode([c.decode() for c in new], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(encoded.ids, np.uint32).tobytes()
             ends = 4 * np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(new)))
             start = 0
             for chunk, end in zip(new, ends.tolist()):
-                (self.young if len(chunk) <= CHUNK_BYTES else once)[chunk] = raw[start:end]
+                (young if len(chunk) <= CHUNK_BYTES else once)[chunk] = raw[start:end]
                 start = end
+        for chunk, form, marks in derived:
+            ids = young[form] if len(form) <= CHUNK_BYTES else once[form]
+            if marks:
+                ids += young[marks] if len(marks) <= CHUNK_BYTES else once[marks]
+            (young if len(chunk) <= CHUNK_BYTES else once)[chunk] = ids
         if once:
             return [b"".join([once[c] if c in once else self.young[c] for c in p]) if not once.keys().isdisjoint(p) else b"".join(map(self.young.__getitem__, p)) for p in parts]
         return [b"".join(map(self.young.__getitem__, p)) for p in parts]
