@@ -1,12 +1,13 @@
 """Operators on change events: windows, filters, aggregates, activity.
 
-Facts: events_all(path, author, sha, ts), commits(sha, author, ts, parents, subject), tracked(path).
+Facts: events_all(path, author, sha, ts), commits(sha, author, ts, parents, subject), tracked(path),
+extra_bots(author): service accounts that the user names.
 """
 
 SQL = {
     "events": ("Events of the lookback window that ends at the analysis instant.", """
         SELECT path, author, sha, ts FROM {events_all}
-        WHERE ts <= TIMESTAMP :as_of AND ts >= TIMESTAMP :as_of - INTERVAL 365 DAYS"""),
+        WHERE ts <= TIMESTAMP :as_of AND ts >= TIMESTAMP :as_of - INTERVAL :lookback_days DAYS"""),
     "gaps": ("Days between neighbouring distinct instants of each path.", """
         SELECT path, @days(ts, before) AS gap
         FROM (SELECT path, ts, lag(ts) OVER (PARTITION BY path ORDER BY ts) AS before FROM (SELECT DISTINCT path, ts FROM {events}) AS d) AS l
@@ -29,20 +30,21 @@ SQL = {
         SELECT CASE WHEN merges * 100 >= :merge_percent * n THEN 'merge' WHEN squashed * 100 >= :squash_percent * (n - merges) AND n > merges THEN 'squash' ELSE 'rebase' END AS strategy, merges, squashed, n AS commits
         FROM (SELECT count(*) AS n, count(CASE WHEN parents > 1 THEN 1 END) AS merges, count(CASE WHEN parents <= 1 AND @matches(subject, '[(]#[0-9]+[)]$') THEN 1 END) AS squashed FROM {commits}) AS c"""),
     "subject_templates": ("Subjects without hashes and versions, per author.", """
-        SELECT author, trim(@replace_all(@replace_all(@replace_all(lower(subject), '[0-9a-f]{7,40}', ''), 'v?[0-9]+([.][0-9]+)*', ''), '[ ]+', ' ')) AS template, count(*) AS n
+        SELECT author, trim(@replace_all(@replace_all(@replace_all(lower(subject), @raw('\\b[0-9a-f]{7,}\\b'), ''), '[0-9]+([.][0-9]+)*', ''), '[ ]+', ' ')) AS template, count(*) AS n
         FROM {commits} GROUP BY 1, 2"""),
     "mechanical_authors": ("Authors of many commits that mostly follow one template or a mechanical prefix.", """
         SELECT author, CAST(sum(n) AS BIGINT) AS commits, max(n) AS most
         FROM {subject_templates} GROUP BY author
         HAVING sum(n) >= :mass_floor AND (max(n) >= :mass_fraction * sum(n) OR sum(CASE WHEN @matches(template, '^(bump|chore[(]deps[)]|dependabot|automated)') THEN n ELSE 0 END) >= :mass_fraction * sum(n))"""),
     "capped_contributions": ("Contributions with the credit of mechanical authors capped at one.", """
-        SELECT c.path, c.author, c.commits, CASE WHEN m.author IS NOT NULL THEN least(c.credit, 1e0) ELSE c.credit END AS credit
+        SELECT c.path, c.author, c.commits, CASE WHEN m.author IS NOT NULL THEN least(c.credit, 1e0) ELSE c.credit END AS credit, c.last_commit, c.last_sha, c.later_commits, c.cadence_days
         FROM {contributions} AS c LEFT JOIN {mechanical_authors} AS m ON c.author = m.author"""),
     "bot_authors": ("Authors that are bots by name.", """
         SELECT DISTINCT author FROM {events_all}
-        WHERE @contains(lower(author), '[bot]') OR lower(author) LIKE 'bot@%' OR lower(author) = 'actions@github.com' OR split_part(lower(author), '@', 1) IN ('dependabot', 'renovate', 'github-actions', 'nation_24')"""),
+        WHERE @contains(lower(author), '[bot]') OR lower(author) LIKE 'bot@%' OR lower(author) = 'actions@github.com' OR split_part(lower(author), '@', 1) IN ('dependabot', 'renovate', 'github-actions', 'release-please')
+          OR lower(author) IN (SELECT lower(author) FROM {extra_bots})"""),
     "kept_contributions": ("Contributions to tracked, not excluded paths by people; filters follow the aggregates, which count everyone.", """
-        SELECT c.* FROM {contributions} AS c
+        SELECT c.* FROM {capped_contributions} AS c
         WHERE NOT EXISTS (SELECT 1 FROM {bot_authors} AS b WHERE b.author = c.author)
           AND EXISTS (SELECT 1 FROM {tracked} AS t WHERE t.path = c.path)
           AND NOT EXISTS (SELECT 1 FROM {excluded_paths} AS x WHERE x.path = c.path)"""),

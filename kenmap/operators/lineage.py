@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,17 +57,31 @@ class Lineage:
         return out
 
 
+def _shared_directory(paths: list[str]) -> list[str]:
+    """Components of the deepest directory above all paths."""
+    split = [p.split("/")[:-1] for p in paths]
+    return [parts[0] for parts in itertools.takewhile(lambda parts: len(set(parts)) == 1, zip(*split))]
+
+
 def directory_moves(moves: list[tuple[str, str, int]], living: Iterable[str]) -> list[tuple[str, str]]:
-    """(old, new) directories: two renames or more that change only a directory, and move all its living files."""
-    groups: dict[tuple[str, str], set[str]] = {}
-    for old, new, _ in moves:
-        a, b = old.split("/"), new.split("/")
-        while a and b and a[-1] == b[-1]:
-            a.pop()
-            b.pop()
-        if a and b:
-            groups.setdefault(("/".join(a), "/".join(b)), set()).add(old)
-    return [k for k, files in sorted(groups.items()) if len(files) > 1 and all(p in files for p in living if p.startswith(k[0] + "/"))]
+    """(old, new) directory, where a commit's renames (two or more) change nothing but it and move all its living files."""
+    if len(moves) < 2:
+        return []
+    old, new = _shared_directory([m[0] for m in moves]), _shared_directory([m[1] for m in moves])
+    while old and new and old[-1] == new[-1]:  # a component that both end in was not renamed
+        old, new = old[:-1], new[:-1]
+    sources = {m[0] for m in moves}
+    same = old and new and all(a.split("/")[len(old) :] == b.split("/")[len(new) :] for a, b, _ in moves)
+    root = "/".join(old) + "/"
+    return [("/".join(old), "/".join(new))] if same and all(p in sources for p in living if p.startswith(root)) else []
+
+
+def settled(moves: list[tuple[str, str, int]], living: dict[str, str]) -> list[tuple[str, str, int]]:
+    """The renames of a commit as they count: a moved directory takes its living files only, all with the least similarity."""
+    if not directory_moves(moves, living):
+        return moves
+    least = min(s for *_, s in moves)
+    return [(a, b, least) for a, b, _ in moves if a in living]
 
 
 def lineage(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -78,7 +93,7 @@ def lineage(commits: DataFrame, files: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state = Lineage()
         for (_, sha), rows in pdf.sort_values(["ts", "sha", "path"]).groupby(["ts", "sha"], sort=True):
-            state.rename([(r.old_path, r.path, int(r.similarity)) for r in rows.itertuples() if r.status == "R"], sha)
+            state.rename(settled([(r.old_path, r.path, int(r.similarity)) for r in rows.itertuples() if r.status == "R"], state.file_at), sha)
             for r in rows.itertuples():
                 if r.status == "C":
                     state.copy(r.old_path, r.path, int(r.similarity), sha)
@@ -88,5 +103,10 @@ def lineage(commits: DataFrame, files: DataFrame) -> DataFrame:
                     state.touch(r.path, sha)
         return pd.DataFrame(state.rows(), columns=["logical_id", "path", "priors", "confidence", "copied_from"])
 
+    # A path is touched once before it moves: of its plain changes only the first decides, so only moves, deletions and first touches are handed over.
     joined = commits.select("repo", "sha", "ts").join(files.select("repo", "sha", "status", F.coalesce("similarity", F.lit(100)).alias("similarity"), "old_path", "path"), ["repo", "sha"])
-    return joined.groupBy("repo").applyInPandas(run, "logical_id string, path string, priors array<string>, confidence double, copied_from string")
+    plain = F.col("status").isin("A", "M", "T")
+    first = joined.withColumn("n", F.when(plain, F.row_number().over(Window.partitionBy("repo", "path", plain).orderBy("ts", "sha"))))
+    moved = joined.where(~plain).select("repo", F.explode(F.array("path", "old_path")).alias("path")).where("path is not null").distinct().withColumn("moves", F.lit(True))
+    needed = first.join(moved, ["repo", "path"], "left").where("n is null or n = 1 or moves").drop("n", "moves")
+    return needed.groupBy("repo").applyInPandas(run, "logical_id string, path string, priors array<string>, confidence double, copied_from string")

@@ -1,11 +1,13 @@
 """Policy, explanation, layers, identity merges, privacy, completeness.
 
-Facts besides the others: security(rx), roster(identity, handle, certain), moves(sha, similarity, old_path, path).
+Facts besides the others: security(rx), roster(identity, handle, certain), moves(sha, similarity, old_path, path),
+modifications(sha, path): files that a commit modifies, flags(code): evidence that a run could not collect.
 """
 
 SQL = {
-    "mass_commits": ("Commits that modify at least a fiftieth of all tracked paths.", """
-        SELECT e.sha, count(DISTINCT e.path) AS modified FROM {events} AS e GROUP BY e.sha HAVING count(DISTINCT e.path) * 50 >= (SELECT count(*) FROM {tracked}) OR count(DISTINCT e.path) >= :mass_floor"""),
+    "mass_commits": ("Commits that modify at least the given fraction of all tracked paths.", """
+        SELECT m.sha, m.modified FROM (SELECT sha, count(*) AS modified FROM {modifications} GROUP BY sha) AS m CROSS JOIN (SELECT count(*) AS n FROM {tracked}) AS t
+        WHERE t.n > 0 AND m.modified >= :mass_refactor * t.n"""),
     "rename_commits": ("Commits that contain a rename, and the least similarity.", "SELECT sha, count(*) AS renames, min(similarity) AS similarity FROM {moves} GROUP BY sha"),
     "lineage_confidence": ("Evidence quality scaled by the similarity of a path's renames; the score is not.", """
         SELECT o.path, o.author, o.score, o.quality * coalesce(m.similarity, 100) / 100e0 AS quality FROM {owners} AS o LEFT JOIN (SELECT path, min(similarity) AS similarity FROM {moves} GROUP BY path) AS m ON o.path = m.path"""),
@@ -30,8 +32,13 @@ SQL = {
         FROM {scored} AS s LEFT JOIN {owners} AS o ON s.path = o.path AND s.author = o.author WHERE s.path LIKE :target || '/%' AND o.author IS NULL GROUP BY s.author"""),
     "outside_window": ("People whose last touch of the target lies before the window.", """
         SELECT e.author, max(e.ts) AS last_commit FROM {events_all} AS e WHERE e.path LIKE :target || '/%' AND NOT EXISTS (SELECT 1 FROM {events} AS w WHERE w.author = e.author AND w.path LIKE :target || '/%') GROUP BY e.author"""),
-    "assessment": ("aligned, diverged or undeclared, per observed path.", """
-        SELECT s.path, CASE WHEN v.path IS NULL THEN 'undeclared' WHEN v.differing = 0 THEN 'aligned' WHEN v.overlap > 0 THEN 'partly' ELSE 'diverged' END AS verdict FROM {path_summary} AS s LEFT JOIN {divergence} AS v ON s.path = v.path"""),
+    "assessment": ("aligned where declared and observed owners, or members of a declared team, have one person in common; else diverged; unverifiable where nobody is declared.", """
+        SELECT s.path, CASE WHEN d.path IS NULL THEN 'unverifiable' WHEN c.path IS NOT NULL THEN 'aligned' ELSE 'diverged' END AS verdict
+        FROM {path_summary} AS s LEFT JOIN (SELECT DISTINCT path FROM {declared}) AS d ON s.path = d.path
+        LEFT JOIN (
+          SELECT DISTINCT o.path FROM {owners} AS o JOIN (
+            SELECT path, owner FROM {declared} UNION SELECT x.path, lower(m.login) FROM {declared} AS x JOIN {team_closure} AS m ON @contains(x.owner, '/') AND lower(m.slug) = @replace_all(x.owner, '^.*/', '')) AS w
+          ON o.path = w.path AND lower(o.author) = w.owner) AS c ON s.path = c.path"""),
     "layers": ("Declared and observed owners of each top directory.", """
         SELECT o.top, o.observed, coalesce(d.declared, '') AS declared FROM (SELECT split_part(path, '/', 1) AS top, @joined(author) AS observed FROM {owners} WHERE rank = 1 GROUP BY 1) AS o
         LEFT JOIN (SELECT split_part(path, '/', 1) AS top, @joined(owner) AS declared FROM {declared} GROUP BY 1) AS d ON o.top = d.top"""),
@@ -42,10 +49,18 @@ SQL = {
     "without_person": ("Owners recounted without an excluded contributor.", "SELECT path, count(*) AS owners, max(score) AS top_score FROM {ranked} WHERE lower(author) <> lower(:removed) GROUP BY path"),
     "private_owners": ("Owners under pseudonyms.", "SELECT path, 'person-' || substr(@sha(:repo_id || chr(10) || lower(author)), 1, 12) AS person, score FROM {owners}"),
     "redacted_subjects": ("Subjects with addresses and numbers hidden.", "SELECT sha, @replace_all(@replace_all(subject, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+', '[address]'), '#[0-9]+', '#') AS subject FROM {commits}"),
-    "completeness": ("Share of the thirteen evidence kinds without a gap.", """
-        SELECT round((13 - count(*)) / 13e0, 4) AS completeness, count(*) AS gaps FROM (
-          SELECT 'reviews' AS gap FROM (SELECT count(*) AS n FROM {review_counts}) AS r WHERE n = 0 UNION ALL SELECT 'lines' FROM (SELECT count(*) AS n FROM {blame_lines}) AS b WHERE n = 0
-          UNION ALL SELECT 'renames' FROM (SELECT count(*) AS n FROM {moves}) AS m WHERE n > 0 UNION ALL SELECT 'excluded' FROM (SELECT count(*) AS n FROM {excluded_paths}) AS x WHERE n > 0) AS g"""),
+    "completeness": ("Share of the thirteen kinds of evidence without a gap.", "SELECT round((13 - count(*)) / 13e0, 4) AS completeness, count(*) AS gaps FROM {gap_list}"),
+    "gap_list": ("Gaps of the evidence, each kind once, in the order of the catalog.", """
+        SELECT k.ord, k.code FROM (VALUES (1, 'shallow_history'), (2, 'insufficient_history'), (3, 'absent_token'), (4, 'review_history'), (5, 'api_rate_limit'), (6, 'api_budget'), (7, 'runtime_budget'),
+          (8, 'team_membership'), (9, 'ambiguous_identity'), (10, 'excluded_files'), (11, 'unresolved_renames'), (12, 'missing_mailmap'), (13, 'missing_ignore_revs')) AS k(ord, code)
+        JOIN (SELECT DISTINCT code FROM (
+          SELECT code FROM {flags}
+          UNION ALL SELECT 'insufficient_history' FROM (SELECT count(*) AS n FROM {events}) AS e WHERE n = 0
+          UNION ALL SELECT 'review_history' FROM (SELECT count(*) AS n FROM {review_counts}) AS r WHERE n = 0
+          UNION ALL SELECT 'team_membership' FROM (SELECT count(*) AS n FROM {team_members}) AS t WHERE n = 0
+          UNION ALL SELECT 'ambiguous_identity' FROM (SELECT count(*) AS n FROM {duplicate_identities}) AS i WHERE n > 0
+          UNION ALL SELECT 'excluded_files' FROM (SELECT count(*) AS n FROM {excluded_paths}) AS x WHERE n > 0
+          UNION ALL SELECT 'unresolved_renames' FROM (SELECT count(*) AS n FROM {moves}) AS m WHERE n > 0) AS g) AS d ON k.code = d.code"""),
     "reviewer_suggestions": ("Reviewers of the target's paths: score, paths covered, latest change, own load.", """
         SELECT o.author, max(o.score) AS score, count(*) AS covered, max(o.last_commit) AS last_commit, max(CASE WHEN l.band = 'high' THEN 1 ELSE 0 END) AS overloaded
         FROM {owners} AS o LEFT JOIN {review_load} AS l ON o.author = l.reviewer WHERE o.path LIKE :target || '/%' GROUP BY o.author"""),

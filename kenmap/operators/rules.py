@@ -1,7 +1,8 @@
 """Ownership rules against paths, declared against observed owners, findings.
 
 Facts besides the others: rules(line_no, pattern, rx, top, supported, owners, source), baseline(rule, path),
-suppressions(rule, path, rx, expires).  ``owners`` is a comma-joined list.  The match is joined on the rule's literal
+suppressions(rule, path, rx, expires), criticality(ord, rx, rule_rx, weight)
+with ``rule_rx`` in the language of rules.  ``owners`` is a comma-joined list.  The match is joined on the rule's literal
 first directory where it has one, so that only floating rules meet all paths.
 """
 
@@ -49,36 +50,57 @@ SQL = {
           CASE WHEN score < 0.15e0 THEN 'info' WHEN score < 0.35e0 THEN 'low' WHEN score < 0.55e0 THEN 'medium' WHEN score < 0.75e0 THEN 'high' ELSE 'critical' END AS severity FROM (
           SELECT u.*, 0.40e0 * (1e0 - overlap) + 0.25e0 * least(1e0, abs(delta)) + 0.15e0 * weight + CASE WHEN decay THEN 0.15e0 ELSE 0e0 END + CASE WHEN qualified_owners = 1 THEN 0.05e0 ELSE 0e0 END AS score FROM (
             SELECT d.*, least(1e0, coalesce(w.weight, 0e0)) AS weight FROM (SELECT * FROM {drift_missing} UNION ALL SELECT * FROM {drift_stale} UNION ALL SELECT * FROM {drift_changed}) AS d
-            LEFT JOIN (SELECT d2.path, max(c.weight) AS weight FROM (SELECT DISTINCT path FROM {tracked}) AS d2 JOIN {criticality} AS c ON @matches(d2.path, c.rx) GROUP BY d2.path) AS w ON d.path = w.path) AS u) AS s"""),
+            LEFT JOIN (
+              SELECT e.path, max(c.weight) AS weight FROM (SELECT path FROM {drift_missing} UNION SELECT path FROM {drift_stale} UNION SELECT path FROM {drift_changed}) AS e JOIN {criticality} AS c ON @matches(e.path, c.rule_rx) GROUP BY e.path) AS w
+            ON d.path = w.path) AS u) AS s"""),
     "drift_severity": ("The worst severity of all drift.", """
         SELECT CASE coalesce(max(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END), 0) WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity,
           count(*) AS entries, count(CASE WHEN delta >= 0.7e0 OR qualified_owners <= :critical_owners OR decay THEN 1 END) AS high_entries FROM {drift}"""),
-    "findings": ("Findings with their identity: rule, path, and a digest of both.", """
-        SELECT rule, path, @sha(rule || '|' || path) AS fingerprint FROM (
-          SELECT category || '-drift' AS rule, path FROM {drift} UNION ALL SELECT 'single-expert', path FROM {tiers} WHERE tier = 'critical' UNION ALL SELECT 'shadowed-rule', pattern FROM {rules} AS r JOIN {shadowed_rules} AS s ON r.line_no = s.line_no) AS f
-        GROUP BY rule, path"""),
+    "findings": ("Findings with their identity: rule, path and owners (none for single experts), and a digest of it.", """
+        SELECT rule, path, owners, @sha(rule || '|' || path || '|' || owners) AS fingerprint FROM (
+          SELECT d.category || '-drift' AS rule, d.path, coalesce(lower(r.owners), '') AS owners FROM {drift} AS d LEFT JOIN {rules} AS r ON d.line_no = r.line_no
+          UNION ALL SELECT 'single-expert', path, '' FROM {tiers} WHERE tier = 'critical'
+          UNION ALL SELECT 'shadowed-rule', pattern, lower(owners) FROM {rules} AS r JOIN {shadowed_rules} AS s ON r.line_no = s.line_no) AS f
+        GROUP BY rule, path, owners"""),
     "suppressed": ("Findings that an unexpired suppression covers, by path or pattern.", """
         SELECT DISTINCT f.rule, f.path FROM {findings} AS f JOIN {suppressions} AS s ON f.rule = s.rule AND (f.path = s.path OR @matches(f.path, s.rx)) WHERE s.expires IS NULL OR s.expires >= CAST(TIMESTAMP :as_of AS DATE)"""),
     "new_findings": ("Findings neither suppressed nor accepted before.", """
         SELECT f.* FROM {findings} AS f WHERE NOT EXISTS (SELECT 1 FROM {suppressed} AS s WHERE s.rule = f.rule AND s.path = f.path) AND NOT EXISTS (SELECT 1 FROM {baseline} AS b WHERE b.rule = f.rule AND b.path = f.path)"""),
     "settled_findings": ("Accepted findings that no longer occur.", """
         SELECT b.rule, b.path FROM {baseline} AS b WHERE NOT EXISTS (SELECT 1 FROM {findings} AS f WHERE f.rule = b.rule AND f.path = b.path)"""),
-    "consolidated": ("For each path the shortest directory all of whose files have one owner set (two files at least), else the path.", """
+    "consolidated": ("For each path the shortest directory all of whose files have one owner set (two files at least), else the path; the root only where it spans several entries.", """
         SELECT pattern, owners, count(*) AS files FROM (
-          SELECT p.path, p.owners, coalesce(CASE WHEN a.dir IS NOT NULL THEN '/' || a.dir || '/' END, CASE WHEN b.dir IS NOT NULL THEN '/' || b.dir || '/' END, '/' || p.path) AS pattern
-          FROM {owner_sets} AS p LEFT JOIN {uniform_dirs} AS a ON split_part(p.path, '/', 1) = a.dir LEFT JOIN {uniform_dirs} AS b ON split_part(p.path, '/', 1) || '/' || split_part(p.path, '/', 2) = b.dir) AS c
+          SELECT p.path, p.owners, CASE WHEN u.depth IS NULL THEN '/' || p.path WHEN u.depth = 0 THEN '*' ELSE '/' || @prefix(p.path, u.depth) || '/' END AS pattern
+          FROM {owner_sets} AS p LEFT JOIN (
+            SELECT a.path, min(a.depth) AS depth FROM {set_dirs} AS a JOIN {uniform_dirs} AS d ON a.dir = d.dir GROUP BY a.path) AS u ON p.path = u.path) AS c
         GROUP BY pattern, owners"""),
+    "set_dirs": ("All directories above each owned path, the root among them.", """
+        SELECT path, owners, depth, CASE WHEN depth = 0 THEN '' ELSE @prefix(path, depth) END AS dir FROM (SELECT path, owners, @explode(@series(0, @depth(path))) AS depth FROM {owner_sets}) AS d"""),
     "owner_sets": ("The owners of each path as one sorted list.", "SELECT path, @joined(author) AS owners FROM {owners} GROUP BY path"),
     "uniform_dirs": ("Directories of two files or more with one owner set.", """
-        SELECT dir FROM (SELECT split_part(path, '/', 1) AS dir, owners FROM {owner_sets} UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), owners FROM {owner_sets}) AS d
-        GROUP BY dir HAVING count(*) >= 2 AND count(DISTINCT owners) = 1"""),
-    "audit": ("One row for each check of rules and inference.", """
-        SELECT 'coverage' AS item, CASE WHEN share >= 0.5e0 THEN 'ok' ELSE 'warn' END AS status, paths - covered AS n FROM {coverage}
-        UNION ALL SELECT 'dead rules', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {dead_rules}
-        UNION ALL SELECT 'shadowed rules', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {shadowed_rules}
-        UNION ALL SELECT 'broad rules', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {broad_rules}
-        UNION ALL SELECT 'duplicate rules', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {duplicate_rules}
-        UNION ALL SELECT 'single experts', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {tiers} WHERE tier = 'critical'
-        UNION ALL SELECT 'decay', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {decay_warnings}
-        UNION ALL SELECT 'drift', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {drift}"""),
+        SELECT dir FROM {set_dirs} GROUP BY dir HAVING count(*) >= 2 AND count(DISTINCT owners) = 1 AND (dir <> '' OR min(split_part(path, '/', 1)) <> max(split_part(path, '/', 1)))"""),
+    "audit": ("One row for each check of the rules, of the platform and of inference: ok, warn, fail or unverifiable.", """
+        SELECT 'branch' AS item, 'unverifiable' AS status, 0 AS n FROM {repository}
+        UNION ALL SELECT 'file-size', CASE WHEN file_bytes > :file_limit THEN 'fail' ELSE 'ok' END, file_bytes FROM {repository}
+        UNION ALL SELECT 'invalid-owner', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'fail' END, count(*) FROM {invalid_rules}
+        UNION ALL SELECT 'owner-access', 'unverifiable', 0 FROM {repository}
+        UNION ALL SELECT 'invisible-team', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {declared_teams} WHERE NOT known
+        UNION ALL SELECT 'empty-team', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {declared_teams} WHERE known AND members = 0
+        UNION ALL SELECT 'shadowed-rule', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {shadowed_rules}
+        UNION ALL SELECT 'unowned-file', CASE WHEN paths = 0 THEN 'unverifiable' WHEN covered = paths THEN 'ok' ELSE 'warn' END, paths - covered FROM {coverage}
+        UNION ALL SELECT 'dead-rule', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {dead_rules}
+        UNION ALL SELECT 'bus-factor', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {tiers} WHERE tier = 'critical'
+        UNION ALL SELECT 'duplicate-rule', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {duplicate_rules}
+        UNION ALL SELECT 'broad-rule', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {broad_rules}
+        UNION ALL SELECT 'self-protection', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {rules} WHERE supported AND @matches(:rule_file, rx)
+        UNION ALL SELECT 'ruleset', CASE review WHEN 'required' THEN 'ok' WHEN 'unknown' THEN 'unverifiable' ELSE 'warn' END, 0 FROM {repository}
+        UNION ALL SELECT 'drift', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {drift}
+        UNION ALL SELECT 'single-expert', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {concentration} WHERE round(top_share, 4) >= 0.5e0
+        UNION ALL SELECT 'decay', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {stale_declared}
+        UNION ALL SELECT 'orphaned-owner', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM {owners} AS o JOIN {contributor_status} AS s ON o.author = s.author WHERE o.rank = 1 AND s.status = 'former'
+        UNION ALL SELECT 'observed-unowned', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM (SELECT DISTINCT path FROM {scored}) AS c WHERE NOT EXISTS (SELECT 1 FROM {owners} AS o WHERE o.path = c.path)"""),
+    "declared_teams": ("Teams that rules name, whether they are known, and how many members they and the teams below them have.", """
+        SELECT t.owner, max(CASE WHEN k.slug IS NULL THEN 0 ELSE 1 END) = 1 AS known, count(DISTINCT m.login) AS members
+        FROM (SELECT DISTINCT lower(owner) AS owner FROM {rule_owners} WHERE @contains(owner, '/')) AS t
+        LEFT JOIN {teams} AS k ON lower(k.slug) = @replace_all(t.owner, '^.*/', '') LEFT JOIN {team_closure} AS m ON m.slug = k.slug GROUP BY t.owner"""),
 }

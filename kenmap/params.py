@@ -33,9 +33,15 @@ class Params:
     squash_percent: int = 50
     mass_floor: int = 20
     mass_fraction: float = 0.8
+    mass_refactor: float = 0.5
     periods: int = 6
     period_days: int = 30
     monopoly: float = 0.72
+    overload: float = 2.0
+    max_increase: float = 0.3
+    inferred_criticality: float = 0.8
+    file_limit: int = 3145728
+    rule_file: str = "CODEOWNERS"
     removed: str = "NATION_1"
     target: str = "Brand#1"
     completeness: float = 1.0

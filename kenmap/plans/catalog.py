@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.operators import concentration, history, ownership, people, policy, risk, rules
+from kenmap.operators import concentration, history, insight, ownership, people, policy, risk, rules
 from kenmap.params import Params
+from kenmap.plans import checks
 from kenmap.plans.engine import Engine, Operator, statement
 from kenmap.plans.schemas import SCHEMAS
 from kenmap.sources import adapter
 
-OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (history, ownership, concentration, rules, risk, people, policy) for n, (doc, sql) in module.SQL.items()}
+OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (history, ownership, concentration, rules, risk, people, policy, insight) for n, (doc, sql) in module.SQL.items()}
 
 #: Operators that are steps of others and no report of their own.
-STEPS = {"gaps", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs"}
+STEPS = {"gaps", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs", "set_dirs", "leaders", "directory_leaders", "tracked_dirs", "left_shares", "departure_order", "departure_steps"}
 ROUND = 6
 
 
-def engine(spark: SparkSession, sf_dir: str, params: Params = Params()) -> Engine:
+#: Reports of one target directory: nothing below them is pinned, so the target reaches the scans of the history.
+TARGETED = {"expertise", "explanation", "why_not", "match_chain", "mentors", "reviewer_suggestions", "outside_window", "outsider_blame", "threshold_knobs", "prerequisites", "onboarding", "onboarding_complexity", "team_resolution"}
+
+
+def engine(spark: SparkSession, sf_dir: str, params: Params = Params(), pinned: bool = True) -> Engine:
     """An engine over the star-schema tables in ``sf_dir``; they are read lazily, columns and filters reach the scans."""
     for name in adapter.TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return Engine(spark, adapter.OPERATORS | OPERATORS, {}, params)
+    made = Engine(spark, adapter.OPERATORS | OPERATORS, {}, params)
+    return made if pinned else replace(made, pinned=frozenset())
 
 
 def _columns(name: str) -> list[tuple[str, str]]:
@@ -39,7 +46,7 @@ def rounded(df: DataFrame, name: str) -> DataFrame:
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(engine(spark, sf_dir).table(name), name)
+        return rounded(engine(spark, sf_dir, pinned=name not in TARGETED).table(name), name)
 
     run.__name__, run.__doc__ = name, OPERATORS[name].doc
     return run
@@ -51,7 +58,7 @@ QUERIES = {name: _query(name) for name in OPERATORS if name not in STEPS}
 def oracle(name: str) -> str:
     """The statement of an operator for DuckDB, in the form of ``rounded``."""
     form = {"double": "round({0}, 6) AS {0}", "bigint": "CAST({0} AS BIGINT) AS {0}", "timestamp": "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"}
-    text = statement(adapter.OPERATORS | OPERATORS, name, Params())
+    text = statement(adapter.OPERATORS | OPERATORS | checks.OPERATORS, name, Params())
     return text[: text.rindex("SELECT * FROM")] + "SELECT " + ", ".join(form.get(k, "{0}").format(c) for c, k in _columns(name)) + f" FROM {name}"
 
 

@@ -9,13 +9,13 @@ inputs as one self-contained statement, for any other SQL engine that is to chec
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kenmap.params import Params
+from kenmap.plans.storage import kept
 
 _INPUT = re.compile(r"\{([a-z_]\w*)\}")
 _BRACES = re.compile(r"\{([a-z_]\w*)\}|[{}]")
@@ -36,6 +36,8 @@ DIALECTS: dict[str, tuple[str, str]] = {
     "json_text": ("get_json_object(%s, %s)", "json_extract_string(%s, %s)"),
     "raw": ("r%s", "%s"),
     "str": ("cast(%s as string)", "cast(%s as varchar)"),
+    "prefix": ("array_join(slice(split(%s, '/'), 1, %s), '/')", "array_to_string(string_split(%s, '/')[1:%s], '/')"),
+    "depth": ("(size(split(%s, '/')) - 1)", "(len(string_split(%s, '/')) - 1)"),
     "contains": ("contains(%s, %s)", "contains(%s, %s)"),
 }
 
@@ -95,14 +97,6 @@ def with_params(sql: str, params: Params) -> str:
     return _PARAM.sub(lambda m: _literal(known[m[1]]) if m[1] in known else m[0], sql)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` in the cluster's checkpoint folder (one of our own where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kenmap-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class Engine:
     """Operators over the fact tables ``facts`` (name: DataFrame)."""

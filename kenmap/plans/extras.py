@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from kenmap.operators import graphs, lineage
 from kenmap.plans import catalog
+from kenmap.sinks import documents
+from kenmap.sources import adapter, text
 from kenmap.streaming import ingest
 
 
-def repo_truck_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy truck factors of the whole repository."""
-    return graphs.repo_truck_factors(catalog.engine(spark, sf_dir).table("owners"))
-
-
 def person_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities, betweenness and articulation people of the collaboration graph."""
     return graphs.person_graph(catalog.engine(spark, sf_dir).table("pair_weights"))
@@ -31,13 +28,86 @@ def path_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.lineage(commits, files)
 
 
+def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of people against the declared teams."""
+    own = catalog.engine(spark, sf_dir)
+    return graphs.topology(own.table("pair_weights"), own.table("team_members"))
+
+
+def knowledge_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People whose departure splits the graph of people and paths, by top directory."""
+    return graphs.knowledge_cuts(catalog.engine(spark, sf_dir).table("owners").selectExpr("split_part(path, '/', 1) as top", "concat('person:', author) as src", "concat('path:', path) as dst"))
+
+
+def onboarding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning order of the target's files behind what they import, with a reviewer for each."""
+    own = catalog.engine(spark, sf_dir)
+    inside = own.table("prerequisites").selectExpr("path as dependent", "prerequisite as dependency")
+    return graphs.onboarding_plan(own.table("onboarding"), inside, own.table("owners"))
+
+
+def transfer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest chain of collaborators from each person who decays to each successor."""
+    own = catalog.engine(spark, sf_dir)
+    pairs = own.table("transfers").where("successor is not null").select("author", "successor").distinct()
+    return graphs.transfer_paths(own.table("pair_weights"), pairs)
+
+
+def steady_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of each event type's days with hysteresis, from a stream of daily runs."""
+    runs = spark.sql("""
+        SELECT event_type AS repo, datediff(ts, DATE '1992-01-01') AS run, CASE WHEN count(*) % 3 = 0 THEN 'high' ELSE 'low' END AS severity, count(*) % 5 / 20e0 AS delta
+        FROM {events} GROUP BY 1, 2""", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return graphs.steady(runs)
+
+
+def parsed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits and files read back from a text export of the orders."""
+    raw = spark.sql(f"""
+        SELECT concat('{text.RECORD}', lpad(lower(hex(o_orderkey)), 40, '0'), '{text.FIELD}', 'Name', '\t', concat('C', o_custkey, '@X.org'), '{text.FIELD}', date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '{text.FIELD}', 'p', '{text.FIELD}', o_orderpriority, '{text.FIELD}',
+          'Co-authored-by: Two <c', o_custkey % 7, '@x.org>', '{text.FIELD}', 'M\t', o_orderstatus, '/', o_orderkey % 10, '\nR090\told/', o_orderkey, '\tnew/', o_orderkey) AS value
+        FROM {{orders}}""", orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    commits, files = text.history(raw)
+    credited = text.credits(commits, text.coauthors(commits), None)
+    return credited.join(files, "sha").groupBy("author", "status").agg(F.count("*").alias("files"), F.countDistinct("sha").alias("commits"), F.max("similarity").cast("long").alias("similarity"))
+
+
+def parsed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts read back from porcelain texts of the line items."""
+    raw = spark.sql("""
+        SELECT concat('p', l_partkey) AS path, concat_ws('\n', transform(array_sort(collect_list(struct(l_orderkey, l_linenumber, l_suppkey))), x -> concat(lpad(concat(lower(hex(x.l_orderkey * 8 + x.l_linenumber)), 'f', x.l_suppkey), 40, '0'), ' 1 1 1\nauthor-mail <S', x.l_suppkey, '@x.org>\n\tline'))) AS value
+        FROM {lineitem} GROUP BY l_partkey""", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return text.attribution(raw).groupBy("path", "author").agg(F.sum("n_lines").alias("n_lines"))
+
+
+def parsed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's rules read back from the file that is written for them."""
+    content = documents.rule_file([(p, o) for p, o, s in adapter.RULES if s == "generated"], manual="\n".join(["# BEGIN MANUAL", *(f"{p} {o.replace(',', ' ')}" for p, o, s in adapter.RULES if s == "manual"), "# END MANUAL"]))
+    return text.rules(spark, content).select("line_no", "pattern", "owners", "source", "supported")
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first findings and graph edges as documents of every format: kind, size, digest."""
+    own = catalog.engine(spark, sf_dir)
+    shown = [r.asDict() for r in own.table("new_findings").orderBy("rule", "path").limit(documents.ANNOTATIONS).collect()]  # the formats' own bound
+    edges = [tuple(r) for r in own.table("graph_edges").orderBy("src", "dst").select("src", "dst", "relations").limit(documents.ANNOTATIONS).collect()]
+    rules = [tuple(r) for r in own.table("consolidated").orderBy("pattern").select("pattern", "owners").limit(documents.ANNOTATIONS).collect()]
+    made = {"sarif": documents.sarif(shown, "report"), "junit": documents.junit(shown, "report"), "annotations": documents.annotations(shown), "baseline": documents.baseline(shown), "check": documents.check_annotations(shown),
+            "dot": documents.dot(edges), "graphml": documents.graphml(edges), "gexf": documents.gexf(edges), "graph_json": documents.graph_json(edges), "graph_text": documents.graph_text(edges), "rule_file": documents.rule_file(rules)}
+    return spark.createDataFrame([(k, len(v), v) for k, v in made.items()], "kind string, size int, document string")
+
+
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily events of each type, through a stream that is drained."""
-    counted = ingest.drained(ingest.windowed(ingest.event_stream(spark, sf_dir)), "kenmap_stream_windows")
+    counted = ingest.drained(ingest.windowed(ingest.event_stream(spark, sf_dir)), ["start", "event_type"])
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (repo_truck_factors, person_graph, path_lineage, stream_windows)}
+QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, onboarding_plan, transfer_paths, steady_severity, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
 ORACLES = {
+    "parsed_history": """
+        WITH c AS (SELECT o_orderkey AS sha, 'c' || o_custkey || '@x.org' AS author FROM orders UNION SELECT o_orderkey, 'c' || (o_custkey % 7) || '@x.org' FROM orders), f AS (SELECT unnest(['M', 'R']) AS status)
+        SELECT author, status, count(*) AS files, count(DISTINCT sha) AS commits, CAST(CASE WHEN status = 'M' THEN 100 ELSE 90 END AS BIGINT) AS similarity FROM c, f GROUP BY author, status""",
+    "parsed_attribution": "SELECT 'p' || l_partkey AS path, 's' || l_suppkey || '@x.org' AS author, count(*) AS n_lines FROM lineitem GROUP BY ALL",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }

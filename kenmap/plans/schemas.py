@@ -8,7 +8,7 @@ SCHEMAS: dict[str, str] = {
     "merge_strategy": "strategy string, merges bigint, squashed bigint, commits bigint",
     "subject_templates": "author string, template string, n bigint",
     "mechanical_authors": "author string, commits bigint, most bigint",
-    "capped_contributions": "path string, author string, commits bigint, credit double",
+    "capped_contributions": "path string, author string, commits bigint, credit double, last_commit timestamp, last_sha bigint, later_commits bigint, cadence_days double",
     "bot_authors": "author string",
     "kept_contributions": "path string, author string, commits bigint, credit double, last_commit timestamp, last_sha bigint, later_commits bigint, cadence_days double",
     "excluded_paths": "path string",
@@ -60,9 +60,9 @@ SCHEMAS: dict[str, str] = {
     "drift_changed": "category string, path string, delta double, line_no bigint, qualified_owners bigint, decay boolean, overlap double",
     "drift": "category string, path string, delta double, line_no bigint, qualified_owners bigint, decay boolean, overlap double, weight double, score double, severity string",
     "drift_severity": "severity string, entries bigint, high_entries bigint",
-    "findings": "rule string, path string, fingerprint string",
+    "findings": "rule string, path string, owners string, fingerprint string",
     "suppressed": "rule string, path string",
-    "new_findings": "rule string, path string, fingerprint string",
+    "new_findings": "rule string, path string, owners string, fingerprint string",
     "settled_findings": "rule string, path string",
     "consolidated": "pattern string, owners string, files bigint",
     "owner_sets": "path string, owners string",
@@ -76,14 +76,14 @@ SCHEMAS: dict[str, str] = {
     "role_divergence": "path string, writer string, reviewer string",
     "pathologies": "path string, kind string, n bigint",
     "transfers": "path string, author string, successor string",
-    "base_primary": "path string, author string, score double",
-    "change_report": "path string, before_owner string, after_owner string, kind string",
+    "base_primary": "path string, author string, score double, qualified_owners bigint",
+    "change_report": "path string, before_owner string, after_owner string, before_count bigint, after_count bigint, kind string",
     "change_kinds": "kind string, paths bigint",
     "review_counts_total": "reviewer string, reviews bigint, pulls bigint, lines bigint, median_hours double, median_lines double",
-    "review_load": "reviewer string, reviews bigint, average double, band string",
-    "review_monopolies": "path string, author string, share double",
+    "review_load": "reviewer string, reviews bigint, average double, waiting bigint, band string",
+    "review_monopolies": "path string, author string, share double, knowledgeable bigint",
     "co_owners": "author string, other string, best double, paths bigint",
-    "rebalance": "author string, other string, paths bigint",
+    "rebalance": "author string, other string, confidence double, shift bigint",
     "pair_weights": "a string, b string, weight double",
     "person_dirs": "author string, dir string",
     "modularity": "modularity double",
@@ -93,7 +93,7 @@ SCHEMAS: dict[str, str] = {
     "team_coverage": "top string, slug string, coverage double",
     "contributor_status": "author string, status string",
     "former_share": "share double",
-    "duplicate_identities": "a string, b string, reason string",
+    "duplicate_identities": "identity string, first_identity string, reason string, members bigint",
     "handles": "email string, handle string",
     "pseudonyms": "identity string, pseudonym string",
     "graph_edges": "src string, dst string, relations string, n bigint",
@@ -127,4 +127,52 @@ SCHEMAS: dict[str, str] = {
     "solo_repository": "people bigint, solo boolean",
     "single_owner_paths": "path string, has_backup bigint",
     "team_status": "line_no bigint, slug string, paths bigint",
+    "gap_list": "ord bigint, code string",
+    "manifests": "path string",
+    "declared_teams": "owner string, known boolean, members bigint",
+    "last_written": "path string, line_no bigint",
+    "drift_entries": "category string, path string, line_no bigint, kind string, action string, delta double, severity string, place bigint",
+    "drift_digest": "category string, entries bigint, left_out bigint, worst bigint",
+    "path_signals": "line_no bigint, qualified_owners bigint, decay boolean, paths bigint",
+    "rule_observed": "line_no bigint, owner string, score double, author string",
+    "team_drift": "line_no bigint, team string, members bigint, active_members bigint, outside bigint, coverage double, status string",
+    "manual_review": "line_no bigint, pattern string, kind string, delta double, hidden_line bigint",
+    "star_owners": "owner string",
+    "finding_levels": "rule string, path string, owners string, check_name string, level string, blocks boolean",
+    "report_rows": "rule string, level string, path string, line_no bigint, message string",
+    "actionable": "drift bigint, critical bigint, decay bigint, actionable boolean",
+    "decay_digest": "status string, reports bigint, left_out bigint, longest bigint",
+    "balance_digest": "band string, reviewers bigint, reviews bigint, waiting bigint",
+    "risk_labels": "path string, churn string, first_reason string, strong_reasons bigint",
+    "worst_risk": "path string, risk bigint, tier string",
+    "criticality_known": "critical bigint, coupled bigint, unavailable boolean",
+    "last_activity": "path string, days bigint",
+    "affected_paths": "path string, before_owner string, after_owner string, before_count bigint, after_count bigint",
+    "removal_distribution": "before_mean double, after_mean double, before_most double, after_most double, before_concentrated bigint, after_concentrated bigint, before_paths bigint, after_paths bigint",
+    "person_best": "author string, path string, score double, commits bigint",
+    "nearest_owners": "path string, dir string, owner string",
+    "nested_owners": "path string, dir string, line bigint, owner string",
+    "layer_rows": "top string, declared_local string, declared_global string, observed string",
+    "attribute_values": "path string, attr string, value boolean",
+    "linguist_excluded": "path string",
+    "dependencies": "dependent string, dependency string",
+    "orphan_dependents": "path string, dependents bigint",
+    "prerequisites": "path string, prerequisite string",
+    "onboarding_complexity": "path string, step bigint, complexity string",
+    "knowledge_edges": "src string, dst string, relations string",
+    "identity_matches": "query string, author string",
+    "resolved": "identity string, handle string, source string, factor double",
+    "unresolved": "identity string, email string",
+    "merges": "handle string, first_identity string, identity string, source string",
+    "audit_identities": "identity string, email string, override_handle string, state string",
+    "outsider_blame": "author string, share double",
+    "threshold_knobs": "below_threshold bigint, best_below double, beyond_top bigint, without_review bigint",
+    "review_criticality": "author string, criticality double",
+    "team_resolution": "author string, team string",
+    "dirty_paths": "path string, state string",
+    "reused_share": "paths bigint, reused bigint, share double",
+    "mixed_blame": "path string, author string, share double, state string",
+    "current_paths": "path string, author string, commits bigint, last_commit timestamp",
+    "review_window": "reviewer string, pulls bigint",
+    "repo_truck_factors": "quantile double, people bigint",
 }

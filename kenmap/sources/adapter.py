@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from kenmap.functions.patterns import exclude_regex, rule_regex, rule_supported, target_regex
+from kenmap.functions.patterns import attribute_regex, exclude_regex, rule_regex, rule_supported, target_regex
 from kenmap.plans.engine import Operator
 
 #: (pattern, owners, source) in file order.
 RULES = (
+    ("/", "NATION_13", "generated"),
+    ("*o*", "NATION_12", "generated"),
     ("/Brand#1/", "NATION_1,NATION_2", "manual"),
     ("ECONOMY/", "NATION_3", "generated"),
     ("/Brand#2/STANDARD/", "", "generated"),
@@ -16,6 +18,8 @@ RULES = (
     ("/Brand#17/PROMO/*", "NATION_8", "manual"),
     ("/Brand#2*/**/blue*", "NATION_9,NATION_10", "generated"),
     ("!/Brand#3/", "NATION_11", "generated"),
+    ("/Brand#11/", "world/EUROPE", "generated"),
+    ("/Brand#12/ECONOMY*/", "world/ATLANTIS,NATION_3", "generated"),
 )
 CRITICALITY = (("Brand#1*", 1.0), ("Brand#2/PROMO", 0.9), ("*/ECONOMY/*", 0.1))
 EXCLUDES = ("Brand#25/*", "*-1??7")
@@ -36,22 +40,24 @@ def _first_directory(pattern: str) -> str | None:
 
 
 _RULES = [(i + 1, p, rule_regex(p), _first_directory(p), rule_supported(p), o, s) for i, (p, o, s) in enumerate(RULES)]
-_PATH = "p.p_brand || '/' || p.p_type || '/' || p.p_name || '-' || @str(p.p_partkey)"
+#: A few parts stand for files that one person alone works on, and for manifests one directory deeper.
+_PATH = "CASE WHEN p.p_partkey % 97 = 0 THEN 'Solo' ELSE p.p_brand END || '/' || p.p_type || '/' || p.p_name || '-' || @str(p.p_partkey) || CASE WHEN p.p_partkey % 53 = 0 THEN '/Dockerfile' ELSE '' END"
+_WHO = "CASE WHEN p.p_partkey % 97 = 0 THEN 'NATION_1' ELSE n.n_name END"
 _LINES = "lineitem AS l JOIN orders AS o ON l.l_orderkey = o.o_orderkey JOIN part AS p ON l.l_partkey = p.p_partkey"
 
 FACTS: dict[str, str] = {
-    "events_all": f"SELECT DISTINCT {_PATH} AS path, n.n_name AS author, o.o_orderkey AS sha, CAST(o.o_orderdate AS TIMESTAMP) AS ts FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey",
-    "commits": "SELECT o.o_orderkey AS sha, n.n_name AS author, CAST(o.o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o.o_orderkey % 12 = 0 THEN 2 ELSE 1 END AS parents, CASE WHEN o.o_orderkey % 3 = 0 THEN 'Bump release v' || @str(o.o_orderkey % 7) || '.1' ELSE 'Change ' || o.o_orderpriority || ' (#' || @str(o.o_orderkey) || ')' END AS subject FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey",
+    "events_all": f"SELECT DISTINCT {_PATH} AS path, CASE WHEN o.o_orderkey % 50 = 0 AND o.o_orderdate < TIMESTAMP '1999-01-01 00:00:00' THEN 'NATION_99' ELSE {_WHO} END AS author, o.o_orderkey AS sha, CAST(o.o_orderdate AS TIMESTAMP) AS ts FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey",
+    "commits": "SELECT o.o_orderkey AS sha, n.n_name AS author, CAST(o.o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o.o_orderkey % 12 = 0 THEN 2 ELSE 1 END AS parents, CASE WHEN o.o_orderkey % 3 = 0 OR c.c_nationkey = 3 THEN 'Bump release v' || @str(o.o_orderkey % 7) || '.1' ELSE 'Change ' || o.o_orderpriority || ' (#' || @str(o.o_orderkey) || ')' END AS subject FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey",
     "tracked": f"SELECT DISTINCT {_PATH} AS path FROM part AS p",
-    "blame_lines": f"SELECT {_PATH} AS path, n.n_name AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_linestatus = 'F' GROUP BY 1, 2",
-    "blame_then": f"SELECT {_PATH} AS path, n.n_name AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_returnflag <> 'N' GROUP BY 1, 2",
-    "review_counts": f"SELECT {_PATH} AS path, n.n_name AS author, count(*) AS n FROM {_LINES} JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE l.l_returnflag = 'R' GROUP BY 1, 2",
+    "blame_lines": f"SELECT {_PATH} AS path, {_WHO} AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_linestatus = 'F' GROUP BY 1, 2",
+    "blame_then": f"SELECT {_PATH} AS path, {_WHO} AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_returnflag <> 'N' GROUP BY 1, 2",
+    "review_counts": f"SELECT {_PATH} AS path, {_WHO} AS author, count(*) AS n FROM {_LINES} JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE l.l_returnflag = 'R' GROUP BY 1, 2 UNION ALL SELECT {_PATH}, 'NATION_' || @str(p.p_partkey % 5), 40 FROM part AS p WHERE p.p_partkey % 9 = 0",
     "rules": _values(_RULES, "line_no, pattern, rx, top, supported, owners, source"),
-    "criticality": _values([(i, target_regex(p), w) for i, (p, w) in enumerate(CRITICALITY)], "ord, rx, weight"),
+    "criticality": _values([(i, target_regex(p), rule_regex(p), w) for i, (p, w) in enumerate(CRITICALITY)], "ord, rx, rule_rx, weight"),
     "exclude_rules": _values([(p, exclude_regex(p)) for p in EXCLUDES], "pattern, rx"),
     "baseline": "SELECT 'single-expert' AS rule, path FROM (SELECT DISTINCT " + _PATH + " AS path, p.p_partkey FROM part AS p WHERE p.p_partkey % 5 = 0) AS b",
     "suppressions": "SELECT rule, path, rx, CAST(expires AS DATE) AS expires FROM (" + _values([("single-expert", "Brand#3/", rule_regex("/Brand#3/"), "2030-01-01"), ("shadowed-rule", "ECONOMY/", rule_regex("ECONOMY/"), "2001-01-01")], "rule, path, rx, expires") + ") AS s",
-    "pulls": "SELECT o.o_orderkey AS number, n.n_name AS reviewer, CAST(o.o_orderdate AS TIMESTAMP) AS opened, CASE WHEN o.o_orderstatus <> 'P' THEN CAST(l.l_shipdate AS TIMESTAMP) END AS closed, CAST(round(l.l_quantity) AS INT) AS lines FROM orders AS o JOIN (SELECT l_orderkey, max(l_shipdate) AS l_shipdate, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) AS l ON o.o_orderkey = l.l_orderkey JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey",
+    "pulls": "SELECT o.o_orderkey AS number, CASE WHEN o.o_orderkey % 5 = 0 THEN 'NATION_7' ELSE n.n_name END AS reviewer, CAST(o.o_orderdate AS TIMESTAMP) AS opened, CASE WHEN o.o_orderstatus <> 'P' THEN CAST(l.l_shipdate AS TIMESTAMP) END AS closed, CAST(round(l.l_quantity) AS INT) AS lines FROM orders AS o JOIN (SELECT l_orderkey, max(l_shipdate) AS l_shipdate, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) AS l ON o.o_orderkey = l.l_orderkey JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey",
     "teams": "SELECT r_name AS slug, 'world' AS parent FROM region UNION ALL SELECT 'world', CAST(NULL AS varchar(9))",
     "team_members": "SELECT r.r_name AS slug, n.n_name AS login FROM nation AS n JOIN region AS r ON n.n_regionkey = r.r_regionkey",
     "identities": "SELECT s_name AS identity, CASE WHEN s_suppkey % 4 = 0 THEN @str(s_suppkey) || '+sup' || @str(s_suppkey % 40) || '@users.noreply.example.com' ELSE 'sup' || @str(s_suppkey % 40) || '@mail.example.com' END AS email, 'Name ' || @str(s_suppkey % 30) AS name FROM supplier",
@@ -62,5 +68,24 @@ FACTS |= {
     "roster": "SELECT n_name AS identity, '@handle' || @str(n_nationkey % 20) AS handle, n_nationkey % 3 <> 0 AS certain FROM nation",
     "moves": f"SELECT p.p_partkey AS sha, 60 + p.p_size % 40 AS similarity, p.p_type || '/' || p.p_name AS old_path, {_PATH} AS path FROM part AS p WHERE p.p_partkey % 10 = 0",
 }
+FACTS |= {
+    "extra_bots": "SELECT 'nation_24' AS author",
+    "modifications": f"SELECT DISTINCT o.o_orderkey AS sha, {_PATH} AS path FROM {_LINES} UNION ALL SELECT 0, {_PATH} FROM part AS p WHERE p.p_partkey % 10 <> 0",
+    "roster_status": _values([("@nation_5", "former"), ("NATION_9", "external")], "identity, status"),
+    "org_members": "SELECT n_name AS login FROM nation",
+    "flags": _values([("absent_token",), ("missing_mailmap",), ("absent_token",)], "code"),
+    "import_edges": "\n UNION ALL ".join(f"SELECT {_PATH.replace('p.', 'a.')} AS dependent, {_PATH} AS dependency FROM part AS p JOIN part AS a ON a.p_partkey = {e}" for e in ("2 * p.p_partkey", "3 * p.p_partkey + 1", "p.p_partkey + 25 AND a.p_brand = p.p_brand")),
+    "attr_rules": _values([("", 1, attribute_regex("*ring*"), "linguist-generated", True), ("", 2, attribute_regex("*"), "text", True), ("Brand#4", 1, attribute_regex("*ring*"), "linguist-generated", False), ("Brand#5", 1, attribute_regex("STANDARD"), "linguist-vendored", True)], "dir, line, rx, attr, value"),
+    "owners_files": _values([("Brand#1", "NATION_1"), ("Brand#1/PROMO", "NATION_2"), ("Brand#1/PROMO", "NATION_3"), ("Brand#2", "NATION_4"), ("", "NATION_0")], "dir, owner"),
+    "nested_rules": _values([("Brand#1", 1, rule_regex("*"), "NATION_13"), ("Brand#1", 2, rule_regex("/PROMO/"), "NATION_14"), ("Brand#1/PROMO", 1, rule_regex("*ring*"), "NATION_15")], "dir, line, rx, owner"),
+    "blobs": f"SELECT {_PATH} AS path, @str(p.p_size) AS blob FROM part AS p",
+    "blobs_before": f"SELECT {_PATH} AS path, @str(CASE WHEN p.p_partkey % 4 = 0 THEN p.p_size + 1 ELSE p.p_size END) AS blob FROM part AS p WHERE p.p_partkey % 11 <> 0",
+    "policy": _values([("drift", "block"), ("single_expert", "warn")], "check_name, level"),
+    "overrides": "SELECT s_name AS identity, '@owner' || @str(s_suppkey % 9) AS handle FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'nobody', '@nobody'",
+    "separations": "SELECT min(s_name) AS a, max(s_name) AS b FROM supplier WHERE s_suppkey % 54 = 0",
+    "hits": "SELECT s_name AS identity, '@hit' || @str(s_suppkey % 7) AS handle, CASE WHEN s_suppkey % 2 = 0 THEN 'search' ELSE 'commit' END AS source FROM supplier WHERE s_suppkey % 5 = 0",
+    "queries": _values([("@nation_4",), ("NATION_6@mail.example.com",), ("somebody",)], "query"),
+    "repository": _values([(1_204, "unknown")], "file_bytes, review"),
+}
 OPERATORS = {name: Operator(name, sql, "Fact table from the star schema.") for name, sql in FACTS.items()}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

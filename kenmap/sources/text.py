@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.functions.patterns import rule_regex, rule_supported
+from kenmap.functions.patterns import attribute_regex, rule_regex, rule_supported
 
 RECORD, FIELD = "\x1e", "\x1f"
 
@@ -65,6 +65,83 @@ def attribution(raw: DataFrame, path: str = "path", column: str = "value") -> Da
     return counts.join(mails, ["path", "sha"]).select("path", "author", "sha", "n_lines")
 
 
+MARKERS = {"# BEGIN GENERATED": ("generated", True), "# END GENERATED": ("generated", False), "# BEGIN MANUAL": ("manual", True), "# END MANUAL": ("manual", False)}
+
+
+def marked_lines(content: str, markers: dict[str, tuple[str, bool]] = MARKERS) -> dict[int, str]:
+    """Kind of block that each line lies in; lines outside of all blocks are not listed.
+
+    A block that is closed before it is opened, opened twice, interrupted by a marker of another kind, repeated or never closed is an error.
+    """
+    inside: tuple[str, int] | None = None
+    closed: set[str] = set()
+    kinds: dict[int, str] = {}
+    for number, line in enumerate(content.split("\n"), 1):
+        marker = markers.get(line.strip())
+        if marker is None:
+            if inside:
+                kinds[number] = inside[0]
+            continue
+        kind, opens = marker
+        if inside is None:
+            fault = "" if opens and kind not in closed else f"repeats a {kind} block" if opens else "closes no block"
+        else:
+            fault = f"stands inside the {inside[0]} block of line {inside[1]}" if kind != inside[0] else "opens an open block" if opens else ""
+        if fault:
+            raise ValueError(f"line {number}: {line.strip()!r} {fault}")
+        if opens:
+            inside = (kind, number)
+        else:
+            inside = None
+            closed.add(kind)
+    if inside:
+        raise ValueError(f"line {inside[1]}: the {inside[0]} block is never closed")
+    return kinds
+
+
+def attributes(content: str, directory: str = "") -> list[tuple[str, int, str, str, bool]]:
+    """dir, line, rx, attr, value of the attribute rules of one file (a small text): ``name`` sets, ``-name`` clears, ``name=value`` sets unless the value says no."""
+    out = []
+    for number, line in enumerate(content.split("\n"), 1):
+        parts = line.split()
+        if not parts or parts[0].startswith("#"):
+            continue
+        for word in parts[1:]:
+            name, has_value, value = word.lstrip("-!").partition("=")
+            out.append((directory, number, attribute_regex(parts[0]), name, not word.startswith(("-", "!")) and not (has_value and value.lower() in {"false", "0", "no", "off"})))
+    return out
+
+
+def owners_file(content: str) -> list[str]:
+    """Owners that a per-directory file names: the first word with an @ of each line that is no comment."""
+    rows = (line.split("#", 1)[0].split() for line in content.split("\n"))
+    return [found for words in rows if (found := next((w for w in words if "@" in w), None))]
+
+
+def modified_counts(raw: DataFrame, column: str = "value") -> DataFrame:
+    """sha, modified: how many files each commit of a name-status log modifies (one whole log a row)."""
+    lines = raw.select(F.monotonically_increasing_id().alias("log"), F.posexplode(F.split(column, "\n")).alias("i", "line"))
+    marked = lines.select("log", "i", "line", F.expr("last(nullif(regexp_extract(line, '^([0-9a-f]{40})$', 1), ''), true) over (partition by log order by i)").alias("sha"))
+    return marked.where("sha is not null").groupBy("sha").agg(F.expr("count_if(line rlike '^M[\\t ]')").alias("modified"))
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """dependent, dependency of Python files (path, value): modules that are other files of the table; relative imports by their level.
+
+    The first path in order wins where two files make one module.
+    """
+    dotted = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "[.]py$", ""), "(^|/)__init__$", ""), "/", ".")
+    modules = files.where("path like '%.py'").groupBy(dotted.alias("module")).agg(F.min("path").alias("dependency")).where("module <> ''")
+    lines = files.where("path like '%.py'").select("path", dotted.alias("own"), F.explode(F.split("value", "\n")).alias("line"))
+    plain = lines.select("path", F.explode(F.split(F.regexp_extract("line", r"^\s*import\s+(.+)$", 1), ",")).alias("part")).select("path", F.regexp_extract("part", r"^\s*([A-Za-z_][\w.]*)", 1).alias("module"))
+    found = lines.select("path", "own", F.regexp_extract("line", r"^\s*from\s+([.]*)([\w.]*)\s+import\s+(.+)$", 1).alias("dots"), F.regexp_extract("line", r"^\s*from\s+([.]*)([\w.]*)\s+import\s+(.+)$", 2).alias("base"), F.regexp_extract("line", r"^\s*from\s+([.]*)([\w.]*)\s+import\s+(.+)$", 3).alias("names")).where("names <> ''")
+    up = "if(path like '%/__init__.py' or path = '__init__.py', 1, 0)"
+    package = f"array_join(slice(split(own, '[.]'), 1, greatest(0, size(split(own, '[.]')) - length(dots) + {up})), '.')"
+    based = found.select("path", F.expr(f"if(dots = '', base, concat_ws('.', nullif({package}, ''), nullif(base, '')))").alias("base"), F.explode(F.split(F.regexp_replace("names", "[()]", ""), ",")).alias("name"))
+    named = based.select("path", F.explode(F.array("base", F.concat_ws(".", F.expr("nullif(base, '')"), F.regexp_extract("name", r"^\s*(\w+)", 1)))).alias("module"))
+    return plain.union(named).where("module <> ''").join(modules, "module").where("path <> dependency").select(F.col("path").alias("dependent"), "dependency").distinct()
+
+
 def rules(spark: SparkSession, content: str, sections: bool = False) -> DataFrame:
     """The ordered rules of one rule file (a small text): line_no, pattern, rx, top, supported, owners, source, section, approvals, optional.
 
@@ -72,11 +149,9 @@ def rules(spark: SparkSession, content: str, sections: bool = False) -> DataFram
     """
     import re
 
-    rows, section, approvals, optional, defaults, source = [], "", 0, False, "", "unmarked"
+    rows, section, approvals, optional, defaults, kinds = [], "", 0, False, "", marked_lines(content)
     for number, line in enumerate(content.split("\n"), 1):
         text = re.sub(r"(^|\s)#.*$", "", line).strip()
-        if "BEGIN GENERATED" in line or "END GENERATED" in line:
-            source = "generated" if "BEGIN" in line else "manual"
         heading = re.fullmatch(r"(\^)?\[([^\]]+)\](?:\[(\d+)\])?\s*(.*)", text) if sections else None
         if heading:
             optional, section, approvals, defaults = bool(heading[1]), heading[2], int(heading[3] or 1), ",".join(heading[4].split())
@@ -84,5 +159,5 @@ def rules(spark: SparkSession, content: str, sections: bool = False) -> DataFram
             pattern, *owners = [p.replace("\\ ", " ") for p in re.split(r"(?<!\\)\s+", text)]
             first = pattern.lstrip("/").split("/")[0]
             literal = ("/" in pattern.strip("/") or pattern.startswith("/")) and not set(first) & set("*?\\")
-            rows.append((number, pattern, rule_regex(pattern), first if literal else None, rule_supported(pattern), ",".join(owners) or defaults, source, section, approvals, optional))
+            rows.append((number, pattern, rule_regex(pattern), first if literal else None, rule_supported(pattern), ",".join(owners) or defaults, kinds.get(number, "unmarked"), section, approvals, optional))
     return spark.createDataFrame(rows, "line_no int, pattern string, rx string, top string, supported boolean, owners string, source string, section string, approvals int, optional boolean")

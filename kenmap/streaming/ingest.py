@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kenmap.plans.storage import folder
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -18,15 +21,21 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
 def windowed(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events, people and value of each window and type; events later than ``late`` are dropped."""
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
-    counted = grouped.agg(F.count("*").alias("events"), F.approx_count_distinct("user_id", 0.01).alias("people"), F.sum("value").alias("value"))
+    counted = grouped.agg(F.count("*").alias("events"), F.sum("value").alias("value"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that the stream has now, through a memory table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """All that the stream has now.  Each micro-batch writes the windows it changed, with its number; the newest state of each key counts."""
+    at = f"{folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{at}/rows")
+    return rows.withColumn("newest", F.max("batch").over(Window.partitionBy(*keys))).where("batch = newest").drop("batch", "newest")
 
 
 def steady_severity(runs: DataFrame, needed: int = 3, margin: float = 0.4) -> DataFrame:

@@ -1,7 +1,6 @@
 from datetime import datetime
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
 
 from kenmap.operators import graphs
 from kenmap.operators.lineage import directory_moves, lineage
@@ -63,12 +62,58 @@ def test_small_graphs():
     assert graphs.onboarding_reviewers([("p", ["u", "v"]), ("q", ["u", "v"])]) == [("p", "u"), ("q", "v")]
 
 
-@settings(max_examples=200, derandomize=True)
-@given(st.lists(st.tuples(st.sampled_from("pqrs"), st.sampled_from("uvw")), max_size=12))
-def test_truck_factor_grows_as_the_quantile_falls(pairs):
-    n = len({u for _, u in pairs})
-    factors = [graphs.truck_factor(pairs, q) for q in (0.9, 0.75, 0.5)]
-    assert factors == sorted(factors) and all(0 <= f <= n for f in factors)
+def test_markers_and_their_errors():
+    ok = "# BEGIN MANUAL\na\n# END MANUAL\nb\n# BEGIN GENERATED\nc\n# END GENERATED"
+    assert text.marked_lines(ok) == {2: "manual", 6: "generated"}
+    for bad in ("# END MANUAL", "# BEGIN MANUAL", "# BEGIN MANUAL\n# BEGIN MANUAL\n# END MANUAL", "# BEGIN MANUAL\n# END GENERATED", ok + "\n# BEGIN MANUAL\n# END MANUAL"):
+        with pytest.raises(ValueError):
+            text.marked_lines(bad)
+
+
+def test_attributes_and_owners_files():
+    rows = text.attributes("# none\n*.js linguist-generated -text linguist-vendored=false\n", "web")
+    assert [(r[0], r[1], r[3], r[4]) for r in rows] == [("web", 2, "linguist-generated", True), ("web", 2, "text", False), ("web", 2, "linguist-vendored", False)]
+    assert text.owners_file("# @no\nreviewers: @a @b\nplain\nc@x.org # main") == ["@a", "c@x.org"]
+
+
+def test_modified_counts(spark):
+    log = f"{SHA}\nM\ta\nA\tb\n{'b' * 40}\n{'c' * 40}\nM a\nM\tc"
+    assert {r["sha"][0]: r["modified"] for r in text.modified_counts(spark.createDataFrame([(log,)], "value string")).collect()} == {"a": 1, "b": 0, "c": 2}
+
+
+def test_python_imports(spark):
+    files = [("p/__init__.py", ""), ("p/a.py", "import p.b as x, os\nfrom . import c\n"), ("p/b.py", "from .q import d\nfrom p.q.d import e"), ("p/c.py", "from ..z import y"), ("p/q/__init__.py", "from . import d"), ("p/q/d.py", "from ..a import f"), ("notes.md", "import p.a")]
+    got = {(r["dependent"], r["dependency"]) for r in text.python_imports(spark.createDataFrame(files, "path string, value string")).collect()}
+    assert got == {("p/a.py", "p/b.py"), ("p/a.py", "p/c.py"), ("p/a.py", "p/__init__.py"), ("p/b.py", "p/q/__init__.py"), ("p/b.py", "p/q/d.py"), ("p/q/__init__.py", "p/q/d.py"), ("p/q/d.py", "p/a.py")}
+
+
+def test_topology_names_parents_and_affiliations(spark):
+    pairs = [("a", "b", 2.0), ("b", "c", 2.0), ("a", "c", 2.0), ("x", "y", 2.0), ("y", "z", 2.0), ("x", "z", 2.0), ("c", "x", 1.0), ("c", "y", 1.2)]
+    weights = {(a, b): w for a, b, w in pairs}
+    groups = graphs.communities(weights)
+    assert graphs.affiliations(weights, groups) == {("c", groups["x"])} and graphs.stability(weights) == (1.0, 0.0)
+    rows = graphs.topology(spark.createDataFrame(pairs, "a string, b string, weight double"), spark.createDataFrame([("team", "X"), ("team", "@y"), ("team", "z"), ("other", "q")], "slug string, login string")).collect()
+    assert {(r["name"], r["members"], r["affiliated"], r["closest_team"]) for r in rows} == {("inferred-1", "a,b,c", "", "other"), ("team", "x,y,z", "c", "team")}
+
+
+def test_directory_move_takes_the_least_similarity_and_the_living_files(spark):
+    at = lambda d: datetime(2026, 1, d)
+    commits = spark.createDataFrame([("r", str(i), at(i)) for i in (1, 2)], "repo string, sha string, ts timestamp")
+    files = spark.createDataFrame([("r", "1", "A", None, None, "x/k/a"), ("r", "1", "A", None, None, "x/k/b"), ("r", "2", "R", 90, "x/k/a", "y/k/a"), ("r", "2", "R", 70, "x/k/b", "y/k/b"), ("r", "2", "R", 100, "x/k/dead", "y/k/dead")], "repo string, sha string, status string, similarity int, old_path string, path string")
+    assert {r["path"]: r["confidence"] for r in lineage(commits, files).collect()} == {"y/k/a": 0.7, "y/k/b": 0.7}
+
+
+def test_steady_severity_over_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    rows = [("r", i, s, d) for i, (s, d) in enumerate([("low", 0.1), ("high", 0.1), ("high", 0.1), ("high", 0.1), ("low", 0.9)])]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "repo string, run long, severity string, delta double").coalesce(1).write.parquet(str(source / f"p{i}"))
+    stream = spark.readStream.schema("repo string, run long, severity string, delta double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(source))
+    query = ingest.steady_severity(stream).writeStream.format("memory").queryName("steady").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = [r[0] for r in graphs.hysteresis([(s, d) for *_, s, d in rows])]
+    assert [r["reported"] for r in spark.table("steady").orderBy("run").collect()] == want
+    assert [r["reported"] for r in graphs.steady(spark.createDataFrame(rows, "repo string, run long, severity string, delta double")).orderBy("run").collect()] == want
 
 
 def test_hysteresis_waits_and_jumps():
@@ -77,5 +122,5 @@ def test_hysteresis_waits_and_jumps():
 
 
 def test_stream_windows(spark, sf):
-    rows = ingest.drained(ingest.windowed(ingest.event_stream(spark, sf)), "test_stream_windows")
+    rows = ingest.drained(ingest.windowed(ingest.event_stream(spark, sf)), ["start", "event_type"])
     assert rows.agg({"events": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
