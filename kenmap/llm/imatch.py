@@ -37,7 +37,7 @@ LEVELS = 15
 WHOLE = 8 * LEVELS
 #: The band: a term's documents, as a share of all; and the least number of them.
 MIN_SHARE, MAX_SHARE, MIN_DOCUMENTS = 0.0001, 0.01, 2
-BUCKET_ROWS = 100_000
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1000
 #: Mean terms in a bucket of the band's table, at most.
 BUCKET_TERMS = 8
 NULL_ID = -(2**63) + 1
@@ -94,13 +94,13 @@ def _string(codes: str) -> str:
 def next_documents(docs: DataFrame) -> DataFrame:
     """key, next_key, quarter for each distinct key of ``docs`` (key, text), in ascending order, without sorting all in one task."""
     sizes = keep(docs.groupBy("key").agg(F.max(F.length("text")).alias("n")))
-    rows, least, most = sizes.agg(F.count("*"), F.min("key"), F.max("key")).first()
+    rows, least = sizes.agg(F.count("*"), F.min("key")).first()
     if not rows:
         return sizes.selectExpr("key", "key as next_key", "0 as quarter")
-    present = sizes.where(f"key > {NULL_ID}L").agg(F.min("key")).first()[0]
-    start = least if present is None else present
-    width = max(1, -(-(most - start + 1) // max(1, rows // BUCKET_ROWS + 7)))
-    placed = sizes.withColumn("bucket", F.expr(f"if(key < {start}L, -1L, (key - {start}L) div {width}L)"))
+    # Bounds at quantiles of the ids that occur, so dense runs in a sparse range are cut too; they need not be exact.
+    parts = min(MOST_BUCKETS, rows // BUCKET_ROWS + 8)
+    bounds = sorted({int(x) for x in sizes.stat.approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts)})
+    placed = sizes.withColumn("bucket", F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bounds)}), x -> x <= key))"))
     heads = placed.groupBy("bucket").agg(F.min("key").alias("head")).selectExpr("bucket", f"coalesce(lead(head) over (order by bucket), {least}L) as head")
     within = placed.withColumn("after", F.expr("lead(key) over (partition by bucket order by key)"))
     return within.join(heads, "bucket").selectExpr("key", "coalesce(after, head) as next_key", "cast(floor(n / 4) as int) as quarter")

@@ -94,7 +94,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS)
         sequence += key[0].as_py() << 32
         return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups).cast("long")))
+    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in pieces.columns)), F.lit(groups).cast("long")))
     return grouped.groupBy("__group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 

@@ -121,7 +121,6 @@ def shard(df: DataFrame, shards: int = 40, tolerance: float = 0.001) -> DataFram
 def write_shards(df: DataFrame, target: str, shards: int = 40, tolerance: float = 0.001) -> None:
     """Write the rows of ``df`` (doc_id, text and any other columns) under ``target`` by shard, in one exchange of the rows; a column named shard is replaced."""
     splitters = find_splitters(keep(_sizes(df)), shards, tolerance)
-    names = {"h": "__h", "id": "__id"}
-    place = _shard_of(splitters).replace("h ", f"{names['h']} ").replace("id >=", f"{names['id']} >=")
-    keyed = df.withColumns({names["h"]: F.expr(f"xxhash64(coalesce(text, '')) & {TOP}L"), names["id"]: F.expr(f"coalesce(cast(doc_id as bigint), {NO_ID}L)")})
-    keyed.withColumn("shard", F.expr(place)).drop(*names.values()).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8).cast("long"))).write.mode("overwrite").partitionBy("shard").parquet(target)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.expr(f"xxhash64(coalesce(text, '')) & {TOP}L").alias("h"), F.expr(f"coalesce(cast(doc_id as bigint), {NO_ID}L)").alias("id"))
+    placed = keyed.withColumn("shard", F.expr(_shard_of(splitters))).repartition("shard", F.pmod(F.xxhash64("id"), F.lit(8).cast("long")))
+    placed.select(*[F.col(f"row.`{c}`") for c in df.columns if c != "shard"], "shard").write.mode("overwrite").partitionBy("shard").parquet(target)

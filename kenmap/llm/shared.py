@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from kenmap.plans.storage import kept
+
 
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once to the cluster's checkpoint folder: later stages read it and survive lost executors."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="kenmap-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let at most ``rows`` texts go to a Python worker at a time: whole texts are long, and both sides of the pipe hold a batch."""
+    """Let at most ``rows`` texts go to a Python worker at a time: whole texts are long, and both sides of the pipe hold a batch.
+
+    The setting is the session's, as Spark has no other place for it; it stays lowered, because plans run later.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

@@ -26,6 +26,15 @@ def test_stages_take_awkward_tables(spark, sf):
             assert stage(spark, docs, sf).count() >= 0
 
 
+def test_near_duplicates_keep_different_texts_of_one_id(spark, sf):
+    base, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [(1, base), (1, other), (2, base + " end"), (3, "short one"), (3, "short one"), (None, base), (None, base), (4, "")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in kept)
+    assert len(found) == 6 and found.count((3, "short one")) == 1 and (1, other) in found and found.count((0, base)) == 2
+    assert sum(t.startswith(base) for i, t in found if i) == 1
+
+
 def test_quality_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
