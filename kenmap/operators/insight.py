@@ -2,7 +2,7 @@
 
 Facts besides the others: import_edges(dependent, dependency), attr_rules(dir, line, rx, attr, value), owners_files(dir, owner),
 nested_rules(dir, line, rx, owner), blobs(path, blob), blobs_before(path, blob), policy(check_name, level),
-overrides(identity, handle), separations(a, b), hits(identity, handle, source), queries(query).
+overrides(identity, handle), handle_cache(identity, handle, seen), separations(a, b), hits(identity, handle, source), queries(query).
 """
 
 _REASONS = (("truck_50 <= 1", "concentration", "single expert"), ("frequency IS NOT NULL", "frequency", "high churn"), ("coupling IS NOT NULL", "coupling", "dependency criticality"),
@@ -122,6 +122,8 @@ SQL = {
           SELECT i.identity, i.email, CASE WHEN o.handle IS NOT NULL THEN o.handle WHEN h.handle IS NOT NULL THEN h.handle WHEN substr(n.handle, 1, 6) <> 'email:' THEN n.handle END AS handle,
             CASE WHEN o.handle IS NOT NULL THEN 'override' WHEN h.handle IS NOT NULL THEN h.source WHEN substr(n.handle, 1, 6) <> 'email:' THEN 'noreply' ELSE 'none' END AS source
           FROM {identities} AS i LEFT JOIN {overrides} AS o ON lower(i.identity) = lower(o.identity) LEFT JOIN {hits} AS h ON lower(i.identity) = lower(h.identity) LEFT JOIN (SELECT DISTINCT email, handle FROM {handles}) AS n ON i.email = n.email) AS r"""),
+    "cached_handles": ("What the handle cache says of each identity: a handle, a miss that still counts, or nothing any more.", """
+        SELECT identity, handle, CASE WHEN handle IS NOT NULL THEN 'hit' WHEN @days(TIMESTAMP :as_of, seen) <= :miss_days THEN 'miss' ELSE 'expired' END AS state FROM {handle_cache}"""),
     "unresolved": ("Identities that are an address without a handle.", "SELECT r.identity, i.email FROM {resolved} AS r JOIN {identities} AS i ON r.identity = i.identity WHERE r.source = 'none' AND @contains(i.email, '@')"),
     "merges": ("Certain merges: handles to which several identities resolve, but for pairs that are kept apart.", """
         SELECT g.handle, g.first_identity, m.identity, m.source FROM (SELECT handle, min(identity) AS first_identity FROM {resolved} WHERE handle IS NOT NULL AND factor = 1e0 GROUP BY handle HAVING count(*) > 1) AS g

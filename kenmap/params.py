@@ -40,6 +40,7 @@ class Params:
     overload: float = 2.0
     max_increase: float = 0.3
     inferred_criticality: float = 0.8
+    miss_days: int = 7
     file_limit: int = 3145728
     rule_file: str = "CODEOWNERS"
     removed: str = "NATION_1"

@@ -61,6 +61,16 @@ def steady_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.steady(runs)
 
 
+def commit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestry of pairs of orders: each follows the one before it, every twelfth also the fifth before, every tenth starts from the third before."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    edges = spark.sql("""
+        SELECT 'r' AS repo, cast(n AS string) AS sha, explode(transform(if(n % 12 = 0, array(n - 1, n - 5), array(if(n % 10 = 0, n - 3, n - 1))), x -> cast(x AS string))) AS parent
+        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n FROM {orders}) WHERE n BETWEEN 6 AND 500""", orders=orders)
+    pairs = spark.sql("SELECT 'r' AS repo, cast(10 * id AS string) AS a, cast(10 * id + 7 AS string) AS b FROM range(1, 30)")
+    return graphs.commit_graph(edges, pairs)
+
+
 def parsed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits and files read back from a text export of the orders."""
     raw = spark.sql(f"""
@@ -103,8 +113,14 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, onboarding_plan, transfer_paths, steady_severity, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
+QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
 ORACLES = {
+    "commit_graph": """
+        WITH RECURSIVE e AS (SELECT n, unnest(CASE WHEN n % 12 = 0 THEN [n - 1, n - 5] WHEN n % 10 = 0 THEN [n - 3] ELSE [n - 1] END) AS p FROM (SELECT unnest(range(6, least(500, (SELECT count(*) FROM orders)) + 1)) AS n)),
+        pairs AS (SELECT 10 * i AS a, 10 * i + 7 AS b FROM (SELECT unnest(range(1, 30)) AS i)), r(h, n) AS (SELECT x, x FROM (SELECT a AS x FROM pairs UNION SELECT b FROM pairs) UNION SELECT r.h, e.p FROM r JOIN e ON e.n = r.n),
+        s AS (SELECT h, list(n) AS l FROM r GROUP BY h), c AS (SELECT p.a, p.b, x.l AS one, y.l AS two, list_intersect(x.l, y.l) AS shared FROM pairs AS p JOIN s AS x ON x.h = p.a JOIN s AS y ON y.h = p.b)
+        SELECT 'r' AS repo, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, len(one) - len(shared) AS ahead, len(two) - len(shared) AS behind, list_contains(two, a) AS is_ancestor,
+          (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY CAST(v AS VARCHAR)) FROM (SELECT unnest(shared) AS v) WHERE v NOT IN (SELECT e.p FROM e WHERE list_contains(shared, e.n))) AS bases FROM c""",
     "parsed_history": """
         WITH c AS (SELECT o_orderkey AS sha, 'c' || o_custkey || '@x.org' AS author FROM orders UNION SELECT o_orderkey, 'c' || (o_custkey % 7) || '@x.org' FROM orders), f AS (SELECT unnest(['M', 'R']) AS status)
         SELECT author, status, count(*) AS files, count(DISTINCT sha) AS commits, CAST(CASE WHEN status = 'M' THEN 100 ELSE 90 END AS BIGINT) AS similarity FROM c, f GROUP BY author, status""",

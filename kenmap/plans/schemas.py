@@ -175,4 +175,5 @@ SCHEMAS: dict[str, str] = {
     "current_paths": "path string, author string, commits bigint, last_commit timestamp",
     "review_window": "reviewer string, pulls bigint",
     "repo_truck_factors": "quantile double, people bigint",
+    "cached_handles": "identity string, handle string, state string",
 }

@@ -82,6 +82,7 @@ FACTS |= {
     "blobs_before": f"SELECT {_PATH} AS path, @str(CASE WHEN p.p_partkey % 4 = 0 THEN p.p_size + 1 ELSE p.p_size END) AS blob FROM part AS p WHERE p.p_partkey % 11 <> 0",
     "policy": _values([("drift", "block"), ("single_expert", "warn")], "check_name, level"),
     "overrides": "SELECT s_name AS identity, '@owner' || @str(s_suppkey % 9) AS handle FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'nobody', '@nobody'",
+    "handle_cache": "SELECT s_name AS identity, CASE WHEN s_suppkey % 3 = 0 THEN '@c' || @str(s_suppkey) END AS handle, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2001-07-30 00:00:00' ELSE TIMESTAMP '2001-06-01 00:00:00' END AS seen FROM supplier",
     "separations": "SELECT min(s_name) AS a, max(s_name) AS b FROM supplier WHERE s_suppkey % 54 = 0",
     "hits": "SELECT s_name AS identity, '@hit' || @str(s_suppkey % 7) AS handle, CASE WHEN s_suppkey % 2 = 0 THEN 'search' ELSE 'commit' END AS source FROM supplier WHERE s_suppkey % 5 = 0",
     "queries": _values([("@nation_4",), ("NATION_6@mail.example.com",), ("somebody",)], "query"),

@@ -72,3 +72,33 @@ def access(owners: DataFrame, raw: DataFrame, column: str = "value") -> DataFram
     joined = owners.select("owner").distinct().join(known, F.lower("owner") == F.col("name"), "left")
     level = "case when seen is null then 'unknown' when permission is null then 'invisible' when permission in ('admin', 'maintain', 'push', 'write') then 'write' else 'read' end"
     return joined.select("owner", F.expr(level).alias("access"))
+
+
+class Budget:
+    """How many requests a run may still make; once it is spent, the gap stays noted."""
+
+    def __init__(self, limit: int) -> None:
+        self.left, self.gaps = limit, set()
+
+    def take(self) -> bool:
+        if self.left <= 0:
+            self.gaps.add("api_budget")
+            return False
+        self.left -= 1
+        return True
+
+
+def paged(fetch, budget: Budget, limit: int = 1000) -> list | None:
+    """Items of all pages of ``fetch(cursor)`` -> (items, next cursor or None).
+
+    At most ``limit`` of them, the interface's own bound.  None where the first page fails (None); what came before where a later one does or the budget ends.
+    """
+    out, cursor, first = [], None, True
+    while (first or cursor is not None) and len(out) < limit:
+        page = fetch(cursor) if budget.take() else None
+        if page is None:
+            return None if first else out
+        items, cursor = page
+        out += items
+        first = False
+    return out[:limit]

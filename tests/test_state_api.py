@@ -3,6 +3,7 @@ from datetime import UTC, datetime
 
 import pytest
 
+from kenmap.operators import graphs
 from kenmap.operators.identity import Identities, Record, certain_groups, redacted
 from kenmap.params import Params
 from kenmap.sinks import documents, state
@@ -36,6 +37,28 @@ def test_platform_pages(spark):
     assert dict(map(tuple, api.access(owners, raw(spark, {"owner": "@a", "permission": "push"}, {"owner": "@b", "permission": "pull"}, {"owner": "@c"})).collect())) == {"@A": "write", "@b": "read", "@c": "invisible", "@d": "unknown"}
 
 
+def test_pages_end_with_the_budget():
+    pages = {None: ([1, 2], "x"), "x": ([3], "y"), "y": ([4], None)}
+    budget = api.Budget(2)
+    assert api.paged(pages.get, budget) == [1, 2, 3] and budget.gaps == {"api_budget"} and api.paged(pages.get, api.Budget(9)) == [1, 2, 3, 4]
+    assert api.paged(lambda c: None, api.Budget(9)) is None and api.paged(pages.get, api.Budget(9), limit=3) == [1, 2, 3]
+
+
+def test_commit_graph_and_nodes():
+    parents = {"m": ["x", "y"], "x": ["b"], "y": ["b"], "b": ["a"]}
+    assert graphs.merge_bases(parents, "x", "y") == ["b"] and graphs.merge_bases(parents, "m", "b") == ["b"] and graphs.merge_bases(parents, "x", "q") == []
+    nodes = ["person:@ann", "path:src", "team:core"]
+    assert [graphs.resolve_node(n, nodes) for n in ("ann", "src/", "core", "none")] == ["person:@ann", "path:src", "team:core", None]
+    assert graphs.for_display([("p1", "f", "r"), ("p2", "f", "r")], {"p1": "person-1", "p2": None}) == [("person-1", "f", "r")]
+
+
+def test_only_generated_files_are_overwritten():
+    for fine in (None, "", documents.rule_file([("*", "@a")]), "# BEGIN MANUAL\n* @a\n# END MANUAL"):
+        documents.safe_to_overwrite(fine)
+    with pytest.raises(ValueError):
+        documents.safe_to_overwrite("* @me")
+
+
 def test_settings():
     assert settings.load('threshold = 0.5\nas_of = "2026-01-01 00:00:00"\nhalf_life = 30').half_life == 30.0
     for bad in ("nothing = 1", 'threshold = "x"', "threshold = 2.0", "top_n = true"):
