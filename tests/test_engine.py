@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from kenmap.params import Params
-from kenmap.plans import catalog
+from kenmap.plans import catalog, checks
 from kenmap.plans.engine import Engine, in_dialect, statement
 from kenmap.sources import adapter
 
@@ -89,8 +89,9 @@ def test_every_report_matches_another_engine(spark, sf):
     con = duckdb.connect()
     for t in adapter.TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
-    for name in ("owners", "path_summary", "concentration", "owner_distribution", "winners", "drift", "risk", "new_findings", "transfers", "narrowest_team", "pair_weights"):
-        got = catalog.QUERIES[name](spark, sf)
+    own = catalog.engine(spark, sf)  # one engine: its pinned steps are made once
+    for name in (*checks.TEXTS, "new_findings", "audit", "drift_entries", "team_drift", "resolved"):
+        got = catalog.rounded(own.table(name), name)
         cols = sorted(got.columns)
         want = con.execute(catalog.ORACLES[name])
         at = [[d[0] for d in want.description].index(c) for c in cols]
