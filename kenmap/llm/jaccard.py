@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kenmap.llm.shared import keep, small_batches
+from kenmap.llm.shared import keep, release, small_batches
 
 WIDTH = 5
 KEYS_PER_PART = 1_500_000
@@ -163,6 +163,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), same (digest of the set; null for an empty one), bits (its parity sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -176,6 +177,7 @@ def _key_parts(docs: DataFrame, parts: int) -> DataFrame:
     """part, ids, counts, keys: for each batch and part the documents with keys there, how many each, and the keys (six bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen, ids, found = set(), [], []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -242,6 +244,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that sizes and sketches allow to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             keep_ = []
             for x, n, y, m in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
@@ -258,6 +261,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link, by the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sets: dict[int, np.ndarray] = {}
             out: list[tuple[int, int]] = []

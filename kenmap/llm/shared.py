@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kenmap.plans.storage import kept
@@ -12,6 +15,18 @@ def keep(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
+def release(*kept: str) -> None:
+    """Free the memos that other operators left in this Python worker, which runs the tasks of one after the other."""
+    freed = False
+    for module, holder in (("token_ids", "token_ids"), ("bpe", "codec")):
+        found = sys.modules.get(f"kenmap.llm.{module}")
+        if module not in kept and found is not None and getattr(found, holder).cache_info().currsize:
+            getattr(found, holder).cache_clear()
+            freed = True
+    if freed:
+        gc.collect()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let at most ``rows`` texts go to a Python worker at a time: whole texts are long, and both sides of the pipe hold a batch.
 

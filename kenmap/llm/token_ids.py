@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 SLICE = 1000
 CHUNK_BYTES = 64
-ENTRIES = 350_000
+ENTRIES = 280_000
 #: A word of ASCII letters, digits and Latin-1 letters (in UTF-8), and the marks behind it.
 _WORD = rb"((?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)"
 _MARKED = re.compile(_WORD + rb"([.,!?;:#$%&*|]*)").fullmatch

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from kenmap.llm.bpe import Memo
 from kenmap.llm.jaccard import shingles
-from kenmap.llm.shared import keep, small_batches
+from kenmap.llm.shared import keep, release, small_batches
 
 SAMPLE = 20_000
 PRIOR = 0.5
@@ -52,7 +52,7 @@ FAMILY = 2.0
 #: Lower bounds of log-odds are so many errors below them, and at least ``MIN_ODDS``.
 CONFIDENCE, MIN_ODDS = 1.96, 1.0
 #: Distinct terms that a task gathers before it hands them on.
-GATHERED = 200_000
+GATHERED = 50_000
 SIGNIFICANT = 0.01
 #: Evidence counts up to here.
 TOP = 60.0
@@ -78,7 +78,7 @@ class Model:
     bias: float = -60.0
 
     def __post_init__(self) -> None:
-        self.memo = Memo(lambda chunk: self.terms.get(self.term(chunk), 0.0), 50_000)
+        self.memo = Memo(lambda chunk: self.terms.get(self.term(chunk), 0.0), 30_000)
 
     def term(self, chunk: str) -> str | None:
         """The term that counts for a token."""
@@ -158,6 +158,7 @@ def _marked(texts: DataFrame) -> DataFrame:
     """The sample: text, toxic, fold (0 or 1), weight; copies share their weight and their fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             least = [int(s[0] >> np.uint64(1)) if len(s) else 0 for s in map(shingles, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["text", "toxic", "same"])
@@ -175,8 +176,9 @@ def _term_sums(sample: DataFrame) -> DataFrame:
     keys = [f"{c}{label}{fold}" for label in (0, 1) for fold in (0, 1) for c in "nyq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str | None, list[float]] = {}
-        forms = Memo(fitting, 50_000)
+        forms = Memo(fitting, 10_000)
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*sums.values())) if sums else [()] * len(keys)
@@ -259,8 +261,9 @@ def _uses(sample: DataFrame, models: list[Model]) -> DataFrame:
     """model, term (null: none), u1, u0: weighted tokens of toxic and of other documents for which the term counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tokens: dict[tuple, float] = {}
-        finders = [Memo(m.term, 50_000) for m in models]
+        finders = [Memo(m.term, 15_000) for m in models]
         for b in batches:
             for text, label, fold, weight in zip(*(c.to_pylist() for c in b.columns)):
                 words = [x for x in text.lower().split() if x.strip(MARKS)]
@@ -279,6 +282,7 @@ def _quiet(sample: DataFrame, models: list[Model]) -> DataFrame:
     """model, size: the K that the non-toxic documents show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             out = []
             for text, fold, weight in zip(*(c.to_pylist() for c in b.columns)):
@@ -295,6 +299,7 @@ def _evidence(sample: DataFrame, models: list[Model]) -> DataFrame:
     """toxic, weight, evidence of each document of the sample, by the model that has not learnt from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             out = []
             for text, fold in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
@@ -336,6 +341,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFram
     """doc_id, held_out, score, predicted for each row of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             out = pa.array(list(map(model.score, b.column(1).to_pylist())), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), out], ["doc_id", "held_out", "score"])
@@ -348,6 +354,7 @@ def passages(df: DataFrame, model: Model, significant: float = SIGNIFICANT) -> D
     """doc_id, first, behind (token places), score, chance of every significant passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -365,6 +372,7 @@ def without_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     fields = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at = fields.fieldNames().index("text")
         for b in batches:
             yield b.filter(pa.array([model.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
