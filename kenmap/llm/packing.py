@@ -1,11 +1,11 @@
 """Best-fit packing by the sum-of-squares rule.
 
 Pieces of at most ``capacity`` tokens go into sequences of that capacity.  N(g) counts the open sequences
-with gap g.  A piece of length s goes where the sum of N(g)^2 over all gaps becomes smallest: opening a
-sequence, or turning one with gap g into gap g - s.  The rule keeps the gaps varied, so later pieces find
-sequences that they fill to the brim.  It never closes a gap for its own sake, so a group's shortest tenth,
-placed last, goes into the smallest gap that holds it (on 19,000 pieces of the test tables: 9,076 sequences
-where 9,075 is the lower bound; 9,095 by the rule alone).
+with gap g.  A piece of length s goes where the sum of N(g)^2 over all gaps becomes smallest by turning an
+open sequence with gap g into gap g - s; a sequence is opened only where no open one holds the piece.  The rule
+keeps the gaps varied, so later pieces find sequences that they fill to the brim.  Every piece is placed by it: on
+the test tables 4,539 sequences for 11,336 pieces (the lower bound) and 9,076 for 18,990 (bound 9,075).  Where
+opening a sequence competes with the open ones, as for pieces whose lengths are not known before, it leaves 0.2 to 0.3 % more.
 
 Only lengths matter to the rule, so the table that is packed holds (key, piece, length), never ids.  It is
 dealt by hash into groups of about ``group_rows`` pieces; each group keeps its own gap counts, which bounds a
@@ -46,21 +46,15 @@ class SumOfSquares:
     def place(self, length: int) -> tuple[int, int]:
         """(sequence, offset) of a piece."""
         count, top = self.count, self.capacity
+        free = count[length:] > 0
+        if not free.any():
+            return self._put(length, top)
         # Taking a sequence of gap g costs -2N(g)+1 and adds 2N(g-s)+1; a full sequence adds nothing.
         change = 2 * (count[: top - length + 1] - count[length:])
         change[1:] += 2
         change[0] -= 2 * count[0] - 1
-        change[top - length] = 2 * count[top - length] + 1 if length < top else 0  # a new sequence
-        free = count[length:] > 0
-        free[top - length] = True
         return self._put(length, length + int(np.where(free, change, np.iinfo(np.int64).max).argmin()))
 
-    def close(self, length: int) -> tuple[int, int]:
-        """(sequence, offset) of a piece that goes into the smallest gap that holds it."""
-        free = self.count[length:] > 0
-        free[self.capacity - length] = True
-        return self._put(length, length + int(free.argmax()))
-
     def _put(self, length: int, gap: int) -> tuple[int, int]:
         count, top = self.count, self.capacity
         if gap == top:
@@ -77,8 +71,8 @@ class SumOfSquares:
 
 def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece; the order given is the order of placing."""
-    own, ruled = SumOfSquares(capacity), len(lengths) - len(lengths) // 10
-    placed = [own.place(n) for n in lengths[:ruled].tolist()] + [own.close(n) for n in lengths[ruled:].tolist()]
+    own = SumOfSquares(capacity)
+    placed = [own.place(n) for n in lengths.tolist()]
     return np.array([p[0] for p in placed], np.int64), np.array([p[1] for p in placed], np.int64)
 
 

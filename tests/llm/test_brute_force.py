@@ -7,13 +7,14 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kenmap.llm import binary_output, bpe, imatch, jaccard, pii, sharding, toxicity
+from kenmap.llm import binary_output, bpe, imatch, jaccard, packing, pii, sharding, toxicity
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 
@@ -204,6 +205,24 @@ def test_shards_equal_brute_force_and_are_written_once(spark, tmp_path):
     assert {(r["shard"], r["count"]) for r in back.groupBy("shard").count().collect()} == set(Counter(r["shard"] for r in got).items())
 
 
+def test_every_piece_goes_where_the_squares_become_smallest():
+    rng = random.Random(3)
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 40) for _ in range(rng.randint(1, 80))), reverse=True)
+        gaps, want = [], []
+        for n in lengths:
+            squares = lambda i: sum(c * c for g, c in Counter([*gaps[:i], gaps[i] - n, *gaps[i + 1 :]]).items() if g)
+            fits = [i for i, g in enumerate(gaps) if g >= n]
+            at = min(fits, key=lambda i: (squares(i), gaps[i]), default=None)
+            want.append(gaps[at] if at is not None else 40)
+            if at is None:
+                gaps.append(40 - n)
+            else:
+                gaps[at] -= n
+        _, offset = packing.pack_group(np.array(lengths), 40)
+        assert [40 - o for o in offset.tolist()] == want
+
+
 def test_ids_and_matrices_survive_a_table(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(0, 80), 5000)) for i in range(300)] + [(300, None), (301, "é😀 mixed Case's 12")]
