@@ -15,16 +15,13 @@ def keep(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
-def release(*kept: str) -> None:
+def release() -> None:
     """Free the memos that other operators left in this Python worker, which runs the tasks of one after the other."""
-    freed = False
     for module, holder in (("token_ids", "token_ids"), ("bpe", "codec")):
         found = sys.modules.get(f"kenmap.llm.{module}")
-        if module not in kept and found is not None and getattr(found, holder).cache_info().currsize:
+        if found is not None:
             getattr(found, holder).cache_clear()
-            freed = True
-    if freed:
-        gc.collect()
+    gc.collect()  # also what the task before left in reference cycles
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

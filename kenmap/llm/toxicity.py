@@ -66,6 +66,11 @@ def fitting(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if k <= len(word))] if word else []
 
 
+def term_of(terms: dict[str, float], chunk: str) -> str | None:
+    """The term of the largest score that fits a token."""
+    return max((t for t in fitting(chunk.strip(MARKS)) if t in terms), key=terms.__getitem__, default=None)
+
+
 @dataclass
 class Model:
     """Terms and their scores, and the calibration; ``other`` is what any other token scores."""
@@ -78,11 +83,12 @@ class Model:
     bias: float = -60.0
 
     def __post_init__(self) -> None:
-        self.memo = Memo(lambda chunk: self.terms.get(self.term(chunk), 0.0), 30_000)
+        terms = self.terms  # not self: a cycle would outlive the task
+        self.memo = Memo(lambda chunk: terms.get(term_of(terms, chunk), 0.0), 30_000)
 
     def term(self, chunk: str) -> str | None:
         """The term that counts for a token."""
-        return max((t for t in fitting(chunk.strip(MARKS)) if t in self.terms), key=self.terms.__getitem__, default=None)
+        return term_of(self.terms, chunk)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
