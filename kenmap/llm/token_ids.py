@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 SLICE = 1000
 CHUNK_BYTES = 64
-ENTRIES = 280_000
+ENTRIES = 350_000
 #: A word of ASCII letters, digits and Latin-1 letters (in UTF-8), and the marks behind it.
 _WORD = rb"((?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)"
 _MARKED = re.compile(_WORD + rb"([.,!?;:#$%&*|]*)").fullmatch
@@ -73,7 +73,7 @@ class TokenIds:
             known = old.get(chunk)
             if known is not None:
                 young[chunk] = known
-            elif self.derives and (found := _MARKED(chunk)) and (form := found[1].lower()) != chunk:
+            elif self.derives and not (chunk.isalpha() and chunk.islower()) and (found := _MARKED(chunk)) and (form := found[1].lower()) != chunk:
                 derived.append((chunk, form, found[2]))
                 want(form)
                 if found[2]:
