@@ -46,6 +46,7 @@ WIDTH = 5
 KEYS_PER_PART = 1_500_000
 #: Documents of a key that are compared in one group, and that one row lists.
 BLOCK = 4096
+SALTS = 32
 U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
@@ -332,11 +333,29 @@ def jaccard_join(df: DataFrame) -> DataFrame:
     sketches = sizes.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id", "same"]).select("doc_id", "n", "bits")
     stars = groups.select(F.col("head").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
     equal = sizes.where("doc_id is not null and same is not null")
-    first = equal.groupBy("same").agg(F.min("doc_id").alias("b"))
-    edges = equal.join(first, "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").union(_verified(keep(_possible(stars, sketches)), known))
+    # Sets that several documents have are few; each goes to ``SALTS`` tasks, so that a set of a third of all documents is no task's alone.
+    first = equal.groupBy("same").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1").select("same", "b", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
+    salted = equal.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)"))
+    edges = salted.join(first, ["same", "salt"]).select(F.col("doc_id").alias("a"), "b").where("a <> b").union(_verified(keep(_possible(stars, sketches)), known))
     found = components(edges)
     rest = keep(_rest_pairs(groups, found, sketches))
     if not rest.isEmpty():
         found = components(found.withColumnsRenamed({"node": "a", "component": "b"}).union(_verified(rest, known)))
     placed = sizes.join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+#: DuckDB SQL for the rows of ``jaccard_join`` over ``documents``: all pairs that share a shingle, and all that each document reaches.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least_id, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM r GROUP BY a) AS c USING (doc_id)
+"""

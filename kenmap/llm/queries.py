@@ -23,41 +23,50 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every document with every other, as components."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels that are not held out and scores every document."""
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into matrices of token ids."""
     return binary_output.packed_rows(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_toxicity, op4_token_counts, op5_quality_rules, op6_binary_output, op7_best_fit_packing, op8_imatch, op9_pii, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL}

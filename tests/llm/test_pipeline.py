@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from kenmap.llm import quality
+from kenmap.llm import queries
 
 
 def test_stages_shrink_and_keep_columns(spark, sf):
@@ -35,13 +35,13 @@ def test_near_duplicates_keep_different_texts_of_one_id(spark, sf):
     assert sum(t.startswith(base) for i, t in found if i) == 1
 
 
-def test_quality_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
-    want = con.execute(quality.ORACLE_SQL)
+    want = con.execute(queries.ORACLE_SQL[name])
     cols = [d[0] for d in want.description]
-    got = quality.quality_report(spark.read.parquet(f"{sf}/documents.parquet")).select(cols)
-    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, queries.QUERIES[name](spark, sf).select(cols).collect())) == sorted(want.fetchall())
 
 
 @pytest.mark.parametrize("n", range(1, 11))
