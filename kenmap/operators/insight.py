@@ -148,10 +148,6 @@ SQL = {
     "reused_share": ("How much of the line attribution a run can reuse.", "SELECT count(*) AS paths, count(CASE WHEN state = 'reused' THEN 1 END) AS reused, round(count(CASE WHEN state = 'reused' THEN 1 END) * 1.0e0 / greatest(count(*), 1), 6) AS share FROM {dirty_paths}"),
     "mixed_blame": ("Line shares with reused paths from the run before and others read again.", """
         SELECT b.path, b.author, b.share, d.state FROM {blame_share} AS b JOIN {dirty_paths} AS d ON b.path = d.path"""),
-    "current_paths": ("Contributions under the living path of a file: moved files count under their new path, dead ones are dropped.", """
-        SELECT path, author, CAST(sum(commits) AS BIGINT) AS commits, max(last_commit) AS last_commit FROM (
-          SELECT coalesce(m.path, c.path) AS path, c.author, c.commits, c.last_commit FROM {contributions} AS c LEFT JOIN (SELECT old_path, max(path) AS path FROM {moves} GROUP BY old_path) AS m ON c.path = m.old_path) AS r
-        WHERE EXISTS (SELECT 1 FROM {tracked} AS t WHERE t.path = r.path) GROUP BY path, author"""),
     "review_window": ("Completed reviews inside the lookback window: those closed in it, or opened in it where they are not closed.", """
         SELECT reviewer, count(*) AS pulls FROM {pulls} WHERE coalesce(closed, opened) <= TIMESTAMP :as_of AND coalesce(closed, opened) >= TIMESTAMP :as_of - INTERVAL :lookback_days DAYS GROUP BY reviewer"""),
 }

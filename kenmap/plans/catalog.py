@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kenmap.operators import concentration, history, insight, ownership, people, policy, risk, rules
 from kenmap.params import Params
 from kenmap.plans import checks
-from kenmap.plans.engine import Engine, Operator, statement
+from kenmap.plans.engine import Engine, Operator, in_dialect, statement
 from kenmap.plans.schemas import SCHEMAS
 from kenmap.sources import adapter
 
@@ -62,4 +62,15 @@ def oracle(name: str) -> str:
     return text[: text.rindex("SELECT * FROM")] + "SELECT " + ", ".join(form.get(k, "{0}").format(c) for c, k in _columns(name)) + f" FROM {name}"
 
 
+def over(name: str, select: str, operators: dict[str, Operator] | None = None) -> str:
+    """``select`` for DuckDB over the statement of the operator ``name``; ``operators`` stand in for some below it."""
+    text = statement(adapter.OPERATORS | OPERATORS | checks.OPERATORS | (operators or {}), name, Params())
+    return "WITH RECURSIVE" + text[len("WITH") : text.rindex("\nSELECT * FROM")] + (",\n" if select.lstrip().startswith("+") else "\n") + select.lstrip().removeprefix("+")
+
+
+def oracle_text(fact: str) -> str:
+    """A fact table of the adapter for DuckDB."""
+    return in_dialect(adapter.FACTS[fact], 1)
+
+
 ORACLES = {name: oracle(name) for name in QUERIES}

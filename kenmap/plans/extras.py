@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.operators import graphs, lineage
+from kenmap.operators import components, graphs, lineage, moves
 from kenmap.plans import catalog
+from kenmap.plans.engine import Engine, Operator
 from kenmap.sinks import documents
 from kenmap.sources import adapter, text
 from kenmap.streaming import ingest
@@ -35,8 +36,45 @@ def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People whose departure splits the graph of people and paths, by top directory."""
-    return graphs.knowledge_cuts(catalog.engine(spark, sf_dir).table("owners").selectExpr("split_part(path, '/', 1) as top", "concat('person:', author) as src", "concat('path:', path) as dst"))
+    """People whose departure splits the whole graph of people and paths, with a directory of each piece."""
+    return components.knowledge_cuts(catalog.engine(spark, sf_dir).table("owners"))
+
+
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level of every tracked file behind its imports, and the cycles among all imports."""
+    own = catalog.engine(spark, sf_dir)
+    edges = own.table("dependencies").selectExpr("dependent as a", "dependency as b")
+    return components.ranked(edges, own.table("tracked").selectExpr("path as node")).withColumnRenamed("node", "path")
+
+
+def _living(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
+    own = catalog.engine(spark, sf_dir)
+    touches = own.table("touches").withColumn("ord", F.col("ts"))
+    return own, moves.living(touches, own.table("path_moves")).drop("ord")
+
+
+def living_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each path and month of the past: how many touches there are and on which of today's paths they count (none: the file has ended)."""
+    _, found = _living(spark, sf_dir)
+    return found.groupBy("path", F.date_format("ts", "yyyy-MM").alias("month"), "living").agg(F.count("*").alias("touches"))
+
+
+def _renamed(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose events count on living paths, so all signals and scores follow the moves."""
+    own, found = _living(spark, sf_dir)
+    events = found.where("living is not null").select(F.col("living").alias("path"), "author", "sha", "ts").distinct()
+    return Engine(spark, own.operators, {"events_all": events}, own.params)
+
+
+def current_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of the window under the living path of each file; what has no tracked path is dropped."""
+    made = _renamed(spark, sf_dir)
+    return made.table("contributions").join(made.table("tracked"), "path", "left_semi").select("path", "author", F.col("commits").cast("bigint").alias("commits"), F.date_format("last_commit", "yyyy-MM-dd HH:mm:ss").alias("last_commit"))
+
+
+def renamed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners and scores where the history follows moves."""
+    return catalog.rounded(_renamed(spark, sf_dir).table("owners"), "owners")
 
 
 def onboarding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +151,39 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
+QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, import_cycles, living_paths, current_paths, renamed_owners, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
+#: Each touch followed from move to move, one after the other.
+_FOLLOWED = """
+    t AS (SELECT source AS path, ord, 0 AS over, CASE WHEN kind = 'R' THEN dest END AS dest FROM path_moves UNION ALL SELECT dest, ord, 1, NULL FROM path_moves WHERE kind = 'R' AND dest <> source),
+    u AS (SELECT path, ord, arg_min(struct_pack(d := dest), struct_pack(o := over, k := coalesce(dest, ''))).d AS dest FROM t GROUP BY path, ord),
+    w AS (SELECT path, ord, dest, coalesce(lag(ord) OVER (PARTITION BY path ORDER BY ord), TIMESTAMP '0001-01-01 00:00:00') AS since FROM u),
+    f(path, ts, cur, ord, n) AS (SELECT DISTINCT path, ts, path, ts, 0 FROM touches UNION ALL SELECT f.path, f.ts, w.dest, w.ord, n + 1 FROM f JOIN w ON w.path = f.cur AND f.ord < w.ord AND f.ord >= w.since),
+    g AS (SELECT path, ts, cur AS living FROM f QUALIFY row_number() OVER (PARTITION BY path, ts ORDER BY n DESC) = 1)"""
+_RENAMED = {"events_all": Operator("events_all", "WITH RECURSIVE touches AS (SELECT * FROM {touches}), path_moves AS (SELECT * FROM {path_moves}), " + _FOLLOWED + " SELECT DISTINCT g.living AS path, e.author, e.sha, e.ts FROM touches AS e JOIN g ON e.path = g.path AND e.ts = g.ts WHERE g.living IS NOT NULL")}
+_OWNER_COLUMNS = catalog.ORACLES["owners"].rsplit("SELECT ", 1)[1]
+
 ORACLES = {
+    "knowledge_cuts": catalog.over("owners", """+
+        together AS (SELECT DISTINCT a.author AS a, b.author AS b FROM owners AS a JOIN owners AS b ON a.path = b.path AND a.author <> b.author),
+        people AS (SELECT DISTINCT author FROM owners),
+        reach(gone, a, b) AS (SELECT r.author, p.author, p.author FROM people AS r JOIN people AS p ON r.author <> p.author UNION SELECT r.gone, r.a, t.b FROM reach AS r JOIN together AS t ON t.a = r.b AND t.b <> r.gone),
+        piece AS (SELECT gone, a, min(b) AS piece FROM reach GROUP BY gone, a),
+        held AS (SELECT o.author, o.path, coalesce((SELECT min(x.author) FROM owners AS x WHERE x.path = o.path AND x.author <> o.author), '') AS other FROM owners AS o),
+        pieces AS (SELECT h.author, coalesce(p.piece, '/' || h.path) AS piece, min(h.path) AS path FROM held AS h LEFT JOIN piece AS p ON p.gone = h.author AND p.a = h.other GROUP BY 1, 2)
+        SELECT author AS person, count(*) AS pieces, coalesce(string_agg(DISTINCT regexp_replace(path, '/[^/]*$', ''), ',' ORDER BY regexp_replace(path, '/[^/]*$', '')) FILTER (WHERE contains(path, '/')), '') AS directories FROM pieces GROUP BY author HAVING count(*) > 1"""),
+    "import_cycles": catalog.over("dependencies", """+
+        reach(a, b) AS (SELECT dependent, dependency FROM dependencies UNION SELECT r.a, d.dependency FROM reach AS r JOIN dependencies AS d ON d.dependent = r.b),
+        loops AS (SELECT r.a AS path, min(r.b) AS cycle FROM reach AS r JOIN reach AS s ON s.a = r.b AND s.b = r.a GROUP BY r.a),
+        behind AS (SELECT DISTINCT a AS path FROM reach WHERE b IN (SELECT path FROM loops)),
+        free AS (SELECT path FROM tracked WHERE path NOT IN (SELECT path FROM behind)),
+        steps(path, n) AS (SELECT path, 0 FROM free UNION SELECT d.dependent, n + 1 FROM steps AS s JOIN dependencies AS d ON d.dependency = s.path WHERE d.dependent IN (SELECT path FROM free)),
+        levels AS (SELECT path, max(n) AS level FROM steps GROUP BY path)
+        SELECT t.path, CAST(coalesce(l.level, (SELECT max(level) + 1 FROM levels), 0) AS BIGINT) AS level, c.path IS NOT NULL AS cyclic, c.cycle FROM tracked AS t LEFT JOIN levels AS l ON t.path = l.path LEFT JOIN loops AS c ON t.path = c.path"""),
+    "living_paths": catalog.over("path_moves", "+touches AS (" + catalog.oracle_text("touches") + "), " + _FOLLOWED + """
+        SELECT e.path, strftime(e.ts, '%Y-%m') AS month, g.living, count(*) AS touches FROM touches AS e JOIN g ON e.path = g.path AND e.ts = g.ts GROUP BY 1, 2, 3"""),
+    "current_paths": catalog.over("contributions", """
+        SELECT path, author, CAST(commits AS BIGINT) AS commits, strftime(last_commit, '%Y-%m-%d %H:%M:%S') AS last_commit FROM contributions WHERE path IN (SELECT path FROM (""" + catalog.oracle_text("tracked") + "))", _RENAMED),
+    "renamed_owners": catalog.over("owners", "SELECT " + _OWNER_COLUMNS, _RENAMED),
     "commit_graph": """
         WITH RECURSIVE e AS (SELECT n, unnest(CASE WHEN n % 12 = 0 THEN [n - 1, n - 5] WHEN n % 10 = 0 THEN [n - 3] ELSE [n - 1] END) AS p FROM (SELECT unnest(range(6, least(500, (SELECT count(*) FROM orders)) + 1)) AS n)),
         pairs AS (SELECT 10 * i AS a, 10 * i + 7 AS b FROM (SELECT unnest(range(1, 30)) AS i)), r(h, n) AS (SELECT x, x FROM (SELECT a AS x FROM pairs UNION SELECT b FROM pairs) UNION SELECT r.h, e.p FROM r JOIN e ON e.n = r.n),

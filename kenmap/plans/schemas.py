@@ -172,7 +172,6 @@ SCHEMAS: dict[str, str] = {
     "dirty_paths": "path string, state string",
     "reused_share": "paths bigint, reused bigint, share double",
     "mixed_blame": "path string, author string, share double, state string",
-    "current_paths": "path string, author string, commits bigint, last_commit timestamp",
     "review_window": "reviewer string, pulls bigint",
     "repo_truck_factors": "quantile double, people bigint",
     "cached_handles": "identity string, handle string, state string",

@@ -74,7 +74,7 @@ FACTS |= {
     "roster_status": _values([("@nation_5", "former"), ("NATION_9", "external")], "identity, status"),
     "org_members": "SELECT n_name AS login FROM nation",
     "flags": _values([("absent_token",), ("missing_mailmap",), ("absent_token",)], "code"),
-    "import_edges": "\n UNION ALL ".join(f"SELECT {_PATH.replace('p.', 'a.')} AS dependent, {_PATH} AS dependency FROM part AS p JOIN part AS a ON a.p_partkey = {e}" for e in ("2 * p.p_partkey", "3 * p.p_partkey + 1", "p.p_partkey + 25 AND a.p_brand = p.p_brand")),
+    "import_edges": "\n UNION ALL ".join(f"SELECT {_PATH.replace('p.', 'a.')} AS dependent, {_PATH} AS dependency FROM part AS p JOIN part AS a ON a.p_partkey = {e}" for e in ("2 * p.p_partkey", "3 * p.p_partkey + 1", "p.p_partkey + 25 AND a.p_brand = p.p_brand", "p.p_partkey / 2 AND p.p_partkey % 16 = 0")),
     "attr_rules": _values([("", 1, attribute_regex("*ring*"), "linguist-generated", True), ("", 2, attribute_regex("*"), "text", True), ("Brand#4", 1, attribute_regex("*ring*"), "linguist-generated", False), ("Brand#5", 1, attribute_regex("STANDARD"), "linguist-vendored", True)], "dir, line, rx, attr, value"),
     "owners_files": _values([("Brand#1", "NATION_1"), ("Brand#1/PROMO", "NATION_2"), ("Brand#1/PROMO", "NATION_3"), ("Brand#2", "NATION_4"), ("", "NATION_0")], "dir, owner"),
     "nested_rules": _values([("Brand#1", 1, rule_regex("*"), "NATION_13"), ("Brand#1", 2, rule_regex("/PROMO/"), "NATION_14"), ("Brand#1/PROMO", 1, rule_regex("*ring*"), "NATION_15")], "dir, line, rx, owner"),
@@ -88,5 +88,27 @@ FACTS |= {
     "queries": _values([("@nation_4",), ("NATION_6@mail.example.com",), ("somebody",)], "query"),
     "repository": _values([(1_204, "unknown")], "file_bytes, review"),
 }
+#: Every tenth part has had three names; touches name it as it was called then.  Some of these files also swap names, end, move away and back, or are moved over.
+_OLD, _MID = (f"'{d}/' || p.p_type || '/' || p.p_name || '-' || @str(p.p_partkey)" for d in ("old", "mid"))
+_MID_NEXT = "'mid/' || q.p_type || '/' || q.p_name || '-' || @str(q.p_partkey)"
+
+
+def _moves(at: str, kind: str, source: str, dest: str, where: str, tables: str = "part AS p") -> str:
+    return f"SELECT TIMESTAMP '{at} 00:00:00' AS ord, '{kind}' AS kind, {source} AS source, {dest} AS dest FROM {tables} WHERE {where}"
+
+
+FACTS |= {
+    "touches": f"SELECT DISTINCT CASE WHEN p.p_partkey % 10 <> 0 OR o.o_orderdate >= TIMESTAMP '2001-03-01 00:00:00' THEN {_PATH} WHEN o.o_orderdate < TIMESTAMP '2000-11-01 00:00:00' THEN {_OLD} ELSE {_MID} END AS path, {_WHO} AS author, o.o_orderkey AS sha, CAST(o.o_orderdate AS TIMESTAMP) AS ts FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey",
+    "path_moves": "\n UNION ALL ".join((
+        _moves("2000-11-01", "R", _OLD, _MID, "p.p_partkey % 10 = 0"),
+        _moves("2001-01-15", "R", _MID, _MID_NEXT, "p.p_partkey % 40 = 0", "part AS p JOIN part AS q ON q.p_partkey = p.p_partkey + 10"),
+        _moves("2001-01-15", "R", _MID_NEXT, _MID, "p.p_partkey % 40 = 0", "part AS p JOIN part AS q ON q.p_partkey = p.p_partkey + 10"),
+        _moves("2001-02-01", "D", _MID, "CAST(NULL AS varchar(9))", "p.p_partkey % 70 = 0"),
+        _moves("2001-03-01", "R", _MID, _PATH, "p.p_partkey % 10 = 0"),
+        _moves("2001-04-01", "R", "'tmp/' || @str(p.p_partkey)", _PATH, "p.p_partkey % 110 = 0"),
+        _moves("2001-05-01", "R", _PATH, _OLD, "p.p_partkey % 90 = 0"),
+        _moves("2001-06-01", "R", _OLD, _PATH, "p.p_partkey % 90 = 0"),
+    )),
+}
 OPERATORS = {name: Operator(name, sql, "Fact table from the star schema.") for name, sql in FACTS.items()}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
