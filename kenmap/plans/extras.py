@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kenmap.operators import components, graphs, lineage, moves
-from kenmap.plans import catalog
+from kenmap.plans import catalog, storage
 from kenmap.plans.engine import Engine, Operator
-from kenmap.sinks import documents
+from kenmap.sinks import documents, incremental
 from kenmap.sources import adapter, text
 from kenmap.streaming import ingest
 
@@ -77,6 +80,18 @@ def renamed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.rounded(_renamed(spark, sf_dir).table("owners"), "owners")
 
 
+def incremental_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of the window by two runs: the first two months before its end, the second on what came since."""
+    own = catalog.engine(spark, sf_dir)
+    store = incremental.Store(spark, f"{storage.folder(spark)}/history-{uuid.uuid4().hex}")
+    end, window = datetime.fromisoformat(own.params.as_of), timedelta(days=own.params.lookback_days)
+    then = end - timedelta(days=60)
+    events = own.table("events_all")
+    store.advance(events.where(F.col("ts").between(F.lit(then - window), F.lit(then))), "then", then, window, {})
+    store.advance(events.where((F.col("ts") > F.lit(then)) & (F.col("ts") <= F.lit(end))), "now", end, window, {})
+    return catalog.rounded(store.contributions(), "contributions")
+
+
 def onboarding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning order of the target's files behind what they import, with a reviewer for each."""
     own = catalog.engine(spark, sf_dir)
@@ -151,7 +166,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, import_cycles, living_paths, current_paths, renamed_owners, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
+QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, import_cycles, living_paths, current_paths, renamed_owners, incremental_contributions, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
 #: Each touch followed from move to move, one after the other.
 _FOLLOWED = """
     t AS (SELECT source AS path, ord, 0 AS over, CASE WHEN kind = 'R' THEN dest END AS dest FROM path_moves UNION ALL SELECT dest, ord, 1, NULL FROM path_moves WHERE kind = 'R' AND dest <> source),
@@ -184,6 +199,7 @@ ORACLES = {
     "current_paths": catalog.over("contributions", """
         SELECT path, author, CAST(commits AS BIGINT) AS commits, strftime(last_commit, '%Y-%m-%d %H:%M:%S') AS last_commit FROM contributions WHERE path IN (SELECT path FROM (""" + catalog.oracle_text("tracked") + "))", _RENAMED),
     "renamed_owners": catalog.over("owners", "SELECT " + _OWNER_COLUMNS, _RENAMED),
+    "incremental_contributions": catalog.ORACLES["contributions"],
     "commit_graph": """
         WITH RECURSIVE e AS (SELECT n, unnest(CASE WHEN n % 12 = 0 THEN [n - 1, n - 5] WHEN n % 10 = 0 THEN [n - 3] ELSE [n - 1] END) AS p FROM (SELECT unnest(range(6, least(500, (SELECT count(*) FROM orders)) + 1)) AS n)),
         pairs AS (SELECT 10 * i AS a, 10 * i + 7 AS b FROM (SELECT unnest(range(1, 30)) AS i)), r(h, n) AS (SELECT x, x FROM (SELECT a AS x FROM pairs UNION SELECT b FROM pairs) UNION SELECT r.h, e.p FROM r JOIN e ON e.n = r.n),
