@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.operators import components, graphs, lineage, moves
+from kenmap.operators import communities, components, graphs, lineage, moves
 from kenmap.plans import catalog, storage
 from kenmap.plans.engine import Engine, Operator
 from kenmap.sinks import documents, incremental
@@ -80,6 +80,29 @@ def renamed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.rounded(_renamed(spark, sf_dir).table("owners"), "owners")
 
 
+def community_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the collaboration graph at each level, with the modularity that the level reaches."""
+    pairs = storage.written(catalog.engine(spark, sf_dir).table("pair_weights"))
+    found = communities.levels(pairs)
+    return found.join(communities.modularity(pairs, found).selectExpr("level as at", "communities", "round(modularity, 6) as modularity"), F.col("level") == F.col("at")).drop("at")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = catalog.engine(spark, sf_dir)
+    pairs, teams = storage.written(own.table("pair_weights")), own.table("team_members")
+    return communities.clusters(pairs, communities.levels(pairs), teams), teams
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of people with their affiliated people, parents, and the teams that they equal."""
+    return _clusters(spark, sf_dir)[0].drop("community")
+
+
+def team_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each declared team against its nearest cluster."""
+    return communities.team_comparisons(*_clusters(spark, sf_dir))
+
+
 def incremental_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions of the window by two runs: the first two months before its end, the second on what came since."""
     own = catalog.engine(spark, sf_dir)
@@ -166,7 +189,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, import_cycles, living_paths, current_paths, renamed_owners, incremental_contributions, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
+QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, import_cycles, living_paths, current_paths, renamed_owners, incremental_contributions, community_levels, clusters, team_comparisons, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
 #: Each touch followed from move to move, one after the other.
 _FOLLOWED = """
     t AS (SELECT source AS path, ord, 0 AS over, CASE WHEN kind = 'R' THEN dest END AS dest FROM path_moves UNION ALL SELECT dest, ord, 1, NULL FROM path_moves WHERE kind = 'R' AND dest <> source),
