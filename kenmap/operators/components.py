@@ -175,14 +175,65 @@ def ranked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return flat.union(behind).join(cycles.withColumnRenamed("component", "cycle"), "node", "left").select("node", "level", F.col("cycle").isNotNull().alias("cyclic"), "cycle")
 
 
+def below(tree: DataFrame) -> DataFrame:
+    """node, inner: each node of (node, parent) with itself and all nodes below it, whatever the depth; nodes on a cycle are below each other.
+
+    A round joins only the pairs that the round before found.
+    """
+    children = written(tree.where("parent is not null").select(F.col("parent").alias("inner"), F.col("node").alias("child")).distinct())
+    fresh = written(tree.select("node", F.col("node").alias("inner")).distinct())
+    known = fresh
+    while not fresh.isEmpty():
+        fresh = written(fresh.join(children, "inner").select("node", F.col("child").alias("inner")).distinct().join(known, ["node", "inner"], "left_anti"))
+        known = known.union(fresh)
+    return known
+
+
+def shortest(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """start, goal, hops, chain: a shortest chain of nodes of an undirected graph (a, b) for each pair (start, goal) that has one; of several the one whose steps before the goal have the smallest names, from the goal on.
+
+    The search goes out from all distinct starts at once, a level a round, and ends when a start has met all its goals or nothing new; each (start, node) keeps its smallest predecessor.
+    """
+    near, wanted = written(both_ways(edges)), written(pairs.select("start", "goal").distinct())
+    level = written(wanted.select("start", F.col("start").alias("node"), F.lit(None).cast("string").alias("before"), F.lit(0).alias("hops")).distinct())
+    seen, open_pairs = level, wanted.where("start <> goal")
+    while not level.isEmpty():
+        level = level.join(open_pairs.select("start").distinct(), "start", "left_semi")
+        out = level.join(near, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("before"), F.max(F.col("hops") + 1).alias("hops"))
+        level = written(out.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        seen = seen.union(level)
+        open_pairs = written(open_pairs.join(level.select("start", F.col("node").alias("goal")), ["start", "goal"], "left_anti"))
+    seen = written(seen)
+    chains = written(wanted.join(seen.withColumnRenamed("node", "goal"), ["start", "goal"]).select("start", "goal", "hops", F.array("goal").alias("chain"), F.col("before").alias("at")))
+    while not chains.where("at is not null").isEmpty():
+        steps = seen.select("start", F.col("node").alias("at"), F.col("before").alias("further"))
+        chains = written(chains.join(steps, ["start", "at"], "left").select("start", "goal", "hops", F.expr("if(at is null, chain, concat(array(at), chain))").alias("chain"), F.col("further").alias("at")))
+    return chains.select("start", "goal", F.col("hops").cast("long").alias("hops"), "chain")
+
+
+def _sets(owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, people) of all paths, and (people, path) of the sets of several people with the first path of each: paths of the same people are twins in the graph of people and paths."""
+    paths = owners.groupBy("path").agg(F.array_sort(F.collect_set("author")).alias("people"))
+    return paths, written(paths.where("size(people) > 1").groupBy("people").agg(F.min("path").alias("path")))
+
+
+def knowledge_chains(owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """author, successor, hops, chain: a shortest chain of people and paths from each author to each successor (pairs: author, successor) in the whole graph of people and paths.
+
+    Of twin paths the first one stands for all; a path of one person leads nowhere.
+    """
+    edges = _sets(owners)[1].select(F.explode("people").alias("person"), "path").selectExpr("concat('person:', person) as a", "concat('path:', path) as b")
+    found = shortest(edges, pairs.selectExpr("concat('person:', author) as start", "concat('person:', successor) as goal"))
+    return found.select(F.expr("substr(start, 8)").alias("author"), F.expr("substr(goal, 8)").alias("successor"), "hops", F.array_join("chain", ",").alias("chain"))
+
+
 def knowledge_cuts(owners: DataFrame) -> DataFrame:
     """person, pieces, directories: people whose departure splits the graph of people and paths, with how many pieces their paths fall into and a directory of each.
 
     ``owners``: path, author.  Paths with the same people are twins, so the graph holds each set of people once; a path of one person alone is a piece of its own.
     A person's other pieces are their blocks.  The directory of a piece is that of its first path of the person; paths without directory give none.
     """
-    paths = owners.groupBy("path").agg(F.array_sort(F.collect_set("author")).alias("people"))
-    sets = written(paths.where("size(people) > 1").groupBy("people").agg(F.min("path").alias("path")))
+    paths, sets = _sets(owners)
     edges = sets.select(F.explode("people").alias("person"), "path")
     named = edges.select(F.concat(F.lit("person:"), "person").alias("a"), F.concat(F.lit("set:"), "path").alias("b"))
     sides = blocks(named).where("startswith(a, 'person:')").selectExpr("substr(a, 8) as person", "substr(b, 5) as path", "block")

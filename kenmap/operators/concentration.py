@@ -34,7 +34,7 @@ SQL = {
         SELECT split_part(path, '/', 1) AS top, author, max(score) AS score FROM {owners} WHERE @contains(path, '/') GROUP BY 1, 2"""),
     "directory_leaders": ("The best people of each top directory: three more than a path can have owners.", """
         SELECT top, author, score FROM (SELECT top, author, score, row_number() OVER (PARTITION BY top ORDER BY score DESC, author) AS n FROM {directory_best}) AS l WHERE n <= :top_n + 3"""),
-    "leaders": ("The best people of the repository.", "SELECT author, max(score) AS score FROM {owners} GROUP BY author ORDER BY score DESC, author LIMIT 6"),
+    "leaders": ("The best people of the repository: as many as can be left when the owners of a path are taken out.", "SELECT author, max(score) AS score FROM {owners} GROUP BY author ORDER BY score DESC, author LIMIT :top_n + 3"),
     "backups": ("Up to three people who do not own the path, best first: of the same top directory, else of the whole repository.", """
         SELECT path, author, score, place FROM (
           SELECT path, author, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, author) AS place FROM (

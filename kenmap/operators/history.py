@@ -73,7 +73,7 @@ SQL = {
         FROM {periods} AS p JOIN {events_all} AS e ON @days(TIMESTAMP :as_of, e.ts) >= p.ends_before AND @days(TIMESTAMP :as_of, e.ts) <= :periods * :period_days
         GROUP BY p.period"""),
     "periods": ("Period numbers, oldest first, with the days between their end and the instant.", """
-        SELECT n AS period, (:periods - 1 - n) * :period_days AS ends_before FROM (VALUES (0), (1), (2), (3), (4), (5)) AS v(n) WHERE n < :periods"""),
+        SELECT n AS period, (:periods - 1 - n) * :period_days AS ends_before FROM (SELECT @explode(@series(0, :periods - 1)) AS n) AS v"""),
     "trend_scores": ("Mean top score by recency and frequency of each period.", """
         SELECT period, round(avg(top), 4) AS mean_top_score, count(*) AS scored_paths FROM (
           SELECT period, path, max((:w_recency * power(0.5e0, greatest(0e0, @days(TIMESTAMP :as_of, last_commit) - ends_before) / :half_life) + :w_frequency * least(1e0, commits / (most + :frequency_prior))) / (:w_recency + :w_frequency)) AS top

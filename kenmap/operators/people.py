@@ -40,11 +40,11 @@ SQL = {
           LEFT JOIN (SELECT x.slug, sum(p.weight) AS inside FROM {pair_weights} AS p JOIN {team_members} AS x ON p.a = x.login JOIN {team_members} AS y ON p.b = y.login AND x.slug = y.slug GROUP BY x.slug) AS i ON m.slug = i.slug
           CROSS JOIN (SELECT sum(weight) AS total FROM {pair_weights}) AS t GROUP BY m.slug) AS g"""),
     "weighted_degree": ("Total collaboration weight of each person.", "SELECT person, sum(weight) AS degree FROM (SELECT a AS person, weight FROM {pair_weights} UNION ALL SELECT b, weight FROM {pair_weights}) AS w GROUP BY person"),
-    "team_closure": ("Members of each team and of all teams below it; 32 levels at most, which also ends cycles.", """
-        WITH RECURSIVE below(slug, inner_slug, level) AS (
-          SELECT slug, slug, 0 FROM {teams}
-          UNION ALL SELECT b.slug, c.slug, b.level + 1 FROM below AS b JOIN {teams} AS c ON c.parent = b.inner_slug WHERE b.level < 32 AND c.slug <> b.slug)
-        SELECT DISTINCT b.slug, m.login FROM below AS b JOIN {team_members} AS m ON m.slug = b.inner_slug"""),
+    "team_closure": ("Members of each team and of all teams below it, whatever the depth; teams that hold each other hold the same people.", """
+        SELECT DISTINCT b.slug, m.login FROM {teams_below} AS b JOIN {team_members} AS m ON m.slug = b.inner_slug"""),
+    "teams_below": ("Each team with itself and all teams below it; on Spark a closure by rounds (``components.below``), as its recursive statements end by depth only.", """
+        WITH RECURSIVE below(slug, inner_slug) AS (SELECT slug, slug FROM {teams} UNION SELECT b.slug, c.slug FROM below AS b JOIN {teams} AS c ON c.parent = b.inner_slug)
+        SELECT slug, inner_slug FROM below"""),
     "narrowest_team": ("For each path the smallest team that holds all its owners.", """
         SELECT path, slug FROM (
           SELECT o.path, m.slug, row_number() OVER (PARTITION BY o.path ORDER BY z.members, m.slug) AS n

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.operators import concentration, history, insight, ownership, people, policy, risk, rules
+from kenmap.operators import components, concentration, history, insight, ownership, people, policy, risk, rules
 from kenmap.params import Params
 from kenmap.plans import checks
 from kenmap.plans.engine import Engine, Operator, in_dialect, statement
@@ -17,8 +17,10 @@ from kenmap.sources import adapter
 
 OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (history, ownership, concentration, rules, risk, people, policy, insight) for n, (doc, sql) in module.SQL.items()}
 
+OPERATORS["teams_below"] = replace(OPERATORS["teams_below"], build=lambda tables: components.below(tables["teams"].select(F.col("slug").alias("node"), "parent")).toDF("slug", "inner_slug"))
+
 #: Operators that are steps of others and no report of their own.
-STEPS = {"gaps", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs", "set_dirs", "leaders", "directory_leaders", "tracked_dirs", "left_shares", "departure_order", "departure_steps"}
+STEPS = {"gaps", "teams_below", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs", "set_dirs", "leaders", "directory_leaders", "tracked_dirs", "left_shares", "departure_order", "departure_steps"}
 ROUND = 6
 
 

@@ -9,7 +9,7 @@ inputs as one self-contained statement, for any other SQL engine that is to chec
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +82,8 @@ class Operator:
     name: str
     sql: str
     doc: str = ""
+    #: Where Spark's SQL can't say it: makes the table of the inputs' tables, by name.
+    build: Callable[[dict[str, DataFrame]], DataFrame] | None = None
 
     @property
     def inputs(self) -> list[str]:
@@ -113,7 +115,8 @@ class Engine:
             op = self.operators[name]
             sql = with_params(in_dialect(op.sql, 0), self.params)
             plain = _BRACES.sub(lambda m: m[0] if m[1] else 2 * m[0], sql)  # other braces are ordinary text
-            made = self.spark.sql(plain, **{i: self.table(i) for i in op.inputs})
+            inputs = {i: self.table(i) for i in op.inputs}
+            made = op.build(inputs) if op.build else self.spark.sql(plain, **inputs)
             self.facts[name] = kept(made) if name in self.pinned else made
         return self.facts[name]
 

@@ -123,10 +123,10 @@ def onboarding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transfer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortest chain of collaborators from each person who decays to each successor."""
+    """A shortest chain of people and paths from each person who decays to each successor, in the whole knowledge graph."""
     own = catalog.engine(spark, sf_dir)
     pairs = own.table("transfers").where("successor is not null").select("author", "successor").distinct()
-    return graphs.transfer_paths(own.table("pair_weights"), pairs)
+    return components.knowledge_chains(own.table("owners"), pairs)
 
 
 def steady_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +134,16 @@ def steady_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.sql("""
         SELECT event_type AS repo, datediff(ts, DATE '1992-01-01') AS run, CASE WHEN count(*) % 3 = 0 THEN 'high' ELSE 'low' END AS severity, count(*) % 5 / 20e0 AS delta
         FROM {events} GROUP BY 1, 2""", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return graphs.steady(runs)
+    return ingest.steadied(runs)
 
 
 def commit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestry of pairs of orders: each follows the one before it, every twelfth also the fifth before, every tenth starts from the third before."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Ancestry of pairs of orders in the history of each customer: an order follows the one before it, every fourth also the third before, every fifth starts from the second before."""
+    orders = spark.sql("SELECT cast(o_custkey AS string) AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}", orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     edges = spark.sql("""
-        SELECT 'r' AS repo, cast(n AS string) AS sha, explode(transform(if(n % 12 = 0, array(n - 1, n - 5), array(if(n % 10 = 0, n - 3, n - 1))), x -> cast(x AS string))) AS parent
-        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n FROM {orders}) WHERE n BETWEEN 6 AND 500""", orders=orders)
-    pairs = spark.sql("SELECT 'r' AS repo, cast(10 * id AS string) AS a, cast(10 * id + 7 AS string) AS b FROM range(1, 30)")
+        SELECT repo, cast(n AS string) AS sha, explode(transform(if(n % 4 = 0, array(n - 1, n - 3), array(if(n % 5 = 0, n - 2, n - 1))), x -> cast(x AS string))) AS parent
+        FROM {orders} WHERE n > 3""", orders=orders)
+    pairs = spark.sql("SELECT repo, cast(n - 3 AS string) AS a, cast(n AS string) AS b FROM {orders} WHERE n > 4 AND n % 3 = 0", orders=orders)
     return graphs.commit_graph(edges, pairs)
 
 
@@ -222,13 +222,33 @@ ORACLES = {
     "current_paths": catalog.over("contributions", """
         SELECT path, author, CAST(commits AS BIGINT) AS commits, strftime(last_commit, '%Y-%m-%d %H:%M:%S') AS last_commit FROM contributions WHERE path IN (SELECT path FROM (""" + catalog.oracle_text("tracked") + "))", _RENAMED),
     "renamed_owners": catalog.over("owners", "SELECT " + _OWNER_COLUMNS, _RENAMED),
+    "steady_severity": """
+        WITH RECURSIVE d AS (SELECT event_type AS repo, datediff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS run, CASE WHEN count(*) % 3 = 0 THEN 'high' ELSE 'low' END AS severity, count(*) % 5 / 20e0 AS delta FROM events GROUP BY 1, 2),
+        n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY run) AS i FROM d),
+        f AS (SELECT repo, run, i, severity AS reported, severity AS pending, 1 AS streak FROM n WHERE i = 1 UNION ALL
+          SELECT n.repo, n.run, n.i, CASE WHEN n.delta >= 0.4 OR n.severity = f.reported OR (CASE WHEN n.severity = f.pending THEN f.streak + 1 ELSE 1 END) >= 3 THEN n.severity ELSE f.reported END, n.severity,
+            CASE WHEN n.delta >= 0.4 OR n.severity = f.reported THEN 1 WHEN n.severity = f.pending THEN f.streak + 1 ELSE 1 END FROM f JOIN n ON n.repo = f.repo AND n.i = f.i + 1)
+        SELECT repo, run, reported, CAST(streak AS BIGINT) AS streak FROM f""",
+    "transfer_paths": catalog.over("transfers", """+
+        pairs AS (SELECT DISTINCT author, successor FROM transfers WHERE successor IS NOT NULL),
+        first AS (SELECT min(path) AS path, l FROM (SELECT path, list(DISTINCT author ORDER BY author) AS l FROM owners GROUP BY path) GROUP BY l),
+        near AS (SELECT 'person:' || p AS a, 'path:' || path AS b FROM (SELECT unnest(l) AS p, path FROM first) UNION ALL SELECT 'path:' || path, 'person:' || p FROM (SELECT unnest(l) AS p, path FROM first)),
+        walk(start, node, hops) AS (SELECT DISTINCT 'person:' || author, 'person:' || author, 0 FROM pairs UNION SELECT w.start, n.b, w.hops + 1 FROM walk AS w JOIN near AS n ON n.a = w.node WHERE w.hops < 2 * (SELECT count(DISTINCT author) FROM owners)),
+        level AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node),
+        before AS (SELECT l.start, l.node, min(n.b) AS before FROM level AS l JOIN near AS n ON n.a = l.node JOIN level AS k ON k.start = l.start AND k.node = n.b AND k.hops = l.hops - 1 GROUP BY l.start, l.node),
+        back AS (SELECT p.author, p.successor, l.hops, l.node AS at, [l.node] AS chain FROM pairs AS p JOIN level AS l ON l.start = 'person:' || p.author AND l.node = 'person:' || p.successor
+          UNION ALL SELECT b.author, b.successor, b.hops, x.before, list_prepend(x.before, b.chain) FROM back AS b JOIN before AS x ON x.start = 'person:' || b.author AND x.node = b.at)
+        SELECT author, successor, CAST(hops AS BIGINT) AS hops, array_to_string(chain, ',') AS chain FROM back WHERE len(chain) = hops + 1"""),
     "incremental_contributions": catalog.ORACLES["contributions"],
     "commit_graph": """
-        WITH RECURSIVE e AS (SELECT n, unnest(CASE WHEN n % 12 = 0 THEN [n - 1, n - 5] WHEN n % 10 = 0 THEN [n - 3] ELSE [n - 1] END) AS p FROM (SELECT unnest(range(6, least(500, (SELECT count(*) FROM orders)) + 1)) AS n)),
-        pairs AS (SELECT 10 * i AS a, 10 * i + 7 AS b FROM (SELECT unnest(range(1, 30)) AS i)), r(h, n) AS (SELECT x, x FROM (SELECT a AS x FROM pairs UNION SELECT b FROM pairs) UNION SELECT r.h, e.p FROM r JOIN e ON e.n = r.n),
-        s AS (SELECT h, list(n) AS l FROM r GROUP BY h), c AS (SELECT p.a, p.b, x.l AS one, y.l AS two, list_intersect(x.l, y.l) AS shared FROM pairs AS p JOIN s AS x ON x.h = p.a JOIN s AS y ON y.h = p.b)
-        SELECT 'r' AS repo, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, len(one) - len(shared) AS ahead, len(two) - len(shared) AS behind, list_contains(two, a) AS is_ancestor,
-          (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY CAST(v AS VARCHAR)) FROM (SELECT unnest(shared) AS v) WHERE v NOT IN (SELECT e.p FROM e WHERE list_contains(shared, e.n))) AS bases FROM c""",
+        WITH RECURSIVE o AS (SELECT o_custkey AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+        e AS (SELECT repo, n, unnest(CASE WHEN n % 4 = 0 THEN [n - 1, n - 3] WHEN n % 5 = 0 THEN [n - 2] ELSE [n - 1] END) AS p FROM o WHERE n > 3),
+        pairs AS (SELECT repo, n - 3 AS a, n AS b FROM o WHERE n > 4 AND n % 3 = 0), r(repo, h, n) AS (SELECT repo, x, x FROM (SELECT repo, a AS x FROM pairs UNION SELECT repo, b FROM pairs) UNION SELECT r.repo, r.h, e.p FROM r JOIN e ON e.repo = r.repo AND e.n = r.n),
+        s AS (SELECT repo, h, list(n) AS l FROM r GROUP BY repo, h), c AS (SELECT p.repo, p.a, p.b, x.l AS one, y.l AS two, list_intersect(x.l, y.l) AS shared FROM pairs AS p JOIN s AS x ON x.repo = p.repo AND x.h = p.a JOIN s AS y ON y.repo = p.repo AND y.h = p.b),
+        v AS (SELECT repo, a, b, unnest(shared) AS v FROM c), w AS (SELECT v.repo, v.a, v.b, e.p FROM v JOIN e ON e.repo = v.repo AND e.n = v.v),
+        bases AS (SELECT repo, a, b, string_agg(CAST(v AS VARCHAR), ',' ORDER BY CAST(v AS VARCHAR)) AS bases FROM (SELECT v.* FROM v ANTI JOIN w ON w.repo = v.repo AND w.a = v.a AND w.b = v.b AND w.p = v.v) GROUP BY ALL)
+        SELECT CAST(c.repo AS VARCHAR) AS repo, CAST(c.a AS VARCHAR) AS a, CAST(c.b AS VARCHAR) AS b, len(one) - len(shared) AS ahead, len(two) - len(shared) AS behind, list_contains(two, c.a) AS is_ancestor, coalesce(x.bases, '') AS bases
+        FROM c LEFT JOIN bases AS x ON x.repo = c.repo AND x.a = c.a AND x.b = c.b""",
     "parsed_history": """
         WITH c AS (SELECT o_orderkey AS sha, 'c' || o_custkey || '@x.org' AS author FROM orders UNION SELECT o_orderkey, 'c' || (o_custkey % 7) || '@x.org' FROM orders), f AS (SELECT unnest(['M', 'R']) AS status)
         SELECT author, status, count(*) AS files, count(DISTINCT sha) AS commits, CAST(CASE WHEN status = 'M' THEN 100 ELSE 90 END AS BIGINT) AS similarity FROM c, f GROUP BY author, status""",

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from kenmap.operators.graphs import steady_step
 from kenmap.plans.storage import folder
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -38,19 +40,51 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("newest", F.max("batch").over(Window.partitionBy(*keys))).where("batch = newest").drop("batch", "newest")
 
 
+class Steady(StatefulProcessor):
+    """Hysteresis of one repository's runs: typed state holds what is reported, what waits, and for how many runs; nothing is replayed."""
+
+    def __init__(self, needed: int, margin: float) -> None:
+        self.needed, self.margin = needed, margin
+
+    def init(self, handle) -> None:
+        self.now = handle.getValueState("now", "reported string, pending string, streak int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("run")
+        state, out = self.now.get() if self.now.exists() else None, []
+        for severity, delta in zip(new["severity"], new["delta"]):
+            state = steady_step(state, severity, delta, self.needed, self.margin)
+            out.append(state)
+        self.now.update(state)
+        yield pd.DataFrame({"repo": key[0], "run": new["run"], "reported": [s[0] for s in out], "streak": pd.array([s[2] for s in out], "int64")})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def steady_severity(runs: DataFrame, needed: int = 3, margin: float = 0.4) -> DataFrame:
-    """repo, run, reported of a stream of runs (repo, run, severity, delta): state is kept for each repository."""
-    from kenmap.operators.graphs import hysteresis
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(batches)).sort_values("run")
-        before = [tuple(x.split("\t")) for x in seen]
-        history = [(s, float(d)) for s, d in before] + list(zip(new["severity"], new["delta"]))
-        out = hysteresis(history, needed, margin)[len(before) :]
-        # The last ``needed`` runs with the severity reported before them decide all that follows.
-        reported = out[-1][0]
-        state.update(([f"{reported}\t1.0", *[f"{s}\t{d}" for s, d in history[-needed:]]],))
-        yield pd.DataFrame({"repo": key[0], "run": new["run"], "reported": [o[0] for o in out]})
-
-    return runs.groupBy("repo").applyInPandasWithState(step, "repo string, run long, reported string", "seen array<string>", "append", "NoTimeout")
+    """repo, run, reported, streak of a stream of runs (repo, run, severity, delta) that come in order; the stream needs the RocksDB state store (``STATE_STORE``)."""
+    return runs.groupBy("repo").transformWithStateInPandas(Steady(needed, margin), "repo string, run long, reported string, streak long", "Append", "None")
+
+
+def steadied(runs: DataFrame, slices: int = 3, needed: int = 3, margin: float = 0.4) -> DataFrame:
+    """``steady_severity`` of a table of runs: it is laid out as files in the order of runs, and a stream takes one slice after the other, each by a query of its own that goes on from the state of the one before."""
+    spark = runs.sparkSession
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        ends = runs.agg(F.min("run").alias("low"), F.max("run").alias("high")).first()
+        low, high = (0, 0) if ends.low is None else (ends.low, ends.high + 1)
+        bounds = [low + (high - low) * i // slices for i in range(slices + 1)]
+        for a, b in zip(bounds, bounds[1:]):
+            runs.where((F.col("run") >= a) & (F.col("run") < b)).write.mode("append").parquet(f"{at}/in")
+            stream = spark.readStream.schema(runs.schema).parquet(f"{at}/in")
+            query = steady_severity(stream, needed, margin).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    return spark.read.schema("repo string, run long, reported string, streak long").parquet(f"{at}/out")

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -103,17 +104,16 @@ def test_directory_move_takes_the_least_similarity_and_the_living_files(spark):
     assert {r["path"]: r["confidence"] for r in lineage(commits, files).collect()} == {"y/k/a": 0.7, "y/k/b": 0.7, "y/k/dead": 1.0}  # a file that nobody knew starts anew
 
 
-def test_steady_severity_over_batches(spark, tmp_path):
-    source = tmp_path / "in"
-    rows = [("r", i, s, d) for i, (s, d) in enumerate([("low", 0.1), ("high", 0.1), ("high", 0.1), ("high", 0.1), ("low", 0.9)])]
-    for i, part in enumerate((rows[:2], rows[2:])):
-        spark.createDataFrame(part, "repo string, run long, severity string, delta double").coalesce(1).write.parquet(str(source / f"p{i}"))
-    stream = spark.readStream.schema("repo string, run long, severity string, delta double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(source))
-    query = ingest.steady_severity(stream).writeStream.format("memory").queryName("steady").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    want = [r[0] for r in graphs.hysteresis([(s, d) for *_, s, d in rows])]
-    assert [r["reported"] for r in spark.table("steady").orderBy("run").collect()] == want
-    assert [r["reported"] for r in graphs.steady(spark.createDataFrame(rows, "repo string, run long, severity string, delta double")).orderBy("run").collect()] == want
+def test_steady_severity_goes_on_from_its_state(spark):
+    rng = random.Random(4)
+    rows = [(r, i, rng.choice(["low", "low", "high", "mid"]), rng.choice([0.1, 0.2, 0.5])) for r in ("r", "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "repo string, run long, severity string, delta double")
+    got = {(r["repo"], r["run"]): (r["reported"], r["streak"]) for r in ingest.steadied(df, slices=2).collect()}
+    for repo in ("r", "s"):
+        want = graphs.hysteresis([(s, d) for name, _, s, d in rows if name == repo])
+        assert [got[repo, i] for i in range(40)] == [(reported, streak) for reported, _, streak in want]
+    assert {(r["repo"], r["run"]): (r["reported"], r["streak"]) for r in graphs.steady(df).collect()} == got
+    assert spark.conf.get(ingest.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(ingest.STATE_STORE)
 
 
 def test_hysteresis_waits_and_jumps():

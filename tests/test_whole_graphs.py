@@ -160,3 +160,41 @@ def test_moves_change_contributions_and_scores(spark, sf):
     own = extras._renamed(spark, sf)
     assert own.table("events_all").where("path like 'old/%' or path like 'mid/%'").join(own.table("path_moves").selectExpr("source as path"), "path", "left_semi").count() == 0
     assert own.table("events_all").select("path").distinct().count() < own.table("touches").select("path").distinct().count()
+
+
+def test_shortest_chains(spark, forest_of_graphs):
+    plain = [(a, b) for a, b in forest_of_graphs if a != b]
+    nodes = sorted({x for e in plain for x in e})
+    rng = random.Random(2)
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)] + [("chain0", "chain4"), ("chain4", "chain0"), ("7-n00", "7-n00")]
+    got = {(r["start"], r["goal"]): (r["hops"], r["chain"]) for r in components.shortest(frame(spark, plain), spark.createDataFrame(pairs, "start string, goal string")).collect()}
+    both = {*plain, *((b, a) for a, b in plain)}
+    for a, b in set(pairs):
+        if a == b:
+            continue
+        want = graphs.shortest_path(plain, a, b)
+        if not want:
+            assert (a, b) not in got
+            continue
+        hops, chain = got[a, b]
+        assert hops == len(want) - 1 == len(chain) - 1 and chain[0] == a and chain[-1] == b and all((x, y) in both for x, y in zip(chain, chain[1:]))
+
+
+def test_knowledge_chains_cross_directories(spark):
+    owners = spark.createDataFrame([("a/x", "ann"), ("a/x", "bob"), ("a/w", "ann"), ("a/w", "bob"), ("b/y", "bob"), ("b/y", "cid"), ("c/z", "dan")], "path string, author string")
+    rows = components.knowledge_chains(owners, spark.createDataFrame([("ann", "cid"), ("ann", "dan")], "author string, successor string")).collect()
+    assert [tuple(r) for r in rows] == [("ann", "cid", 4, "person:ann,path:a/w,person:bob,path:b/y,person:cid")]
+
+
+def test_all_below_any_depth_and_cycles(spark):
+    tree = [(f"t{i}", f"t{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "x")]
+    got = {tuple(r) for r in components.below(spark.createDataFrame(tree, "node string, parent string")).collect()}
+    assert got == {(f"t{i}", f"t{j}") for i in range(40) for j in range(i, 40)} | {(a, b) for a in "xy" for b in "xyz"} | {("z", "z")}
+
+
+def test_parameters_beyond_the_defaults(spark, sf):
+    from kenmap.params import Params
+    from kenmap.plans import catalog
+
+    own = catalog.engine(spark, sf, Params(top_n=5, periods=9))
+    assert own.table("leaders").count() == 8 and own.table("periods").count() == 9
