@@ -129,25 +129,23 @@ class Model:
 def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, from the (place, score) of the tokens above zero; each token between them scores ``other`` < 0.
 
-    Candidates are kept with the total before and after them.  A new one is merged with the nearest earlier
-    candidate that begins lower, if that one also ends lower; each candidate is merged away at most once.
+    Candidates are kept with the total before and after them, and the nearest earlier one that begins lower.  A new one is merged with that
+    candidate if it also ends lower.  Candidates that a search passes are passed by every later one through that link, and each is merged away at most once, so the scan is linear in the hits.
     """
-    kept: list[list] = []  # [start, end, total before, total after]
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, link
     total, at = 0.0, 0
     for place, score in hits:
         before = total + other * (place - at)
         total, at = before + score, place + 1
-        new = [place, at, before, total]
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
-                break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+        start, low, j = place, before, len(kept) - 1
+        while j >= 0 and kept[j][2] >= low:
+            j = kept[j][4]
+        while j >= 0 and kept[j][3] < total:
+            start, _, low, _, link = kept[j]
             del kept[j:]
-    return [(s, e, after - before) for s, e, before, after in kept]
+            j = link
+        kept.append((start, at, low, total, j))
+    return [(s, e, after - before) for s, e, before, after, _ in kept]
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -252,3 +252,40 @@ def test_new_operators_take_awkward_tables(spark):
     df = awkward(spark)
     assert periodic.digest(periodic.periodic_runs(df)).count() == df.count() == licenses.digest(licenses.scan(df)).count()
     assert periodic.digest(periodic.periodic_runs(df.limit(0))).count() == licenses.digest(licenses.scan(df.limit(0))).count() == 0
+
+
+def test_segments_of_sparse_hits_take_linear_time():
+    import time
+
+    from kenmap.llm import toxicity
+
+    began = time.process_time()
+    found = toxicity.maximal_segments([(50 * i, 1.0) for i in range(200_000)], -1.0)
+    assert len(found) == 200_000 and time.process_time() - began < 20
+
+
+def test_many_addresses_in_one_text(spark):
+    from kenmap.llm import pii
+
+    n = 30_000
+    text = "\n".join(f"a{i}@x{i % 3}.org é" for i in range(n))
+    row = pii.report(table(spark, [(1, text)])).first()
+    assert row.n_email == n
+    clean = pii.sanitise(table(spark, [(1, text)])).first().text
+    assert clean == "\n".join(["[EMAIL] é"] * n)
+
+
+def test_wider_classes_are_protected_where_values_are_rare(spark):
+    from kenmap.llm import pii
+
+    rng = random.Random(7)
+    filler = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(15))
+    rows = [(i, f"{filler()} projectname {filler()} u{i}@corp.example.org") if i < 25 else (i, f"{filler()} number {i}") for i in range(800)]
+    rows += [(1000 + i, f"{filler()} other u{i}@mail{i}.example.net") for i in range(6)]
+    spans = {r.doc_id: r.spans for r in pii.report(table(spark, rows)).collect()}
+    for i, text in rows:
+        at = text.find("projectname")
+        assert (f"term:{at}:{at + 11}" in spans[i]) == (at >= 0), i  # the domain's 25 texts give the project away
+        assert spans[i].count("term") <= (at >= 0)  # and nothing else
+    held = pii._shared_entities(pii._found(table(spark, rows)))
+    assert {(r.rung, r.entity, r.n_entity) for r in held.collect()} == {(1, "email~corp.example.org", 25), (2, "email", 31)}
