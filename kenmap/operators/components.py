@@ -242,3 +242,46 @@ def knowledge_cuts(owners: DataFrame) -> DataFrame:
     found = pieces.withColumn("dir", F.expr("if(contains(path, '/'), regexp_replace(path, '/[^/]*$', ''), null)"))
     grouped = found.groupBy("person").agg(F.count("*").alias("pieces"), F.array_join(F.array_sort(F.collect_set("dir")), ",").alias("directories"))
     return grouped.where("pieces > 1")
+
+
+def knowledge_betweenness(owners: DataFrame, top: int = 10, batch: int = 5000) -> DataFrame:
+    """person, score: the people between most pairs of nodes in the whole graph of people and paths (owners: path, author), normalised and exact; those above 0, best first.
+
+    Twin paths (of the same people) are one node with a number of copies.  From each source, ``batch`` of them at a time, levels go out with the number of shortest paths, which a node of
+    m copies passes on m times, and what depends on a node is summed back level by level.  A source's own twins lie two steps away, behind each of its people alike.
+    """
+    paths = owners.groupBy("path").agg(F.array_sort(F.collect_set("author")).alias("people"))
+    sets = written(paths.groupBy("people").agg(F.min("path").alias("path"), F.count("*").cast("double").alias("copies")).withColumn("node", F.concat(F.lit("set:"), "path")))
+    links = sets.select(F.explode("people").alias("person"), "node").select(F.concat(F.lit("person:"), "person").alias("person"), "node")
+    near = written(links.toDF("src", "dst").union(links.select("node", "person")))
+    weights = written(sets.select("node", "copies", F.size("people").alias("people")).union(links.select("person").distinct().selectExpr("person", "1e0", "0")))
+    total = weights.agg(F.sum("copies").alias("n"), F.count("*").alias("nodes")).first()
+    batches, scores = max(1, -(-total.nodes // batch)), None
+    for number in range(batches):
+        sources = weights.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == number)
+        level = written(sources.selectExpr("node as s", "node", "1e0 as ways", "1e0 as copies"))
+        levels = []
+        while not level.isEmpty():
+            levels.append(level)
+            out = level.join(near, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.col("ways") * F.col("copies")).alias("ways"))
+            for old in levels[-2:]:
+                out = out.join(old.select("s", "node"), ["s", "node"], "left_anti")
+            level = written(out.join(weights.select("node", "copies"), "node").select("s", "node", "ways", "copies"))
+        lower, found = None, []
+        for d in range(len(levels) - 1, 0, -1):
+            here = levels[d].withColumn("depends", F.lit(0.0)) if lower is None else levels[d].join(lower, ["s", "node"], "left").withColumn("depends", F.coalesce("depends", F.lit(0.0)))
+            if d == 1:  # the source's twins are no level: they are reached through each of its people
+                twins = weights.where("people > 0 and copies > 1").selectExpr("node as s", "(copies - 1) / people as twins")
+                here = here.join(twins, "s", "left").withColumn("depends", F.col("depends") + F.coalesce("twins", F.lit(0.0))).drop("twins")
+            here = written(here)
+            found.append(here.where("startswith(node, 'person:')").select("s", "node", "depends"))
+            above = levels[d - 1].selectExpr("s", "node as dst", "ways as above_ways")
+            lower = here.join(near, F.col("node") == F.col("src")).join(above, ["s", "dst"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.expr("copies * above_ways / ways * (1 + depends)")).alias("depends"))
+        for part in found:
+            scores = part if scores is None else scores.union(part)
+    if scores is None:
+        return weights.limit(0).selectExpr("node as person", "copies as score")
+    pairs = max(1.0, (total.n - 1) * (total.n - 2))
+    each = scores.join(weights.selectExpr("node as s", "copies as sources"), "s").groupBy("node").agg((F.sum(F.col("depends") * F.col("sources")) / pairs).alias("score"))
+    shown = each.selectExpr("substr(node, 8) as person", "score").where("score > 1e-12")
+    return shown.orderBy(F.round("score", 9).desc(), "person").limit(top).select("person", F.round("score", 4).alias("score"))

@@ -74,6 +74,17 @@ SQL = {
         GROUP BY p.period"""),
     "periods": ("Period numbers, oldest first, with the days between their end and the instant.", """
         SELECT n AS period, (:periods - 1 - n) * :period_days AS ends_before FROM (SELECT @explode(@series(0, :periods - 1)) AS n) AS v"""),
+    "trend_report": ("Each period with its activity, the mean of the top scores and of the qualified owners (counted up to the cap of shown owners), and the paths that hang on too few of them.", """
+        SELECT t.period, p.commits, p.contributors, p.paths, round(avg(t.top), 4) AS mean_top_score, round(avg(t.qualified), 4) AS mean_qualified, count(CASE WHEN t.qualified <= :critical_owners THEN 1 END) AS critical_paths, count(*) AS scored_paths
+        FROM (
+          SELECT period, path, max(score) AS top, least(:top_n, count(CASE WHEN score >= :threshold THEN 1 END)) AS qualified FROM (
+            SELECT period, path, (:w_recency * power(0.5e0, greatest(0e0, @days(TIMESTAMP :as_of, last_commit) - ends_before) / :half_life) + :w_frequency * least(1e0, commits / (max(commits) OVER (PARTITION BY period, path) + :frequency_prior))) / (:w_recency + :w_frequency) AS score
+            FROM (
+              SELECT p.period, p.ends_before, e.path, e.author, count(*) AS commits, max(e.ts) AS last_commit
+              FROM {periods} AS p JOIN {events_all} AS e ON @days(TIMESTAMP :as_of, e.ts) >= p.ends_before AND @days(TIMESTAMP :as_of, e.ts) <= :periods * :period_days
+              GROUP BY p.period, p.ends_before, e.path, e.author) AS g) AS s
+          GROUP BY period, path) AS t
+        JOIN {trend_points} AS p ON t.period = p.period GROUP BY t.period, p.commits, p.contributors, p.paths"""),
     "trend_scores": ("Mean top score by recency and frequency of each period.", """
         SELECT period, round(avg(top), 4) AS mean_top_score, count(*) AS scored_paths FROM (
           SELECT period, path, max((:w_recency * power(0.5e0, greatest(0e0, @days(TIMESTAMP :as_of, last_commit) - ends_before) / :half_life) + :w_frequency * least(1e0, commits / (most + :frequency_prior))) / (:w_recency + :w_frequency)) AS top

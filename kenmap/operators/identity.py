@@ -41,10 +41,10 @@ class Identities:
         return frozenset((bare(a), bare(b))) in self.apart
 
     def merge(self, left: str, right: str, into: str) -> bool:
-        """Join two records under ``into``; False where they are kept apart or already one."""
+        """Join two records under ``into``, also a pair that was kept apart before; False where they are already one."""
         one, two, there = (self.records.get(h, Record(h)) for h in (left, right, into))
         mine = {*one.emails, *two.emails, *one.names, *two.names}
-        if self.separated(left, right) or into in self.records and into not in (left, right) and mine <= {*there.emails, *there.names}:
+        if into in self.records and into not in (left, right) and mine <= {*there.emails, *there.names}:
             return False
         join = lambda *parts: tuple(dict.fromkeys(x for p in parts for x in p))
         for h in (left, right):
@@ -83,6 +83,18 @@ def certain_groups(tags: Iterable[tuple[str, str, bool]], apart: Iterable[tuple[
     return [own for _, own in groups]
 
 
+def shown_names(tags: Iterable[tuple[str, str, bool]], apart: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The name to show for each original: what it resolves to, but its own where another certain one of the same handle is kept apart from it."""
+    pairs, rows = {frozenset((bare(a), bare(b))) for a, b in apart}, list(tags)
+    shown = {}
+    for group in certain_groups(rows, apart):
+        for name in group:
+            resolved, certain = next((r, c) for o, r, c in rows if o == name)
+            rivals = [o for o, r, c in rows if c and o != name and bare(r) == bare(resolved) and frozenset((bare(o), bare(name))) in pairs]
+            shown[name] = name if certain and rivals and name == group[0] else resolved
+    return shown
+
+
 def redacted(payload: object, hidden: Iterable[str], label: str = "[removed]") -> object:
     """``payload`` (what JSON can hold) without the hidden identities: keys and list entries that are one go, texts lose every mention."""
     keys = {k for name in hidden if name.strip() for k in (bare(name), f"@{bare(name)}")}

@@ -25,14 +25,21 @@ SQL = {
     "rule_observed": ("Best entry of each person on the paths of a rule.", """
         SELECT line_no, owner, score, author FROM (
           SELECT w.line_no, lower(o.author) AS owner, o.score, o.author, row_number() OVER (PARTITION BY w.line_no, lower(o.author) ORDER BY o.score DESC, o.author) AS n FROM {winners} AS w JOIN {owners} AS o ON w.path = o.path) AS r WHERE n = 1"""),
-    "team_drift": ("Rules that name a team: how much of the team is seen on their paths, who is not, and who is seen from outside.", """
-        SELECT line_no, team, members, active_members, outside, round(active_members * 1.0e0 / greatest(members, 1), 4) AS coverage,
-          CASE WHEN members = 0 THEN 'unknown' WHEN active_members = 0 THEN 'organizational_mismatch' WHEN outside > 0 THEN 'partial' ELSE 'aligned' END AS status
-        FROM (
-          SELECT t.line_no, t.owner AS team, count(DISTINCT t.login) AS members, count(DISTINCT CASE WHEN o.owner IS NOT NULL THEN t.login END) AS active_members, max(x.people) - count(DISTINCT CASE WHEN o.owner IS NOT NULL THEN t.login END) AS outside
-          FROM (SELECT r.line_no, lower(r.owner) AS owner, lower(m.login) AS login FROM {rule_owners} AS r LEFT JOIN {team_closure} AS m ON lower(m.slug) = @replace_all(lower(r.owner), '^.*/', '') WHERE @contains(r.owner, '/')) AS t
-          JOIN (SELECT line_no, count(*) AS people FROM {rule_observed} GROUP BY line_no) AS x ON t.line_no = x.line_no
-          LEFT JOIN {rule_observed} AS o ON t.line_no = o.line_no AND t.login = o.owner GROUP BY t.line_no, t.owner) AS g"""),
+    "rule_teams": ("The teams that rules name, with the known team of that name and whether it has teams below it.", """
+        SELECT r.line_no, lower(r.owner) AS team, d.slug, c.parent IS NOT NULL AS nested FROM {rule_owners} AS r LEFT JOIN (SELECT DISTINCT slug FROM {teams}) AS d ON lower(d.slug) = @replace_all(lower(r.owner), '^.*/', '')
+        LEFT JOIN (SELECT DISTINCT parent FROM {teams}) AS c ON c.parent = d.slug WHERE @contains(r.owner, '/')"""),
+    "rule_people": ("For each team of a rule who counts as declared: its members, and the people whom the rule names beside it.", """
+        SELECT t.line_no, t.team, lower(m.login) AS login, 1 AS member FROM {rule_teams} AS t JOIN {team_closure} AS m ON t.slug = m.slug
+        UNION ALL SELECT t.line_no, t.team, lower(r.owner), 0 FROM {rule_teams} AS t JOIN {rule_owners} AS r ON t.line_no = r.line_no WHERE NOT @contains(r.owner, '/')"""),
+    "team_drift": ("Rules that name a team: aligned, partial-drift (someone outside is seen), nested, empty or invisible; the share of the people seen that are declared, members not seen, people seen from outside.", """
+        SELECT t.line_no, t.team, CASE WHEN t.slug IS NULL THEN 'invisible' WHEN t.nested THEN 'nested' WHEN coalesce(a.members, 0) = 0 THEN 'empty' WHEN b.outside <> '' THEN 'partial-drift' ELSE 'aligned' END AS status,
+          CASE WHEN t.slug IS NOT NULL THEN round(b.declared * 1.0e0 / b.seen, 4) END AS coverage, CASE WHEN t.slug IS NULL THEN '' ELSE coalesce(a.inactive, '') END AS inactive, CASE WHEN t.slug IS NULL THEN '' ELSE b.outside END AS outside
+        FROM {rule_teams} AS t JOIN (
+          SELECT t.line_no, t.team, count(DISTINCT o.owner) AS seen, count(DISTINCT d.login) AS declared, @joined(CASE WHEN d.login IS NULL THEN o.owner END) AS outside
+          FROM {rule_teams} AS t JOIN {rule_observed} AS o ON t.line_no = o.line_no LEFT JOIN {rule_people} AS d ON d.line_no = o.line_no AND d.team = t.team AND d.login = o.owner GROUP BY t.line_no, t.team) AS b ON t.line_no = b.line_no AND t.team = b.team
+        LEFT JOIN (
+          SELECT d.line_no, d.team, count(*) AS members, @joined(CASE WHEN o.owner IS NULL THEN d.login END) AS inactive
+          FROM {rule_people} AS d LEFT JOIN {rule_observed} AS o ON d.line_no = o.line_no AND d.login = o.owner WHERE d.member = 1 GROUP BY d.line_no, d.team) AS a ON t.line_no = a.line_no AND t.team = a.team"""),
     "manual_review": ("Manual rules that disagree with what is observed, with the generated rule that each hides.", """
         SELECT e.line_no, e.path AS pattern, e.kind, e.delta, h.hidden_line FROM {drift_entries} AS e JOIN {rules} AS r ON e.line_no = r.line_no LEFT JOIN {shadowed_generated} AS h ON e.line_no = h.line_no WHERE r.source = 'manual' AND e.category = 'changed'"""),
     "star_owners": ("Owners of the last catch-all rule.", """
@@ -147,7 +154,8 @@ SQL = {
         SELECT b.path, CASE WHEN p.path IS NULL THEN 'new' WHEN p.blob <> b.blob THEN 'changed' ELSE 'reused' END AS state FROM {blobs} AS b LEFT JOIN {blobs_before} AS p ON b.path = p.path"""),
     "reused_share": ("How much of the line attribution a run can reuse.", "SELECT count(*) AS paths, count(CASE WHEN state = 'reused' THEN 1 END) AS reused, round(count(CASE WHEN state = 'reused' THEN 1 END) * 1.0e0 / greatest(count(*), 1), 6) AS share FROM {dirty_paths}"),
     "mixed_blame": ("Line shares with reused paths from the run before and others read again.", """
-        SELECT b.path, b.author, b.share, d.state FROM {blame_share} AS b JOIN {dirty_paths} AS d ON b.path = d.path"""),
+        SELECT b.path, b.author, b.share, d.state FROM {blame_share} AS b JOIN {dirty_paths} AS d ON b.path = d.path WHERE d.state <> 'reused'
+        UNION ALL SELECT b.path, b.author, b.n_lines / sum(b.n_lines) OVER (PARTITION BY b.path), d.state FROM (SELECT path, author, sum(n_lines) AS n_lines FROM {blame_before} GROUP BY path, author) AS b JOIN {dirty_paths} AS d ON b.path = d.path WHERE d.state = 'reused'"""),
     "review_window": ("Completed reviews inside the lookback window: those closed in it, or opened in it where they are not closed.", """
         SELECT reviewer, count(*) AS pulls FROM {pulls} WHERE coalesce(closed, opened) <= TIMESTAMP :as_of AND coalesce(closed, opened) >= TIMESTAMP :as_of - INTERVAL :lookback_days DAYS GROUP BY reviewer"""),
 }

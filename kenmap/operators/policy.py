@@ -30,6 +30,14 @@ SQL = {
     "why_not": ("Why people who touched the target do not own its paths.", """
         SELECT s.author, count(*) AS paths, count(CASE WHEN s.score < :threshold THEN 1 END) AS below_threshold, count(CASE WHEN s.score >= :threshold AND o.author IS NULL THEN 1 END) AS beyond_top, max(s.score) AS best
         FROM {scored} AS s LEFT JOIN {owners} AS o ON s.path = o.path AND s.author = o.author WHERE s.path LIKE :target || '/%' AND o.author IS NULL GROUP BY s.author"""),
+    "explanations": ("Each scored path in one row: owners and candidates below the threshold, the evidence behind the owners, who is declared and by which rule, and the verdict.", """
+        SELECT s.path, s.owners, s.candidates, s.quality, s.commits, coalesce(d.declared, '') AS declared, w.line_no AS rule_line, coalesce(a.verdict, 'unverifiable') AS assessment
+        FROM (
+          SELECT path, @joined(CASE WHEN score >= :threshold AND place <= :top_n THEN author END) AS owners, @joined(CASE WHEN score < :threshold THEN author END) AS candidates,
+            round(max(CASE WHEN score >= :threshold AND place <= :top_n THEN quality END), 4) AS quality, CAST(sum(commits) AS BIGINT) AS commits
+          FROM (SELECT path, author, score, quality, commits, row_number() OVER (PARTITION BY path ORDER BY score DESC, author) AS place FROM {scored}) AS p GROUP BY path) AS s
+        LEFT JOIN (SELECT path, @joined(owner) AS declared FROM {declared} GROUP BY path) AS d ON s.path = d.path
+        LEFT JOIN {winners} AS w ON s.path = w.path LEFT JOIN {assessment} AS a ON s.path = a.path"""),
     "outside_window": ("People whose last touch of the target lies before the window.", """
         SELECT e.author, max(e.ts) AS last_commit FROM {events_all} AS e WHERE e.path LIKE :target || '/%' AND NOT EXISTS (SELECT 1 FROM {events} AS w WHERE w.author = e.author AND w.path LIKE :target || '/%') GROUP BY e.author"""),
     "assessment": ("aligned where declared and observed owners, or members of a declared team, have one person in common; else diverged; unverifiable where nobody is declared.", """

@@ -56,18 +56,18 @@ SQL = {
     "drift_severity": ("The worst severity of all drift.", """
         SELECT CASE coalesce(max(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END), 0) WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity,
           count(*) AS entries, count(CASE WHEN delta >= 0.7e0 OR qualified_owners <= :critical_owners OR decay THEN 1 END) AS high_entries FROM {drift}"""),
-    "findings": ("Findings with their identity: rule, path and owners (none for single experts), and a digest of it.", """
+    "findings": ("Findings with their identity: rule, path and sorted owners (none for single experts), and a digest of it.", """
         SELECT rule, path, owners, @sha(rule || '|' || path || '|' || owners) AS fingerprint FROM (
-          SELECT d.category || '-drift' AS rule, d.path, coalesce(lower(r.owners), '') AS owners FROM {drift} AS d LEFT JOIN {rules} AS r ON d.line_no = r.line_no
+          SELECT d.category || '-drift' AS rule, d.path, coalesce(@sorted_list(lower(r.owners)), '') AS owners FROM {drift} AS d LEFT JOIN {rules} AS r ON d.line_no = r.line_no
           UNION ALL SELECT 'single-expert', path, '' FROM {tiers} WHERE tier = 'critical'
-          UNION ALL SELECT 'shadowed-rule', pattern, lower(owners) FROM {rules} AS r JOIN {shadowed_rules} AS s ON r.line_no = s.line_no) AS f
+          UNION ALL SELECT 'shadowed-rule', pattern, @sorted_list(lower(owners)) FROM {rules} AS r JOIN {shadowed_rules} AS s ON r.line_no = s.line_no) AS f
         GROUP BY rule, path, owners"""),
     "suppressed": ("Findings that an unexpired suppression covers, by path or pattern.", """
         SELECT DISTINCT f.rule, f.path FROM {findings} AS f JOIN {suppressions} AS s ON f.rule = s.rule AND (f.path = s.path OR @matches(f.path, s.rx)) WHERE s.expires IS NULL OR s.expires >= CAST(TIMESTAMP :as_of AS DATE)"""),
-    "new_findings": ("Findings neither suppressed nor accepted before.", """
-        SELECT f.* FROM {findings} AS f WHERE NOT EXISTS (SELECT 1 FROM {suppressed} AS s WHERE s.rule = f.rule AND s.path = f.path) AND NOT EXISTS (SELECT 1 FROM {baseline} AS b WHERE b.rule = f.rule AND b.path = f.path)"""),
+    "new_findings": ("Findings neither suppressed nor accepted before; one whose owners have changed since is new.", """
+        SELECT f.* FROM {findings} AS f WHERE NOT EXISTS (SELECT 1 FROM {suppressed} AS s WHERE s.rule = f.rule AND s.path = f.path) AND NOT EXISTS (SELECT 1 FROM {baseline} AS b WHERE b.rule = f.rule AND b.path = f.path AND b.owners = f.owners)"""),
     "settled_findings": ("Accepted findings that no longer occur.", """
-        SELECT b.rule, b.path FROM {baseline} AS b WHERE NOT EXISTS (SELECT 1 FROM {findings} AS f WHERE f.rule = b.rule AND f.path = b.path)"""),
+        SELECT b.rule, b.path, b.owners FROM {baseline} AS b WHERE NOT EXISTS (SELECT 1 FROM {findings} AS f WHERE f.rule = b.rule AND f.path = b.path AND f.owners = b.owners)"""),
     "consolidated": ("For each path the shortest directory all of whose files have one owner set (two files at least), else the path; the root only where it spans several entries.", """
         SELECT pattern, owners, count(*) AS files FROM (
           SELECT p.path, p.owners, CASE WHEN u.depth IS NULL THEN '/' || p.path WHEN u.depth = 0 THEN '*' ELSE '/' || @prefix(p.path, u.depth) || '/' END AS pattern

@@ -20,7 +20,7 @@ OPERATORS: dict[str, Operator] = {n: Operator(n, sql, doc) for module in (histor
 OPERATORS["teams_below"] = replace(OPERATORS["teams_below"], build=lambda tables: components.below(tables["teams"].select(F.col("slug").alias("node"), "parent")).toDF("slug", "inner_slug"))
 
 #: Operators that are steps of others and no report of their own.
-STEPS = {"gaps", "teams_below", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs", "set_dirs", "leaders", "directory_leaders", "tracked_dirs", "left_shares", "departure_order", "departure_steps"}
+STEPS = {"rule_teams", "rule_people", "gaps", "teams_below", "small_commits", "weighted_shares", "orphan_dirs", "ancestors", "ancestor_best", "periods", "uniform_dirs", "set_dirs", "leaders", "directory_leaders", "tracked_dirs", "left_shares", "departure_order", "departure_steps"}
 ROUND = 6
 
 
@@ -28,14 +28,34 @@ ROUND = 6
 TARGETED = {"expertise", "explanation", "why_not", "match_chain", "mentors", "reviewer_suggestions", "outside_window", "outsider_blame", "threshold_knobs", "prerequisites", "onboarding", "onboarding_complexity", "team_resolution"}
 
 
+def _views(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The star-schema tables in ``sf_dir``, each as the view of its name from now on."""
+    tables = [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in adapter.TABLES]
+    for name, table in zip(adapter.TABLES, tables):
+        table.createOrReplaceTempView(name)
+    return tables
+
+
 def engine(spark: SparkSession, sf_dir: str, params: Params = Params(), pinned: bool = True) -> Engine:
     """An engine over the star-schema tables in ``sf_dir``; they are read lazily, columns and filters reach the scans."""
-    for name in adapter.TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    _views(spark, sf_dir)
     made = Engine(spark, adapter.OPERATORS | OPERATORS, {}, params)
     return made if pinned else replace(made, pinned=frozenset())
 
 
+_SHARED: dict[tuple, tuple[tuple[str, ...], Engine]] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine of a session over ``sf_dir``, so reports of one session share the results that are pinned; files that are written anew (under new names) make a new one."""
+    files = tuple(sorted(f for table in _views(spark, sf_dir) for f in table.inputFiles()))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    held = _SHARED.get(key)
+    if held is None or held[0] != files:
+        _SHARED[key] = (files, Engine(spark, adapter.OPERATORS | OPERATORS, {}))
+    return _SHARED[key][1]
+
+
 def _columns(name: str) -> list[tuple[str, str]]:
     return [tuple(c.split(" ")) for c in SCHEMAS[name].split(", ")]
 
@@ -48,7 +68,7 @@ def rounded(df: DataFrame, name: str) -> DataFrame:
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(engine(spark, sf_dir, pinned=name not in TARGETED).table(name), name)
+        return rounded((engine(spark, sf_dir, pinned=False) if name in TARGETED else shared(spark, sf_dir)).table(name), name)
 
     run.__name__, run.__doc__ = name, OPERATORS[name].doc
     return run

@@ -205,6 +205,98 @@ TEXTS: dict[str, str] = {
     "phantom_owners": """
         SELECT w.path, w.owner FROM (SELECT path, unnest(list_distinct(list_filter(string_split(lower(owners), ','), lambda x: x <> ''))) AS owner FROM {winners} SEMI JOIN {owners} USING (path)) AS w
         ANTI JOIN (SELECT path, lower(author) AS owner FROM {scored} WHERE commits > 0 OR review > 0) AS s USING (path, owner)""",
+    # facts read once more, from what they mean
+    "subject_templates": r"""
+        SELECT author, trim(regexp_replace(array_to_string(regexp_split_to_array(lower(subject), '\b[0-9a-f]{7,}\b|[0-9]+([.][0-9]+)*'), ''), ' +', ' ', 'g')) AS template, count(*) AS n FROM {commits} GROUP BY ALL""",
+    "trend_scores": f"""
+        WITH e AS (SELECT p.period, (:periods - 1 - p.period) * :period_days AS back, e.path, e.author, count(*) AS n, min(e.age) AS age FROM (SELECT unnest(range(0, :periods)) AS period) AS p JOIN (SELECT path, author, {_AGE.format('ts')} AS age FROM {{events_all}}) AS e
+          ON e.age BETWEEN (:periods - 1 - p.period) * :period_days AND :periods * :period_days GROUP BY ALL),
+        m AS (SELECT period, path, max(n) AS most FROM e GROUP BY ALL),
+        s AS (SELECT period, path, max((:w_recency * pow(2, -greatest(0, age - back) / :half_life) + :w_frequency * least(1, n / (most + :frequency_prior))) / (:w_recency + :w_frequency)) AS top FROM e JOIN m USING (period, path) GROUP BY ALL)
+        SELECT period, round(avg(top), 4) AS mean_top_score, count(*) AS scored_paths FROM s GROUP BY period""",
+    "trend_report": f"""
+        WITH e AS (SELECT p.period, (:periods - 1 - p.period) * :period_days AS back, e.path, e.author, e.sha, e.age FROM (SELECT unnest(range(0, :periods)) AS period) AS p JOIN (SELECT path, author, sha, {_AGE.format('ts')} AS age FROM {{events_all}}) AS e
+          ON e.age BETWEEN (:periods - 1 - p.period) * :period_days AND :periods * :period_days),
+        g AS (SELECT period, path, list(struct_pack(n := n, age := age - back)) AS l, max(n) AS most FROM (SELECT period, back, path, author, count(*) AS n, min(age) AS age FROM e GROUP BY ALL) GROUP BY ALL),
+        s AS (SELECT period, list_transform(l, lambda x: (:w_recency * pow(2, -greatest(0, x.age) / :half_life) + :w_frequency * least(1, x.n / (most + :frequency_prior))) / (:w_recency + :w_frequency)) AS scores FROM g),
+        q AS (SELECT period, list_max(scores) AS top, least(:top_n, len(list_filter(scores, lambda x: x >= :threshold))) AS n FROM s),
+        a AS (SELECT period, count(DISTINCT sha) AS commits, count(DISTINCT author) AS contributors, count(DISTINCT path) AS paths FROM e GROUP BY ALL)
+        SELECT period, commits, contributors, paths, round(avg(top), 4) AS mean_top_score, round(avg(n), 4) AS mean_qualified, count(*) FILTER (n <= :critical_owners) AS critical_paths, count(*) AS scored_paths FROM q JOIN a USING (period) GROUP BY ALL""",
+    "explanations": """
+        WITH s AS (SELECT path, list(struct_pack(a := author, s := score, q := quality) ORDER BY score DESC, author) AS l, CAST(sum(commits) AS BIGINT) AS commits FROM {scored} GROUP BY path),
+        x AS (SELECT path, commits, list_filter(l[1:3], lambda p: p.s >= :threshold) AS own, list_filter(l, lambda p: p.s < :threshold) AS below FROM s),
+        d AS (SELECT path, array_to_string(list_sort(list_distinct(list(owner))), ',') AS declared FROM {declared} GROUP BY path)
+        SELECT path, array_to_string(list_sort(list_transform(own, lambda p: p.a)), ',') AS owners, array_to_string(list_sort(list_transform(below, lambda p: p.a)), ',') AS candidates, round(list_max(list_transform(own, lambda p: p.q)), 4) AS quality, commits,
+          coalesce(declared, '') AS declared, (SELECT max(w.line_no) FROM {winners} AS w WHERE w.path = x.path) AS rule_line, coalesce((SELECT max(a.verdict) FROM {assessment} AS a WHERE a.path = x.path), 'unverifiable') AS assessment
+        FROM x LEFT JOIN d USING (path)""",
+    "rule_owners": "SELECT line_no, unnest(list_filter(string_split(owners, ','), lambda x: x <> '')) AS owner FROM {rules}",
+    "review_counts_total": """
+        SELECT reviewer, count(*) AS reviews, len(list_distinct(list(number))) AS pulls, CAST(sum(lines) AS BIGINT) AS lines, round(quantile_cont(date_diff('second', opened, closed) / 3600, 0.5), 2) AS median_hours, round(quantile_cont(CAST(lines AS DOUBLE), 0.5), 2) AS median_lines
+        FROM {pulls} WHERE closed IS NOT NULL GROUP BY reviewer""",
+    "duplicate_identities": """
+        WITH s AS (SELECT identity, 'name' AS reason, lower(name) AS sign FROM {identities} WHERE name <> '' UNION ALL SELECT identity, 'local part', lower(string_split(email, '@')[1]) FROM {identities} WHERE email <> ''),
+        g AS (SELECT reason, list(identity) AS l FROM s GROUP BY reason, sign HAVING count(*) > 1)
+        SELECT unnest(list_filter(l, lambda x: x <> list_min(l))) AS identity, list_min(l) AS first_identity, reason, len(l) AS members FROM g""",
+    "handles": """
+        SELECT email, CASE WHEN contains(lower(email), '@users.noreply.') THEN split_part(split_part(lower(email), '@', 1), '+', -1) ELSE 'email:' || left(sha256(lower(email)), 16) END AS handle FROM {identities}""",
+    "pseudonyms": "SELECT identity, 'person-' || left(sha256(concat_ws(chr(10), :repo_id, lower(identity))), 12) AS pseudonym FROM {identities}",
+    "rename_commits": "SELECT sha, len(list(similarity)) AS renames, list_min(list(similarity)) AS similarity FROM {moves} GROUP BY sha",
+    "invalid_rules": "SELECT line_no, pattern, CASE WHEN starts_with(pattern, '!') THEN 'negation' ELSE 'brackets' END AS problem FROM {rules} WHERE starts_with(pattern, '!') OR contains(pattern, '[')",
+    "expired_suppressions": "SELECT rule, path FROM {suppressions} WHERE date_diff('day', expires, CAST(TIMESTAMP :as_of AS DATE)) > 0",
+    "redacted_subjects": "SELECT sha, regexp_replace(regexp_replace(subject, '#[0-9]+', '#', 'g'), '[a-zA-Z0-9+._-]+@[a-zA-Z0-9.-]+', '[address]', 'g') AS subject FROM {commits}",
+    "waiting_reviews": "SELECT reviewer, count(*) FILTER (closed IS NULL) AS waiting FROM {pulls} GROUP BY reviewer HAVING bool_or(closed IS NULL)",
+    "first_response": "SELECT number, min(date_diff('second', opened, closed)) / 3600 AS hours FROM {pulls} GROUP BY number HAVING max(closed) IS NOT NULL",
+    "last_written": "SELECT t.path, max(r.line_no) AS line_no FROM {tracked} AS t, {rules} AS r WHERE regexp_matches(t.path, r.rx) GROUP BY t.path",
+    "star_owners": "SELECT unnest(list_filter(string_split(arg_max(owners, line_no), ','), lambda x: x <> '')) AS owner FROM {rules} WHERE pattern IN ('*', '/')",
+    "nearest_owners": """
+        WITH n AS (SELECT t.path, arg_max(f.dir, len(f.dir)) AS dir FROM {tracked} AS t JOIN {owners_files} AS f ON f.dir = '' OR starts_with(t.path, f.dir || '/') GROUP BY t.path)
+        SELECT n.path, n.dir, f.owner FROM n JOIN {owners_files} AS f USING (dir)""",
+    "nested_owners": """
+        WITH b AS (SELECT t.path, max(struct_pack(n := len(r.dir), line := r.line, dir := r.dir, owner := r.owner)) AS b FROM {tracked} AS t JOIN {nested_rules} AS r ON starts_with(t.path, r.dir || '/') AND (regexp_matches(t.path[len(r.dir) + 2:], r.rx) OR regexp_matches(t.path, r.rx)) GROUP BY t.path)
+        SELECT path, b.dir AS dir, b.line AS line, b.owner AS owner FROM b""",
+    "attribute_values": """
+        WITH b AS (SELECT t.path, a.attr, max(struct_pack(n := len(a.dir), line := a.line, v := a.value)) AS b FROM {tracked} AS t JOIN {attr_rules} AS a ON a.dir = '' AND regexp_matches(t.path, a.rx) OR a.dir <> '' AND starts_with(t.path, a.dir || '/') AND regexp_matches(t.path[len(a.dir) + 2:], a.rx) GROUP BY ALL)
+        SELECT path, attr, b.v AS value FROM b""",
+    "dependencies": "SELECT dependent, dependency FROM {import_edges} SEMI JOIN {tracked} AS a ON a.path = dependent SEMI JOIN {tracked} AS b ON b.path = dependency WHERE dependent <> dependency GROUP BY ALL",
+    "resolved": """
+        WITH x AS (SELECT i.identity, i.email, o.handle AS a, h.handle AS b, h.source AS hit, CASE WHEN contains(lower(i.email), '@users.noreply.') THEN split_part(split_part(lower(i.email), '@', 1), '+', -1) END AS c
+          FROM {identities} AS i LEFT JOIN {overrides} AS o ON lower(o.identity) = lower(i.identity) LEFT JOIN {hits} AS h ON lower(h.identity) = lower(i.identity)),
+        y AS (SELECT identity, email, coalesce(a, b, c) AS handle, coalesce(CASE WHEN a IS NOT NULL THEN 'override' END, CASE WHEN b IS NOT NULL THEN hit END, CASE WHEN c IS NOT NULL THEN 'noreply' END, 'none') AS source FROM x)
+        SELECT identity, handle, source, CAST(CASE WHEN source = 'search' THEN 0.5 WHEN source = 'none' AND contains(email, '@') THEN 0.75 ELSE 1 END AS DOUBLE) AS factor FROM y""",
+    "cached_handles": """
+        SELECT identity, handle, coalesce(CASE WHEN handle IS NOT NULL THEN 'hit' END, CASE WHEN date_diff('second', seen, TIMESTAMP :as_of) <= 86400 * :miss_days THEN 'miss' END, 'expired') AS state FROM {handle_cache}""",
+    "merges": """
+        WITH g AS (SELECT handle, list(struct_pack(i := identity, s := source) ORDER BY identity) AS l FROM {resolved} WHERE handle IS NOT NULL AND factor = 1 GROUP BY handle HAVING count(*) > 1),
+        m AS (SELECT handle, l[1].i AS first_identity, unnest(l[2:]) AS x FROM g)
+        SELECT handle, first_identity, x.i AS identity, x.s AS source FROM m WHERE list_sort([lower(first_identity), lower(x.i)]) NOT IN (SELECT list_sort([lower(a), lower(b)]) FROM {separations} WHERE a IS NOT NULL AND b IS NOT NULL)""",
+    "audit_identities": """
+        SELECT i.identity, i.email, o.handle AS override_handle, CASE WHEN o.identity IS NULL THEN 'seen only' ELSE 'both' END AS state FROM {identities} AS i LEFT JOIN {overrides} AS o ON lower(o.identity) = lower(i.identity)
+        UNION ALL SELECT identity, NULL, handle, 'override only' FROM {overrides} WHERE lower(identity) NOT IN (SELECT lower(identity) FROM {identities})""",
+    "dirty_paths": """
+        SELECT b.path, CASE WHEN b.path NOT IN (SELECT path FROM {blobs_before}) THEN 'new' WHEN EXISTS (SELECT 1 FROM {blobs_before} AS p WHERE p.path = b.path AND p.blob = b.blob) THEN 'reused' ELSE 'changed' END AS state FROM {blobs} AS b""",
+    "mixed_blame": """
+        WITH l AS (SELECT path, author, sum(n_lines) AS n, false AS old FROM {blame_lines} GROUP BY ALL UNION ALL SELECT path, author, sum(n_lines), true FROM {blame_before} GROUP BY ALL),
+        t AS (SELECT path, old, sum(n) AS n FROM l GROUP BY ALL) SELECT l.path, l.author, l.n / t.n AS share, d.state FROM l JOIN t USING (path, old) JOIN {dirty_paths} AS d USING (path) WHERE l.old = (d.state = 'reused')""",
+    "review_window": "SELECT reviewer, count(*) AS pulls FROM {pulls} WHERE coalesce(closed, opened) BETWEEN TIMESTAMP :as_of - to_days(:lookback_days) AND TIMESTAMP :as_of GROUP BY reviewer",
+    # findings and teams
+    "findings": """
+        WITH o AS (SELECT line_no, array_to_string(list_sort(string_split(lower(owners), ',')), ',') AS owners FROM {rules}),
+        f AS (SELECT category || '-drift' AS rule, path, coalesce(owners, '') AS owners FROM {drift} LEFT JOIN o USING (line_no) UNION SELECT 'single-expert', path, '' FROM {tiers} WHERE tier = 'critical' UNION SELECT 'shadowed-rule', pattern, o.owners FROM {rules} AS r SEMI JOIN {shadowed_rules} USING (line_no) JOIN o USING (line_no))
+        SELECT *, sha256(concat_ws('|', rule, path, owners)) AS fingerprint FROM f""",
+    "new_findings": """
+        SELECT * FROM {findings} WHERE (rule, path, owners) NOT IN (SELECT (rule, path, owners) FROM {baseline}) AND (rule, path) NOT IN (SELECT (rule, path) FROM {suppressed})""",
+    "settled_findings": "SELECT rule, path, owners FROM {baseline} EXCEPT ALL SELECT rule, path, owners FROM {findings}",
+    "team_drift": """
+        WITH o AS (SELECT line_no, list_distinct(list(lower(a.author))) AS seen FROM {winners} AS w JOIN {owners} AS a USING (path) GROUP BY line_no),
+        r AS (SELECT line_no, list_filter(string_split(lower(owners), ','), lambda x: x <> '') AS named FROM {rules}),
+        m AS (SELECT lower(slug) AS team, list(lower(login)) AS l FROM {team_closure} GROUP BY ALL),
+        t AS (SELECT r.line_no, unnest(list_filter(named, lambda x: contains(x, '/'))) AS team, list_filter(named, lambda x: NOT contains(x, '/')) AS beside FROM r),
+        x AS (SELECT t.line_no, t.team, string_split(t.team, '/')[-1] AS slug, beside, o.seen FROM t JOIN o USING (line_no)),
+        y AS (SELECT x.*, slug IN (SELECT lower(slug) FROM {teams}) AS known, slug IN (SELECT lower(parent) FROM {teams} WHERE parent IS NOT NULL) AS nested, coalesce(m.l, []) AS members FROM x LEFT JOIN m ON m.team = x.slug)
+        SELECT line_no, team, CASE WHEN NOT known THEN 'invisible' WHEN nested THEN 'nested' WHEN len(members) = 0 THEN 'empty' WHEN len(list_filter(seen, lambda p: NOT list_contains(list_concat(members, beside), p))) > 0 THEN 'partial-drift' ELSE 'aligned' END AS status,
+          CASE WHEN known THEN round(len(list_filter(seen, lambda p: list_contains(list_concat(members, beside), p))) / len(seen), 4) END AS coverage,
+          CASE WHEN known THEN array_to_string(list_sort(list_filter(members, lambda p: NOT list_contains(seen, p))), ',') ELSE '' END AS inactive,
+          CASE WHEN known THEN array_to_string(list_sort(list_filter(seen, lambda p: NOT list_contains(list_concat(members, beside), p))), ',') ELSE '' END AS outside FROM y""",
 }
 
 OPERATORS = {name: Operator(name, text, "Second definition.") for name, text in TEXTS.items()}

@@ -27,6 +27,7 @@ DIALECTS: dict[str, tuple[str, str]] = {
     "joined": ("array_join(array_sort(collect_set(%s)), ',')", "coalesce(string_agg(DISTINCT %s, ',' ORDER BY %s), '')"),
     "matches": ("(%s RLIKE %s)", "regexp_matches(%s, %s)"),
     "sha": ("sha2(%s, 256)", "sha256(%s)"),
+    "sorted_list": ("array_join(array_sort(split(%s, ',')), ',')", "array_to_string(list_sort(string_split(%s, ',')), ',')"),
     "explode": ("explode(%s)", "unnest(%s)"),
     "parts": ("split(%s, %s)", "string_split(%s, %s)"),
     "size": ("size(%s)", "len(%s)"),

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from kenmap.operators import communities, components, graphs, lineage, moves
 from kenmap.plans import catalog, storage
 from kenmap.plans.engine import Engine, Operator
-from kenmap.sinks import documents, incremental
+from kenmap.sinks import attribution, documents, incremental, lines
 from kenmap.sources import adapter, text
 from kenmap.streaming import ingest
 
 
 def person_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities, betweenness and articulation people of the collaboration graph."""
-    return graphs.person_graph(catalog.engine(spark, sf_dir).table("pair_weights"))
+    return graphs.person_graph(catalog.shared(spark, sf_dir).table("pair_weights"))
 
 
 def path_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,24 +34,29 @@ def path_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of people against the declared teams."""
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     return graphs.topology(own.table("pair_weights"), own.table("team_members"))
 
 
 def knowledge_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People whose departure splits the whole graph of people and paths, with a directory of each piece."""
-    return components.knowledge_cuts(catalog.engine(spark, sf_dir).table("owners"))
+    return components.knowledge_cuts(catalog.shared(spark, sf_dir).table("owners"))
+
+
+def knowledge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten people between most pairs of nodes in the whole graph of people and paths."""
+    return components.knowledge_betweenness(catalog.shared(spark, sf_dir).table("owners"))
 
 
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level of every tracked file behind its imports, and the cycles among all imports."""
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     edges = own.table("dependencies").selectExpr("dependent as a", "dependency as b")
     return components.ranked(edges, own.table("tracked").selectExpr("path as node")).withColumnRenamed("node", "path")
 
 
 def _living(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     touches = own.table("touches").withColumn("ord", F.col("ts"))
     return own, moves.living(touches, own.table("path_moves")).drop("ord")
 
@@ -82,13 +87,13 @@ def renamed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def community_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the collaboration graph at each level, with the modularity that the level reaches."""
-    pairs = storage.written(catalog.engine(spark, sf_dir).table("pair_weights"))
+    pairs = storage.written(catalog.shared(spark, sf_dir).table("pair_weights"))
     found = communities.levels(pairs)
     return found.join(communities.modularity(pairs, found).selectExpr("level as at", "communities", "round(modularity, 6) as modularity"), F.col("level") == F.col("at")).drop("at")
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     pairs, teams = storage.written(own.table("pair_weights")), own.table("team_members")
     return communities.clusters(pairs, communities.levels(pairs), teams), teams
 
@@ -105,7 +110,7 @@ def team_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions of the window by two runs: the first two months before its end, the second on what came since."""
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     store = incremental.Store(spark, f"{storage.folder(spark)}/history-{uuid.uuid4().hex}")
     end, window = datetime.fromisoformat(own.params.as_of), timedelta(days=own.params.lookback_days)
     then = end - timedelta(days=60)
@@ -117,14 +122,14 @@ def incremental_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def onboarding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learning order of the target's files behind what they import, with a reviewer for each."""
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     inside = own.table("prerequisites").selectExpr("path as dependent", "prerequisite as dependency")
     return graphs.onboarding_plan(own.table("onboarding"), inside, own.table("owners"))
 
 
 def transfer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shortest chain of people and paths from each person who decays to each successor, in the whole knowledge graph."""
-    own = catalog.engine(spark, sf_dir)
+    own = catalog.shared(spark, sf_dir)
     pairs = own.table("transfers").where("successor is not null").select("author", "successor").distinct()
     return components.knowledge_chains(own.table("owners"), pairs)
 
@@ -158,6 +163,23 @@ def parsed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credited.join(files, "sha").groupBy("author", "status").agg(F.count("*").alias("files"), F.countDistinct("sha").alias("commits"), F.max("similarity").cast("long").alias("similarity"))
 
 
+#: A Python file; <name> stands for numbers of the file's part.
+_MODULE = "\n".join((
+    '"""Text that only looks like imports:', "import pkg0.m0", "from pkg1 import m1", '"""', "import os, pkg<half_dir>.m<half> as x", "from pkg<third_dir> import (", "    m<third>,", "    m<third_next> as y,", ")",
+    "def f():", "    from .m<next> import z", '    return "import pkg2.m2"', "",
+))
+
+
+def parsed_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import edges read back from Python texts of the parts, with lists over several lines, relative imports and texts that only look like imports."""
+    numbers = {"half_dir": "(k div 2) % 20", "half": "k div 2", "third_dir": "(k div 3) % 20", "third_next": "k div 3 + 20", "third": "k div 3", "next": "k + 20"}
+    value = F.lit(_MODULE)
+    for name, number in numbers.items():
+        value = F.replace(value, F.lit(f"<{name}>"), F.expr(f"cast({number} as string)"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    return text.python_imports(parts.select(F.expr("concat('pkg', k % 20, '/m', k, '.py')").alias("path"), value.alias("value")))
+
+
 def parsed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts read back from porcelain texts of the line items."""
     raw = spark.sql("""
@@ -166,6 +188,19 @@ def parsed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.attribution(raw).groupBy("path", "author").agg(F.sum("n_lines").alias("n_lines"))
 
 
+def cached_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts of all parts by a second run that reads only the contents that the first one had not."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    texts = """
+        SELECT concat('p', l_partkey) AS path, concat_ws('\n', transform(array_sort(collect_list(struct(l_orderkey, l_linenumber, l_suppkey))), x -> concat(lpad(concat(lower(hex(x.l_orderkey * 8 + x.l_linenumber)), 'f', x.l_suppkey), 40, '0'), ' 1 1 1\nauthor-mail <S', x.l_suppkey, '@x.org>\n\tline'))) AS value
+        FROM lineitem WHERE {} GROUP BY l_partkey"""
+    store = attribution.Store(spark, f"{storage.folder(spark)}/attribution-{uuid.uuid4().hex}")
+    before = spark.sql("SELECT concat('p', p_partkey) AS path, if(p_partkey % 4 = 0, 'old', 'new') AS blob FROM part WHERE p_partkey % 11 <> 0")
+    store.attributed(before, spark.sql(texts.format("l_partkey % 4 <> 0 OR l_linenumber <= 3")), 1)
+    return store.attributed(spark.sql("SELECT concat('p', p_partkey) AS path, 'new' AS blob FROM part"), spark.sql(texts.format("true")), 2)
+
+
 def parsed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adapter's rules read back from the file that is written for them."""
     content = documents.rule_file([(p, o) for p, o, s in adapter.RULES if s == "generated"], manual="\n".join(["# BEGIN MANUAL", *(f"{p} {o.replace(',', ' ')}" for p, o, s in adapter.RULES if s == "manual"), "# END MANUAL"]))
@@ -173,14 +208,9 @@ def parsed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first findings and graph edges as documents of every format: kind, size, digest."""
-    own = catalog.engine(spark, sf_dir)
-    shown = [r.asDict() for r in own.table("new_findings").orderBy("rule", "path").limit(documents.ANNOTATIONS).collect()]  # the formats' own bound
-    edges = [tuple(r) for r in own.table("graph_edges").orderBy("src", "dst").select("src", "dst", "relations").limit(documents.ANNOTATIONS).collect()]
-    rules = [tuple(r) for r in own.table("consolidated").orderBy("pattern").select("pattern", "owners").limit(documents.ANNOTATIONS).collect()]
-    made = {"sarif": documents.sarif(shown, "report"), "junit": documents.junit(shown, "report"), "annotations": documents.annotations(shown), "baseline": documents.baseline(shown), "check": documents.check_annotations(shown),
-            "dot": documents.dot(edges), "graphml": documents.graphml(edges), "gexf": documents.gexf(edges), "graph_json": documents.graph_json(edges), "graph_text": documents.graph_text(edges), "rule_file": documents.rule_file(rules)}
-    return spark.createDataFrame([(k, len(v), v) for k, v in made.items()], "kind string, size int, document string")
+    """All findings, graph edges and consolidated rules as the lines of documents of every format (of the annotations the first 50, their reader's bound)."""
+    own = catalog.shared(spark, sf_dir)
+    return lines.finding_lines(own.table("new_findings")).union(lines.edge_lines(own.table("graph_edges").select("src", "dst", "relations"))).union(lines.rule_lines(own.table("consolidated").select("pattern", "owners")))
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +219,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, import_cycles, living_paths, current_paths, renamed_owners, incremental_contributions, community_levels, clusters, team_comparisons, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_attribution, parsed_rules, report_documents, stream_windows)}
+QUERIES = {f.__name__: f for f in (person_graph, topology, knowledge_cuts, knowledge_betweenness, import_cycles, living_paths, current_paths, renamed_owners, incremental_contributions, community_levels, clusters, team_comparisons, onboarding_plan, transfer_paths, steady_severity, commit_graph, path_lineage, parsed_history, parsed_imports, parsed_attribution, cached_attribution, parsed_rules, report_documents, stream_windows)}
 #: Each touch followed from move to move, one after the other.
 _FOLLOWED = """
     t AS (SELECT source AS path, ord, 0 AS over, CASE WHEN kind = 'R' THEN dest END AS dest FROM path_moves UNION ALL SELECT dest, ord, 1, NULL FROM path_moves WHERE kind = 'R' AND dest <> source),
@@ -239,6 +269,19 @@ ORACLES = {
         back AS (SELECT p.author, p.successor, l.hops, l.node AS at, [l.node] AS chain FROM pairs AS p JOIN level AS l ON l.start = 'person:' || p.author AND l.node = 'person:' || p.successor
           UNION ALL SELECT b.author, b.successor, b.hops, x.before, list_prepend(x.before, b.chain) FROM back AS b JOIN before AS x ON x.start = 'person:' || b.author AND x.node = b.at)
         SELECT author, successor, CAST(hops AS BIGINT) AS hops, array_to_string(chain, ',') AS chain FROM back WHERE len(chain) = hops + 1"""),
+    "report_documents": catalog.over("everything", r"""+
+        f AS (SELECT rule, path, owners, fingerprint, concat_ws(chr(9), rule, path, owners) AS key FROM new_findings),
+        x AS (SELECT *, replace(replace(replace(replace(rule, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xr, replace(replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xp FROM f),
+        e AS (SELECT src, dst, relations, concat_ws(chr(9), '1', src, dst) AS key, [replace(replace(x, '\', '\\'), '"', '\"') FOR x IN [src, dst, relations]] AS d, [replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') FOR x IN [src, dst]] AS x FROM graph_edges)
+        SELECT 'sarif' AS kind, key, '{"ruleId":' || to_json(rule) || ',"level":"warning","message":{"text":' || to_json(rule) || '},"locations":[{"physicalLocation":{"artifactLocation":{"uri":' || to_json(path) || '},"region":{"startLine":1}}}],"partialFingerprints":{"identity/v1":' || to_json(fingerprint) || '}}' AS line FROM f
+        UNION ALL SELECT 'junit', key, '<testcase classname="' || xr || '" name="' || xp || '"><failure message="' || xr || '"/></testcase>' FROM x
+        UNION ALL SELECT 'baseline', key, CAST(to_json(struct_pack(rule := rule, path := path, owners := [o FOR o IN string_split(owners, ',') IF o <> ''])) AS VARCHAR) FROM f
+        UNION ALL SELECT 'annotations', key, '::warning file=' || replace(path, '%', '%25') || ',line=1::' || rule FROM (SELECT * FROM f ORDER BY rule, path, owners LIMIT 50)
+        UNION ALL SELECT 'dot', key, '  "' || d[1] || '" -- "' || d[2] || '" [label="' || d[3] || '"];' FROM e
+        UNION ALL SELECT 'graphml', key, '<edge source="' || x[1] || '" target="' || x[2] || '"/>' FROM e
+        UNION ALL SELECT DISTINCT 'graphml', '0' || chr(9) || n.n, '<node id="' || n.x || '"/>' FROM (SELECT unnest([struct_pack(n := src, x := x[1]), struct_pack(n := dst, x := x[2])]) AS n FROM e)
+        UNION ALL SELECT 'rule_file', lpad(CAST(CASE WHEN pattern = '*' THEN 0 ELSE len(pattern) END AS VARCHAR), 9, '0') || chr(9) || pattern, replace(pattern, ' ', '\ ') || ' ' || replace(owners, ',', ' ') FROM consolidated""",
+        {"everything": Operator("everything", "SELECT 1 FROM {new_findings}, {graph_edges}, {consolidated} LIMIT 0")}),
     "incremental_contributions": catalog.ORACLES["contributions"],
     "commit_graph": """
         WITH RECURSIVE o AS (SELECT o_custkey AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
@@ -252,6 +295,10 @@ ORACLES = {
     "parsed_history": """
         WITH c AS (SELECT o_orderkey AS sha, 'c' || o_custkey || '@x.org' AS author FROM orders UNION SELECT o_orderkey, 'c' || (o_custkey % 7) || '@x.org' FROM orders), f AS (SELECT unnest(['M', 'R']) AS status)
         SELECT author, status, count(*) AS files, count(DISTINCT sha) AS commits, CAST(CASE WHEN status = 'M' THEN 100 ELSE 90 END AS BIGINT) AS similarity FROM c, f GROUP BY author, status""",
+    "parsed_imports": """
+        WITH e AS (SELECT p_partkey AS k, unnest([p_partkey // 2, p_partkey // 3, p_partkey // 3 + 20, p_partkey + 20]) AS d FROM part)
+        SELECT DISTINCT 'pkg' || (k % 20) || '/m' || k || '.py' AS dependent, 'pkg' || (d % 20) || '/m' || d || '.py' AS dependency FROM e WHERE d <> k AND d IN (SELECT p_partkey FROM part)""",
+    "cached_attribution": "SELECT 'p' || l_partkey AS path, 's' || l_suppkey || '@x.org' AS author, count(*) AS n_lines, l_partkey % 4 <> 0 AND l_partkey % 11 <> 0 AS reused FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY ALL",
     "parsed_attribution": "SELECT 'p' || l_partkey AS path, 's' || l_suppkey || '@x.org' AS author, count(*) AS n_lines FROM lineitem GROUP BY ALL",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }

@@ -17,6 +17,8 @@ SCHEMAS: dict[str, str] = {
     "path_activity": "path string, change_events bigint, cadence_days double, cochange_degree double",
     "recent_shas": "author string, sha bigint, ts timestamp",
     "trend_points": "period bigint, commits bigint, contributors bigint, paths bigint",
+    "trend_report": "period bigint, commits bigint, contributors bigint, paths bigint, mean_top_score double, mean_qualified double, critical_paths bigint, scored_paths bigint",
+    "explanations": "path string, owners string, candidates string, quality double, commits bigint, declared string, rule_line bigint, assessment string",
     "trend_scores": "period bigint, mean_top_score double, scored_paths bigint",
     "blame_share": "path string, author string, share double",
     "review_share": "path string, author string, share double",
@@ -63,7 +65,7 @@ SCHEMAS: dict[str, str] = {
     "findings": "rule string, path string, owners string, fingerprint string",
     "suppressed": "rule string, path string",
     "new_findings": "rule string, path string, owners string, fingerprint string",
-    "settled_findings": "rule string, path string",
+    "settled_findings": "rule string, path string, owners string",
     "consolidated": "pattern string, owners string, files bigint",
     "owner_sets": "path string, owners string",
     "audit": "item string, status string, n bigint",
@@ -135,7 +137,7 @@ SCHEMAS: dict[str, str] = {
     "drift_digest": "category string, entries bigint, left_out bigint, worst bigint",
     "path_signals": "line_no bigint, qualified_owners bigint, decay boolean, paths bigint",
     "rule_observed": "line_no bigint, owner string, score double, author string",
-    "team_drift": "line_no bigint, team string, members bigint, active_members bigint, outside bigint, coverage double, status string",
+    "team_drift": "line_no bigint, team string, status string, coverage double, inactive string, outside string",
     "manual_review": "line_no bigint, pattern string, kind string, delta double, hidden_line bigint",
     "star_owners": "owner string",
     "finding_levels": "rule string, path string, owners string, check_name string, level string, blocks boolean",

@@ -51,11 +51,12 @@ FACTS: dict[str, str] = {
     "tracked": f"SELECT DISTINCT {_PATH} AS path FROM part AS p",
     "blame_lines": f"SELECT {_PATH} AS path, {_WHO} AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_linestatus = 'F' GROUP BY 1, 2",
     "blame_then": f"SELECT {_PATH} AS path, {_WHO} AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_returnflag <> 'N' GROUP BY 1, 2",
+    "blame_before": f"SELECT {_PATH} AS path, {_WHO} AS author, sum(l.l_quantity) AS n_lines FROM {_LINES} JOIN supplier AS s ON l.l_suppkey = s.s_suppkey JOIN nation AS n ON s.s_nationkey = n.n_nationkey WHERE l.l_linestatus = 'F' AND o.o_orderkey % 11 <> 0 GROUP BY 1, 2",
     "review_counts": f"SELECT {_PATH} AS path, {_WHO} AS author, count(*) AS n FROM {_LINES} JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE l.l_returnflag = 'R' GROUP BY 1, 2 UNION ALL SELECT {_PATH}, 'NATION_' || @str(p.p_partkey % 5), 40 FROM part AS p WHERE p.p_partkey % 9 = 0",
     "rules": _values(_RULES, "line_no, pattern, rx, top, supported, owners, source"),
     "criticality": _values([(i, target_regex(p), rule_regex(p), w) for i, (p, w) in enumerate(CRITICALITY)], "ord, rx, rule_rx, weight"),
     "exclude_rules": _values([(p, exclude_regex(p)) for p in EXCLUDES], "pattern, rx"),
-    "baseline": "SELECT 'single-expert' AS rule, path FROM (SELECT DISTINCT " + _PATH + " AS path, p.p_partkey FROM part AS p WHERE p.p_partkey % 5 = 0) AS b",
+    "baseline": "SELECT 'single-expert' AS rule, path, '' AS owners FROM (SELECT DISTINCT " + _PATH + " AS path, p.p_partkey FROM part AS p WHERE p.p_partkey % 5 = 0) AS b UNION ALL SELECT 'changed-drift', '/Brand#1/', 'nation_1,nation_2' UNION ALL SELECT 'shadowed-rule', '/Brand#1/', 'somebody else'",
     "suppressions": "SELECT rule, path, rx, CAST(expires AS DATE) AS expires FROM (" + _values([("single-expert", "Brand#3/", rule_regex("/Brand#3/"), "2030-01-01"), ("shadowed-rule", "ECONOMY/", rule_regex("ECONOMY/"), "2001-01-01")], "rule, path, rx, expires") + ") AS s",
     "pulls": "SELECT o.o_orderkey AS number, CASE WHEN o.o_orderkey % 5 = 0 THEN 'NATION_7' ELSE n.n_name END AS reviewer, CAST(o.o_orderdate AS TIMESTAMP) AS opened, CASE WHEN o.o_orderstatus <> 'P' THEN CAST(l.l_shipdate AS TIMESTAMP) END AS closed, CAST(round(l.l_quantity) AS INT) AS lines FROM orders AS o JOIN (SELECT l_orderkey, max(l_shipdate) AS l_shipdate, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) AS l ON o.o_orderkey = l.l_orderkey JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey",
     "teams": "SELECT r_name AS slug, 'world' AS parent FROM region UNION ALL SELECT 'world', CAST(NULL AS varchar(9))",

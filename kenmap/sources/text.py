@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,21 +129,40 @@ def modified_counts(raw: DataFrame, column: str = "value") -> DataFrame:
     return marked.where("sha is not null").groupBy("sha").agg(F.expr("count_if(line rlike '^M[\\t ]')").alias("modified"))
 
 
+def import_statements(files: DataFrame) -> DataFrame:
+    """path, level, module, name of each import in Python files (path, value), by their syntax tree; ``import a.b`` has no name, and a file that doesn't parse has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    tree = ast.parse(value or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                for node in ast.walk(tree):
+                    if isinstance(node, ast.Import):
+                        rows += [(path, 0, a.name, None) for a in node.names]
+                    elif isinstance(node, ast.ImportFrom):
+                        rows += [(path, node.level or 0, node.module or "", a.name) for a in node.names]
+            columns = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["path", "level", "module", "name"])
+
+    return files.where("path like '%.py'").select("path", "value").mapInArrow(run, "path string, level int, module string, name string")
+
+
 def python_imports(files: DataFrame) -> DataFrame:
     """dependent, dependency of Python files (path, value): modules that are other files of the table; relative imports by their level.
 
-    The first path in order wins where two files make one module.
+    A name that is imported may be a module too.  The first path in order wins where two files make one module.
     """
     dotted = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "[.]py$", ""), "(^|/)__init__$", ""), "/", ".")
     modules = files.where("path like '%.py'").groupBy(dotted.alias("module")).agg(F.min("path").alias("dependency")).where("module <> ''")
-    lines = files.where("path like '%.py'").select("path", dotted.alias("own"), F.explode(F.split("value", "\n")).alias("line"))
-    plain = lines.select("path", F.explode(F.split(F.regexp_extract("line", r"^\s*import\s+(.+)$", 1), ",")).alias("part")).select("path", F.regexp_extract("part", r"^\s*([A-Za-z_][\w.]*)", 1).alias("module"))
-    found = lines.select("path", "own", F.regexp_extract("line", r"^\s*from\s+([.]*)([\w.]*)\s+import\s+(.+)$", 1).alias("dots"), F.regexp_extract("line", r"^\s*from\s+([.]*)([\w.]*)\s+import\s+(.+)$", 2).alias("base"), F.regexp_extract("line", r"^\s*from\s+([.]*)([\w.]*)\s+import\s+(.+)$", 3).alias("names")).where("names <> ''")
-    up = "if(path like '%/__init__.py' or path = '__init__.py', 1, 0)"
-    package = f"array_join(slice(split(own, '[.]'), 1, greatest(0, size(split(own, '[.]')) - length(dots) + {up})), '.')"
-    based = found.select("path", F.expr(f"if(dots = '', base, concat_ws('.', nullif({package}, ''), nullif(base, '')))").alias("base"), F.explode(F.split(F.regexp_replace("names", "[()]", ""), ",")).alias("name"))
-    named = based.select("path", F.explode(F.array("base", F.concat_ws(".", F.expr("nullif(base, '')"), F.regexp_extract("name", r"^\s*(\w+)", 1)))).alias("module"))
-    return plain.union(named).where("module <> ''").join(modules, "module").where("path <> dependency").select(F.col("path").alias("dependent"), "dependency").distinct()
+    folders = "slice(split(path, '/'), 1, size(split(path, '/')) - 1)"
+    based = import_statements(files).withColumn("base", F.expr(f"if(level = 0 or level - 1 > size({folders}), '', array_join(slice({folders}, 1, size({folders}) - level + 1), '.'))"))
+    whole = based.withColumn("whole", F.expr("concat_ws('.', nullif(base, ''), nullif(module, ''))"))
+    named = whole.select("path", F.explode(F.expr("array(whole, if(name is null or name = '*' or whole = '', null, concat(whole, '.', name)))")).alias("module"))
+    return named.where("module <> ''").join(modules, "module").where("path <> dependency").select(F.col("path").alias("dependent"), "dependency").distinct()
 
 
 def rules(spark: SparkSession, content: str, sections: bool = False) -> DataFrame:

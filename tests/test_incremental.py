@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kenmap.plans.catalog import OPERATORS
 from kenmap.plans.engine import Engine
-from kenmap.sinks import incremental
+from kenmap.sinks import attribution, incremental
 
 DAY = timedelta(days=1)
 START = datetime(2026, 1, 1)
@@ -96,3 +96,20 @@ def test_new_events_are_all_that_is_read_of_the_source(spark, sf):
     fresh = catalog.engine(spark, sf).table("events_all").where(F.col("ts") > F.lit(datetime(2001, 6, 1)))
     plan = fresh._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "GreaterThan(o_orderdate" in plan
+
+
+def test_attribution_is_read_once_for_each_content(spark, tmp_path):
+    store = attribution.Store(spark, str(tmp_path / "lines"))
+    porcelain = lambda *people: "\n".join(f"{k:040x} 1 1 1\nauthor-mail <{p}>\n\tline" for k, p in enumerate(people))
+    tree = lambda *rows: spark.createDataFrame(rows, "path string, blob string")
+    texts = lambda **rows: spark.createDataFrame(list(rows.items()), "path string, value string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    one = store.attributed(tree(("a", "1"), ("b", "1"), ("e", "1")), texts(a=porcelain("X", "y", "x"), b=porcelain("y"), e=""), 1)
+    assert rows(one) == {("a", "x", 2, False), ("a", "y", 1, False), ("b", "y", 1, False)}
+    # a is not read again, whatever its text says now; b has changed; c is new; a content that comes back is known
+    two = store.attributed(tree(("a", "1"), ("b", "2"), ("c", "1")), texts(a=porcelain("nobody"), b=porcelain("z", "z"), c=porcelain("x")), 2)
+    assert rows(two) == {("a", "x", 2, True), ("a", "y", 1, True), ("b", "z", 2, False), ("c", "x", 1, False)}
+    assert rows(store.attributed(tree(("b", "1"), ("e", "1")), texts(b=porcelain("nobody"), e=porcelain("nobody")), 3)) == {("b", "y", 1, True)}
+    # entries without their list of digests are not there
+    spark.createDataFrame([("d" * 64, "ghost", 1, "dd")], "digest string, author string, n_lines long, shelf string").write.partitionBy("shelf").parquet(str(tmp_path / "lines/lines/run=4"))
+    assert store.keys().where("shelf = 'dd' and digest like 'ddd%'").count() == 0

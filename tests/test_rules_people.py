@@ -35,6 +35,8 @@ SCHEMAS = {
     "import_edges": "dependent string, dependency string", "identities": "identity string, email string, name string",
     "overrides": "identity string, handle string", "hits": "identity string, handle string, source string", "separations": "a string, b string",
     "blobs": "path string, blob string", "blobs_before": "path string, blob string",
+    "winners": "path string, line_no int, owners string", "findings": "rule string, path string, owners string, fingerprint string", "baseline": "rule string, path string, owners string", "suppressed": "rule string, path string",
+    "blame_lines": "path string, author string, n_lines double", "blame_before": "path string, author string, n_lines double",
     "flags": "code string", "excluded_paths": "path string", "moves": "sha string, similarity int, old_path string, path string",
 }
 
@@ -185,3 +187,37 @@ def test_gaps_are_listed_once_in_order(table):
 def test_reuse_needs_the_same_blob(table):
     got = table("dirty_paths", blobs=[("a", "1"), ("b", "2"), ("c", "3")], blobs_before=[("a", "1"), ("b", "9"), ("z", "1")])
     assert set(got) == {("a", "reused"), ("b", "changed"), ("c", "new")}
+
+
+def test_team_drift_statuses(table):
+    rule = lambda n, owners: (n, f"/{n}/", "x", None, True, owners, "generated")
+    rules = [rule(1, "org/Core,Dora"), rule(2, "org/none"), rule(3, "org/top"), rule(4, "org/void"), rule(5, "org/core")]
+    seen = {1: ("ann", "Dora", "eve"), 2: ("ann",), 3: ("cy",), 4: ("ann",), 5: ("Ann", "bob")}
+    rows = table(
+        "team_drift", rules=rules, teams=[("core", None), ("top", None), ("low", "top"), ("void", None)], team_members=[("core", "ANN"), ("core", "bob"), ("low", "cy")],
+        winners=[(f"{n}/f", n, "") for n in seen], owners=[own(f"{n}/f", a, 0.9, k + 1) for n, people in seen.items() for k, a in enumerate(people)],
+    )
+    assert set(rows) == {
+        (1, "org/core", "partial-drift", 0.6667, "bob", "eve"), (2, "org/none", "invisible", None, "", ""), (3, "org/top", "nested", 1.0, "", ""),
+        (4, "org/void", "empty", 0.0, "", "ann"), (5, "org/core", "aligned", 1.0, "", ""),
+    }
+
+
+def test_an_accepted_finding_is_new_when_its_owners_change(table):
+    found = [("changed-drift", "/a/", "x,y", "1"), ("changed-drift", "/b/", "x", "2"), ("single-expert", "c", "", "3"), ("single-expert", "d", "", "4")]
+    accepted = [("changed-drift", "/a/", "x,y"), ("changed-drift", "/b/", "z"), ("single-expert", "c", ""), ("single-expert", "gone", "")]
+    given = dict(findings=found, baseline=accepted, suppressed=[("single-expert", "d")])
+    assert table("new_findings", **given) == [("changed-drift", "/b/", "x", "2")]
+    assert set(table("settled_findings", **given)) == {("changed-drift", "/b/", "z"), ("single-expert", "gone", "")}
+
+
+def test_findings_sort_their_owners(table):
+    drift = dict(drift_changed=[("changed", "/a/", 0.5, 1, 1, False, 0.0)], drift_missing=[], drift_stale=[], criticality=[])
+    rules = [(1, "/a/", "x", None, True, "Zoe,Ann", "generated")]
+    assert [r[:3] for r in table("findings", rules=rules, tiers=[], tracked=[("a/f",)], **drift)] == [("changed-drift", "/a/", "ann,zoe")]
+
+
+def test_reused_paths_keep_the_shares_of_the_run_before(table):
+    rows = table("mixed_blame", blobs=[("same", "1"), ("new", "2"), ("changed", "3")], blobs_before=[("same", "1"), ("changed", "0")],
+                 blame_lines=[("same", "ann", 1.0), ("new", "ann", 3.0), ("new", "bob", 1.0), ("changed", "bob", 2.0)], blame_before=[("same", "ann", 1.0), ("same", "bob", 3.0), ("changed", "ann", 9.0)])
+    assert set(rows) == {("same", "ann", 0.25, "reused"), ("same", "bob", 0.75, "reused"), ("new", "ann", 0.75, "new"), ("new", "bob", 0.25, "new"), ("changed", "bob", 1.0, "changed")}

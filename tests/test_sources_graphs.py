@@ -88,6 +88,13 @@ def test_python_imports(spark):
     assert got == {("p/a.py", "p/b.py"), ("p/a.py", "p/c.py"), ("p/a.py", "p/__init__.py"), ("p/b.py", "p/q/__init__.py"), ("p/b.py", "p/q/d.py"), ("p/q/__init__.py", "p/q/d.py"), ("p/q/d.py", "p/a.py")}
 
 
+def test_imports_are_read_by_syntax_not_by_lines(spark):
+    source = '"""\nimport p.no\n"""\nx = "import p.no"\nfrom p import (\n    a,  # first\n    b as c,\n)\nimport p.q, \\\n    p.r\nif x:\n    from . import s\nfrom p.t import *\nfrom ...z import y\n'
+    files = [("p/main.py", source), ("p/broken.py", "import p.a\ndef ("), ("p/empty.py", None), *((f"p/{n}.py", "") for n in ("a", "b", "q", "r", "s", "t", "no"))]
+    got = {tuple(r) for r in text.python_imports(spark.createDataFrame(files, "path string, value string")).collect()}
+    assert got == {("p/main.py", f"p/{n}.py") for n in ("a", "b", "q", "r", "s", "t")}
+
+
 def test_topology_names_parents_and_affiliations(spark):
     pairs = [("a", "b", 2.0), ("b", "c", 2.0), ("a", "c", 2.0), ("x", "y", 2.0), ("y", "z", 2.0), ("x", "z", 2.0), ("c", "x", 1.0), ("c", "y", 1.2)]
     weights = {(a, b): w for a, b, w in pairs}

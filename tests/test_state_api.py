@@ -4,7 +4,7 @@ from datetime import UTC, datetime
 import pytest
 
 from kenmap.operators import graphs
-from kenmap.operators.identity import Identities, Record, certain_groups, redacted
+from kenmap.operators.identity import Identities, Record, certain_groups, redacted, shown_names
 from kenmap.params import Params
 from kenmap.sinks import documents, state
 from kenmap.sources import api, settings, text
@@ -103,9 +103,10 @@ def test_replay_and_refresh(spark):
 def test_merges_leave_a_trail_and_can_be_undone():
     people = Identities({h: Record(h, (f"{h}@x",), (h.upper(),)) for h in ("ann", "anna", "bob")})
     assert people.merge("ann", "anna", "@ann") and people.records["@ann"].emails == ("ann@x", "anna@x") and not people.merge("ann", "anna", "@ann")
-    assert people.revert("ANNA", "@ann") and set(people.records) == {"ann", "anna", "bob"} and not people.merge("ann", "anna", "@ann")
-    assert [e.action for e in people.trail][0] == "merge" and people.trail[-1].action == "unmerge" and not people.revert("bob", "zoe")
+    assert people.revert("ANNA", "@ann") and set(people.records) == {"ann", "anna", "bob"} and people.separated("ann", "anna") and people.merge("ann", "anna", "@ann")
+    assert [e.action for e in people.trail] == ["merge", "unmerge", "merge"] and not people.revert("bob", "zoe")
     assert certain_groups([("a", "@x", True), ("b", "@X", True), ("c", "@x", False), ("d", "x", True)], [("A", "d")]) == [["a", "b"], ["c"], ["d"]]
+    assert shown_names([("a", "@x", True), ("b", "@X", True), ("c", "@y", False), ("d", "x", True)], [("A", "d")]) == {"a": "a", "b": "@X", "c": "@y", "d": "d"}
 
 
 def test_redaction_walks_everything():

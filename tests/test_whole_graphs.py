@@ -186,6 +186,17 @@ def test_knowledge_chains_cross_directories(spark):
     assert [tuple(r) for r in rows] == [("ann", "cid", 4, "person:ann,path:a/w,person:bob,path:b/y,person:cid")]
 
 
+def test_betweenness_with_twins_and_leaves(spark):
+    rng = random.Random(12)
+    owners = sorted({(f"{g}/p{i}", f"{g}-a{rng.randrange(6)}") for g in range(2) for i in range(25) for _ in range(rng.choice([1, 1, 2, 3]))} | {("0/p0", "bridge"), ("1/p0", "bridge")})
+    want = graphs.betweenness([(f"person:{a}", f"path:{p}") for p, a in owners])
+    people = sorted(((round(v, 9), k[7:]) for k, v in want.items() if k.startswith("person:") and v > 1e-12), key=lambda x: (-x[0], x[1]))
+    df = spark.createDataFrame(owners, "path string, author string")
+    got = [(r["person"], r["score"]) for r in components.knowledge_betweenness(df, 30, batch=20).collect()]
+    assert [p for p, _ in got] == [p for _, p in people] and [s for _, s in got] == pytest.approx([v for v, _ in people], abs=5.1e-5)
+    assert components.knowledge_betweenness(df.limit(0)).count() == 0
+
+
 def test_all_below_any_depth_and_cycles(spark):
     tree = [(f"t{i}", f"t{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "x")]
     got = {tuple(r) for r in components.below(spark.createDataFrame(tree, "node string, parent string")).collect()}
