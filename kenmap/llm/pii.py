@@ -118,11 +118,13 @@ def _shared_entities(found: DataFrame, support: tuple[int, int, int] = SUPPORT)
     """h, entity, rung (0: value, 1: wider class, 2: kind), n_entity: for each value in a text the narrowest of its classes that enough different texts hold."""
     wider = "case s.kind " + " ".join(f"when '{k}' then {let('v', 'lower(s.value)', x)}" for k, x in _WIDER.items()) + " end"
     names = "array(struct(0 as rung, concat(s.kind, '=', lower(s.value)) as entity), struct(1 as rung, concat(s.kind, '~', {0}) as entity), struct(2 as rung, s.kind as entity))".format(wider)
-    held = found.where("size(base) > 0").select("h", F.explode("base").alias("s")).select("h", F.expr(f"concat(s.kind, '=', lower(s.value)) as value"), F.explode(F.expr(names)).alias("c")).select("h", "value", "c.rung", "c.entity").distinct()
+    held = found.where("size(base) > 0").select("h", F.explode("base").alias("s")).select("h", F.expr("concat(s.kind, '=', lower(s.value)) as value"), F.explode(F.expr(names)).alias("c")).select("h", "value", "c.rung", "c.entity").distinct()
     held = keep(held)
     enough = " or ".join(f"rung = {r} and n_entity >= {n}" for r, n in enumerate(support))
-    often = held.select("h", "rung", "entity").distinct().groupBy("rung", "entity").agg(F.count("*").alias("n_entity")).where(enough)
-    lowest = held.join(often, ["rung", "entity"]).groupBy("h", "value").agg(F.min(F.struct("rung", "entity", "n_entity")).alias("c"))
+    often = keep(held.select("h", "rung", "entity").distinct().groupBy("rung", "entity").agg(F.count("*").alias("n_entity")).where(enough))
+    # kinds have most texts and are at most as many as ``KINDS``
+    classes = held.where("rung < 2").join(often.where("rung < 2"), ["rung", "entity"]).unionByName(held.where("rung = 2").join(F.broadcast(often.where("rung = 2")), ["rung", "entity"]))
+    lowest = classes.groupBy("h", "value").agg(F.min(F.struct("rung", "entity", "n_entity")).alias("c"))
     return keep(lowest.select("h", "c.rung", "c.entity", "c.n_entity").distinct())
 
 
