@@ -66,9 +66,17 @@ def fitting(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if k <= len(word))] if word else []
 
 
-def term_of(terms: dict[str, float], chunk: str) -> str | None:
+def heads_of(terms: dict[str, float]) -> frozenset[str]:
+    """The first letters of all terms, as many as the shortest beginning has: every term that fits a token shares them."""
+    return frozenset(t[: STEMS[0]] for t in terms)
+
+
+def term_of(terms: dict[str, float], heads: frozenset[str], chunk: str) -> str | None:
     """The term of the largest score that fits a token."""
-    return max((t for t in fitting(chunk.strip(MARKS)) if t in terms), key=terms.__getitem__, default=None)
+    word = chunk.strip(MARKS)
+    if word[: STEMS[0]] not in heads:
+        return None
+    return max((t for t in fitting(word) if t in terms), key=terms.__getitem__, default=None)
 
 
 @dataclass
@@ -83,15 +91,16 @@ class Model:
     bias: float = -60.0
 
     def __post_init__(self) -> None:
-        terms = self.terms  # not self: a cycle would outlive the task
-        self.memo = Memo(lambda chunk: terms.get(term_of(terms, chunk), 0.0), 30_000)
+        terms, heads = self.terms, heads_of(self.terms)  # not self: a cycle would outlive the task
+        self.heads = heads
+        self.memo = Memo(lambda chunk: terms.get(term_of(terms, heads, chunk), 0.0), 30_000)
 
     def term(self, chunk: str) -> str | None:
         """The term that counts for a token."""
-        return term_of(self.terms, chunk)
+        return term_of(self.terms, self.heads, chunk)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "heads")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
