@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kenmap.operators import communities, components, graphs, lineage, moves
+from kenmap.operators import ancestry, communities, components, graphs, lineage, moves
 from kenmap.plans import catalog, storage
 from kenmap.plans.engine import Engine, Operator
 from kenmap.sinks import attribution, documents, incremental, lines
@@ -146,10 +146,10 @@ def commit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestry of pairs of orders in the history of each customer: an order follows the one before it, every fourth also the third before, every fifth starts from the second before."""
     orders = spark.sql("SELECT cast(o_custkey AS string) AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}", orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     edges = spark.sql("""
-        SELECT repo, cast(n AS string) AS sha, explode(transform(if(n % 4 = 0, array(n - 1, n - 3), array(if(n % 5 = 0, n - 2, n - 1))), x -> cast(x AS string))) AS parent
+        SELECT repo, cast(n AS string) AS sha, posexplode(transform(if(n % 4 = 0, array(n - 1, n - 3), array(if(n % 5 = 0, n - 2, n - 1))), x -> cast(x AS string))) AS (nth, parent)
         FROM {orders} WHERE n > 3""", orders=orders)
     pairs = spark.sql("SELECT repo, cast(n - 3 AS string) AS a, cast(n AS string) AS b FROM {orders} WHERE n > 4 AND n % 3 = 0", orders=orders)
-    return graphs.commit_graph(edges, pairs)
+    return ancestry.commit_graph(edges, pairs)
 
 
 def parsed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
