@@ -264,13 +264,12 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            sets: dict[int, np.ndarray] = {}
+            held: str | None = None  # the text of ``one``; rows of one text mostly follow one another, and an id may have several texts
+            one = np.empty(0, U)
             out: list[tuple[int, int]] = []
             for x, y, s, t in zip(*(b.column(i).to_pylist() for i in range(4))):
-                one = sets.get(x)
-                if one is None:
-                    sets.clear()
-                    one = sets[x] = shingles(s)
+                if s != held:
+                    held, one = s, shingles(s)
                 if linked(one, shingles(t)):
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])

@@ -130,6 +130,17 @@ def test_jaccard_keeps_rows_without_id_and_empty_tables(spark):
     assert jaccard.jaccard_join(table(spark, [])).count() == 0
 
 
+def test_jaccard_links_each_text_of_a_repeated_id(spark):
+    words = lambda tag: [f"{tag}{i}" for i in range(60)]
+    near = lambda tag: " ".join([*words(tag)[:-1], "changed"])
+    rows = [(1, " ".join(words("a"))), (1, " ".join(words("b"))), (2, near("b")), (3, near("a")), (4, " ".join(words("c")))]
+    got = {tuple(r) for r in jaccard.jaccard_join(table(spark, rows)).collect()}
+    assert got == {(1, 56, 1), (2, 56, 1), (3, 56, 1), (4, 56, 4)}
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 10)], "a long, b long")
+    docs = table(spark, rows[:2] + [(i, near("ab"[i % 2])) for i in range(2, 10)]).coalesce(1)
+    assert {tuple(r) for r in jaccard._verified(pairs.coalesce(1), docs).collect()} == {(1, i) for i in range(2, 10)}
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 40, 700):
