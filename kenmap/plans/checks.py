@@ -297,6 +297,65 @@ TEXTS: dict[str, str] = {
           CASE WHEN known THEN round(len(list_filter(seen, lambda p: list_contains(list_concat(members, beside), p))) / len(seen), 4) END AS coverage,
           CASE WHEN known THEN array_to_string(list_sort(list_filter(members, lambda p: NOT list_contains(seen, p))), ',') ELSE '' END AS inactive,
           CASE WHEN known THEN array_to_string(list_sort(list_filter(seen, lambda p: NOT list_contains(list_concat(members, beside), p))), ',') ELSE '' END AS outside FROM y""",
+    # people, evidence and departures
+    "shares": """
+        WITH t AS (SELECT path, list(struct_pack(a := author, s := score, r := rank) ORDER BY rank) AS l, sum(score) AS whole FROM {ranked} WHERE score > 0 GROUP BY path),
+        u AS (SELECT path, l, whole, unnest(range(1, len(l) + 1)) AS i FROM t)
+        SELECT path, l[i].a AS author, l[i].s AS score, l[i].s / whole AS share, l[i].r AS rank, list_sum(list_transform(l[:i], lambda x: x.s)) / whole AS covered FROM u""",
+    "evidence": "SELECT path, author, kind, value FROM {signals} UNPIVOT (value FOR kind IN (recency, frequency, blame, review, survival))",
+    "tier_counts": "SELECT t.tier, len(list_filter(x.l, lambda y: y = t.tier)) AS paths FROM (SELECT DISTINCT tier FROM {tiers}) AS t, (SELECT list(tier) AS l FROM {tiers}) AS x",
+    "removal": "SELECT path, len(l) AS before_count, len(list_filter(l, lambda a: a <> :removed)) AS after_count FROM (SELECT path, list(author) AS l FROM {ranked} GROUP BY path)",
+    "person_load": """
+        SELECT DISTINCT author, count(*) OVER w AS paths, CAST(sum(commits) OVER w AS BIGINT) AS commits, first_value(score) OVER (w ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best FROM {ranked} WINDOW w AS (PARTITION BY author)""",
+    "person_best": "SELECT author, x.path, -x.score AS score, -x.commits AS commits FROM (SELECT author, min(struct_pack(score := -score, commits := -commits, path := path)) AS x FROM {ranked} GROUP BY author)",
+    "owner_sets": "SELECT path, array_to_string(list_sort(list_distinct(list(author))), ',') AS owners FROM {owners} GROUP BY path",
+    "co_owners": """
+        WITH p AS (SELECT path, list(struct_pack(a := author, s := score)) AS l FROM {owners} GROUP BY path), x AS (SELECT unnest(l) AS x, l FROM p), y AS (SELECT x, unnest(l) AS y FROM x)
+        SELECT x.a AS author, y.a AS other, max(y.s) AS best, count(*) AS paths FROM y WHERE x.a <> y.a GROUP BY ALL""",
+    "person_dirs": "SELECT DISTINCT author, regexp_replace(path, '/[^/]*$', '') AS dir FROM {owners} WHERE regexp_matches(path, '/')",
+    "last_activity": "SELECT path, CAST(list_min(list(age)) AS BIGINT) AS days FROM {owners} GROUP BY path",
+    "former_share": """
+        SELECT round(coalesce((SELECT sum(score) FROM {ranked} WHERE score > 0 AND author IN (SELECT author FROM {contributor_status} WHERE status = 'former')), 0) / (SELECT sum(score) FROM {ranked} WHERE score > 0 AND author IN (SELECT author FROM {contributor_status})), 6) AS share""",
+    "weighted_degree": "SELECT person, sum(weight) AS degree FROM (SELECT unnest([a, b]) AS person, weight FROM {pair_weights}) GROUP BY person",
+    "modularity": """
+        WITH t AS (SELECT sum(weight) AS m FROM {pair_weights}), k AS (SELECT login, slug, coalesce((SELECT sum(weight) FROM {pair_weights} WHERE a = login OR b = login), 0) AS k FROM {team_members})
+        SELECT sum(coalesce((SELECT sum(weight) FROM {pair_weights} WHERE (a = x.login AND b = y.login) OR (a = y.login AND b = x.login)), 0) / (2 * m) - x.k * y.k / (4 * m * m)) AS modularity FROM k AS x JOIN k AS y ON x.slug = y.slug, t WHERE x.k > 0 AND y.k > 0""",
+    "team_coverage": """
+        WITH s AS (SELECT slug, list(DISTINCT login) AS l FROM {team_members} GROUP BY slug), d AS (SELECT top, list(DISTINCT author) AS seen FROM {directory_best} GROUP BY top)
+        SELECT top, slug, round(len(list_intersect(l, seen)) / len(l), 6) AS coverage FROM d, s WHERE list_has_any(l, seen)""",
+    "capped_contributions": "SELECT * REPLACE (CASE WHEN author IN (SELECT author FROM {mechanical_authors}) AND credit > 1 THEN 1.0 ELSE credit END AS credit) FROM {contributions}",
+    "active_paths": "SELECT DISTINCT path FROM {kept_contributions} WHERE commits >= :min_commits",
+    # rules, drift and risk
+    "declared": """
+        SELECT w.path, w.line_no, lower(o.owner) AS owner FROM {winners} AS w, (SELECT line_no, unnest(list_filter(string_split(owners, ','), lambda x: x <> '')) AS owner FROM {rules}) AS o WHERE o.line_no = w.line_no AND w.path IN (SELECT path FROM {owners})""",
+    "drift_severity": """
+        SELECT coalesce((list_filter(['critical', 'high', 'medium', 'low', 'info'], lambda s: list_contains(l, s)))[1], 'info') AS severity, n AS entries, high AS high_entries
+        FROM (SELECT coalesce(list(severity), []) AS l, count(*) AS n, count_if(coalesce(delta >= 0.7, false) OR coalesce(qualified_owners <= :critical_owners, false) OR coalesce(decay, false)) AS high FROM {drift})""",
+    "suppressed": """
+        SELECT DISTINCT rule, path FROM {findings} AS f WHERE EXISTS (SELECT 1 FROM {suppressions} AS s WHERE s.rule = f.rule AND coalesce(s.expires, DATE '9999-12-31') >= CAST(TIMESTAMP :as_of AS DATE) AND (s.path = f.path OR regexp_matches(f.path, s.rx)))""",
+    "risk_summary": "SELECT DISTINCT tier, count(*) OVER w AS paths, max(risk) OVER w AS worst FROM {risk} WINDOW w AS (PARTITION BY tier)",
+    "worst_risk": "SELECT path, risk, tier FROM {risk} QUALIFY row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium'], tier) NULLS LAST, risk DESC, path) = 1",
+    "shadow_experts": """
+        WITH d AS (SELECT path, list(owner) AS l FROM {declared} GROUP BY path) SELECT o.path, o.author, o.score FROM {owners} AS o JOIN d USING (path) WHERE o.rank = 1 AND NOT list_contains(d.l, lower(o.author))""",
+    "role_divergence": """
+        WITH s AS (SELECT path, min(struct_pack(v := -blame, a := author)) FILTER (WHERE blame > 0) AS w, min(struct_pack(v := -review, a := author)) FILTER (WHERE review > 0) AS r FROM {scored} GROUP BY path), d AS (SELECT path, list(owner) AS l FROM {declared} GROUP BY path)
+        SELECT path, w.a AS writer, r.a AS reviewer FROM s JOIN d USING (path) WHERE w.a <> r.a AND NOT list_has_any(d.l, [lower(w.a), lower(r.a)])""",
+    "pathologies": """
+        WITH k AS (SELECT path, list_concat(coalesce(v.l, []), coalesce(p.l, []), coalesce(s.l, []), coalesce(r.l, [])) AS l FROM (SELECT path, list('vacuum') AS l FROM {vacuum} GROUP BY path) AS v
+          FULL JOIN (SELECT path, list('phantom') AS l FROM {phantom_owners} GROUP BY path) AS p USING (path) FULL JOIN (SELECT path, list('shadow') AS l FROM {shadow_experts} GROUP BY path) AS s USING (path) FULL JOIN (SELECT path, list('divergence') AS l FROM {role_divergence} GROUP BY path) AS r USING (path))
+        SELECT path, kind, len(list_filter(l, lambda x: x = kind)) AS n FROM (SELECT path, l, unnest(list_distinct(l)) AS kind FROM k)""",
+    "change_kinds": "SELECT unnest(map_keys(h)) AS kind, unnest(map_values(h)) AS paths FROM (SELECT histogram(kind) AS h FROM {change_report})",
+    "declared_teams": """
+        WITH o AS (SELECT DISTINCT unnest(string_split(lower(owners), ',')) AS owner FROM {rules}), t AS (SELECT owner, string_split(owner, '/')[-1] AS slug FROM o WHERE contains(owner, '/'))
+        SELECT owner, slug IN (SELECT lower(slug) FROM {teams}) AS known, (SELECT count(DISTINCT login) FROM {team_closure} AS c WHERE lower(c.slug) = t.slug AND t.slug IN (SELECT lower(slug) FROM {teams})) AS members FROM t""",
+    # graphs and identities
+    "graph_degree": "SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM {graph_edges}) GROUP BY node",
+    "orphan_groups": "SELECT regexp_extract(path, '^[^/]*') AS dir, count(*) AS paths FROM {vacuum} GROUP BY ALL",
+    "orphan_dependents": "SELECT dependency AS path, count(*) AS dependents FROM {dependencies} SEMI JOIN (SELECT path AS dependency FROM {vacuum}) USING (dependency) GROUP BY dependency",
+    "identity_matches": """
+        WITH q AS (SELECT query, ltrim(lower(query), '@') AS full_, string_split(ltrim(lower(query), '@'), '@')[1] AS part FROM {queries}), a AS (SELECT author, ltrim(lower(author), '@') AS full_, string_split(ltrim(lower(author), '@'), '@')[1] AS part FROM {author_index})
+        SELECT query, author FROM q JOIN a ON q.full_ = a.full_ UNION SELECT query, author FROM q JOIN a ON q.part = a.full_ UNION SELECT query, author FROM q JOIN a ON q.full_ = a.part""",
+    "unresolved": "SELECT identity, email FROM {identities} WHERE strpos(email, '@') > 0 AND identity IN (SELECT identity FROM {resolved} WHERE source = 'none')",
 }
 
 OPERATORS = {name: Operator(name, text, "Second definition.") for name, text in TEXTS.items()}
