@@ -356,6 +356,45 @@ TEXTS: dict[str, str] = {
         WITH q AS (SELECT query, ltrim(lower(query), '@') AS full_, string_split(ltrim(lower(query), '@'), '@')[1] AS part FROM {queries}), a AS (SELECT author, ltrim(lower(author), '@') AS full_, string_split(ltrim(lower(author), '@'), '@')[1] AS part FROM {author_index})
         SELECT query, author FROM q JOIN a ON q.full_ = a.full_ UNION SELECT query, author FROM q JOIN a ON q.part = a.full_ UNION SELECT query, author FROM q JOIN a ON q.full_ = a.part""",
     "unresolved": "SELECT identity, email FROM {identities} WHERE strpos(email, '@') > 0 AND identity IN (SELECT identity FROM {resolved} WHERE source = 'none')",
+    # policy, the target and completeness
+    "drift_stale": """
+        SELECT 'stale' AS category, pattern AS path, 1.0 AS delta, line_no, CAST(NULL AS BIGINT) AS qualified_owners, false AS decay, CAST(owners = '' AS INT) * 1.0 AS overlap FROM {rules} WHERE line_no IN (SELECT line_no FROM {dead_rules})""",
+    "lineage_confidence": "SELECT o.path, author, score, quality * least(100, coalesce((SELECT min(similarity) FROM {moves} AS m WHERE m.path = o.path), 100)) / 100.0 AS quality FROM {owners} AS o",
+    "security_findings": """
+        WITH x AS (SELECT s.path, c.effective_owners < 2 AS few, coalesce(w.owners, '') = '' AS bare, s.decaying = s.qualified_owners AS stale FROM {path_summary} AS s JOIN {concentration} AS c USING (path) LEFT JOIN {winners} AS w USING (path), (SELECT list(rx) AS l FROM {security}) AS r
+          WHERE len(list_filter(r.l, lambda p: regexp_matches(s.path, p))) > 0)
+        SELECT path, CAST(coalesce(few, false) AS INT) + 2 * CAST(bare AS INT) + 4 * CAST(coalesce(stale, false) AS INT) AS problems FROM x WHERE few OR bare OR stale""",
+    "shadowed_generated": """
+        WITH g AS (SELECT m.path, list(m.line_no) AS l FROM {rule_matches} AS m JOIN {rules} AS r USING (line_no) WHERE r.source = 'generated' GROUP BY m.path),
+        x AS (SELECT w.line_no, w.path, list_filter(g.l, lambda n: n < w.line_no) AS l FROM {winners} AS w JOIN g USING (path) WHERE w.source = 'manual')
+        SELECT line_no, max(list_max(l)) AS hidden_line, count(*) AS paths FROM x WHERE len(l) > 0 GROUP BY line_no""",
+    "match_chain": "SELECT path, l[i] AS line_no, i AS step FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, list_sort(list(line_no)) AS l FROM {rule_matches} WHERE starts_with(path, :target || '/') GROUP BY path))",
+    "explanation": """
+        WITH t AS (SELECT author, list(struct_pack(score := score, recency := recency, frequency := frequency, blame := blame, review := review, survival := survival, status := status) ORDER BY score DESC, commits, path) AS l FROM {scored} WHERE starts_with(path, :target || '/') GROUP BY author)
+        SELECT author, l[1].score AS score, l[1].recency AS recency, l[1].frequency AS frequency, l[1].blame AS blame, l[1].review AS review, l[1].survival AS survival, l[1].status AS status, len(l) AS paths FROM t""",
+    "why_not": """
+        WITH s AS (SELECT * FROM {scored} ANTI JOIN {owners} USING (path, author) WHERE starts_with(path, :target || '/'))
+        SELECT author, count(*) AS paths, count(*) FILTER (score < :threshold) AS below_threshold, count(*) FILTER (score >= :threshold) AS beyond_top, max(score) AS best FROM s GROUP BY author""",
+    "outside_window": """
+        WITH t AS (SELECT author, max(ts) AS last_commit FROM {events_all} WHERE starts_with(path, :target || '/') GROUP BY author) SELECT * FROM t WHERE last_commit < TIMESTAMP :as_of - to_days(:lookback_days)""",
+    "layers": """
+        WITH d AS (SELECT string_split(path, '/')[1] AS top, list_sort(list_distinct(list(owner))) AS l FROM {declared} GROUP BY ALL), o AS (SELECT string_split(path, '/')[1] AS top, list_sort(list_distinct(list(author))) AS l FROM {owners} WHERE rank = 1 GROUP BY ALL)
+        SELECT top, array_to_string(o.l, ',') AS observed, coalesce(array_to_string(d.l, ','), '') AS declared FROM o LEFT JOIN d USING (top)""",
+    "without_person": "SELECT path, len(l) AS owners, list_max(l) AS top_score FROM (SELECT path, list(score) FILTER (lower(author) <> lower(:removed)) AS l FROM {ranked} GROUP BY path) WHERE l IS NOT NULL",
+    "private_owners": "SELECT path, 'person-' || left(sha256(concat(:repo_id, chr(10), lower(author))), 12) AS person, score FROM {owners}",
+    "completeness": "SELECT round(1 - len(l) / 13.0, 4) AS completeness, len(l) AS gaps FROM (SELECT coalesce(list(DISTINCT code), []) AS l FROM {gap_list})",
+    "reviewer_suggestions": """
+        SELECT author, max(score) AS score, count(*) AS covered, max(last_commit) AS last_commit, CAST(author IN (SELECT reviewer FROM {review_load} WHERE band = 'high') AS INT) AS overloaded FROM {owners} WHERE starts_with(path, :target || '/') GROUP BY author""",
+    "stale_declared": "SELECT path, d.owner, x.status FROM {declared} AS d JOIN (SELECT path, unnest(list(struct_pack(who := lower(author), status := status))) AS x FROM {decay_warnings} GROUP BY path) USING (path) WHERE x.who = d.owner",
+    "solo_repository": "SELECT len(l) AS people, len(l) < 2 AS solo FROM (SELECT coalesce(list_distinct(list(author)), []) AS l FROM {owners})",
+    "single_owner_paths": "SELECT path, CAST(path IN (SELECT path FROM {backups}) AS INT) AS has_backup FROM {tiers} WHERE qualified_owners = 1",
+    "team_status": """
+        WITH c AS (SELECT w.line_no, m.slug, len(list_distinct(list(o.path))) AS paths FROM {winners} AS w JOIN {owners} AS o USING (path) JOIN {team_members} AS m ON m.login = o.author GROUP BY ALL)
+        SELECT line_no, x.slug, -x.paths AS paths FROM (SELECT line_no, min(struct_pack(paths := -paths, slug := slug)) AS x FROM c GROUP BY line_no)""",
+    "mentors": "SELECT x.author, -x.paths AS paths, -x.commits AS commits FROM (SELECT unnest(list_sort(list(struct_pack(paths := -paths, commits := -commits, author := author)))[1:3]) AS x FROM {expertise})",
+    "removal_distribution": """
+        WITH x AS (SELECT list(before_top) AS b, list(after_top) FILTER (after_top IS NOT NULL) AS a FROM {left_shares})
+        SELECT round(list_avg(b), 6) AS before_mean, round(list_avg(a), 6) AS after_mean, round(list_max(b), 6) AS before_most, round(list_max(a), 6) AS after_most, len(list_filter(b, lambda v: round(v, 9) >= 0.5)) AS before_concentrated, len(list_filter(a, lambda v: round(v, 9) >= 0.5)) AS after_concentrated, len(b) AS before_paths, len(a) AS after_paths FROM x""",
 }
 
 OPERATORS = {name: Operator(name, text, "Second definition.") for name, text in TEXTS.items()}
