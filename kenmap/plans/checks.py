@@ -358,7 +358,7 @@ TEXTS: dict[str, str] = {
     "unresolved": "SELECT identity, email FROM {identities} WHERE strpos(email, '@') > 0 AND identity IN (SELECT identity FROM {resolved} WHERE source = 'none')",
     # policy, the target and completeness
     "drift_stale": """
-        SELECT 'stale' AS category, pattern AS path, 1.0 AS delta, line_no, CAST(NULL AS BIGINT) AS qualified_owners, false AS decay, CAST(owners = '' AS INT) * 1.0 AS overlap FROM {rules} WHERE line_no IN (SELECT line_no FROM {dead_rules})""",
+        SELECT 'stale' AS category, pattern AS path, 1e0 AS delta, line_no, CAST(NULL AS BIGINT) AS qualified_owners, false AS decay, CAST(owners = '' AS INT) * 1e0 AS overlap FROM {rules} WHERE line_no IN (SELECT line_no FROM {dead_rules})""",
     "lineage_confidence": "SELECT o.path, author, score, quality * least(100, coalesce((SELECT min(similarity) FROM {moves} AS m WHERE m.path = o.path), 100)) / 100.0 AS quality FROM {owners} AS o",
     "security_findings": """
         WITH x AS (SELECT s.path, c.effective_owners < 2 AS few, coalesce(w.owners, '') = '' AS bare, s.decaying = s.qualified_owners AS stale FROM {path_summary} AS s JOIN {concentration} AS c USING (path) LEFT JOIN {winners} AS w USING (path), (SELECT list(rx) AS l FROM {security}) AS r
