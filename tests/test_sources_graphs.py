@@ -47,6 +47,23 @@ def test_lineage_survives_swaps_and_copies(spark):
     assert rows["c"]["copied_from"] == rows["a"]["logical_id"] and rows["c"]["logical_id"] != rows["a"]["logical_id"]
 
 
+def test_lineage_deals_one_repository_to_many_folds(spark, monkeypatch):
+    from kenmap.operators import lineage as module
+
+    monkeypatch.setattr(module, "GROUP_ROWS", 10)
+    at = lambda d: datetime(2026, 1, d)
+    commits = spark.createDataFrame([("r", "1", at(1)), ("r", "2", at(2))], "repo string, sha string, ts timestamp")
+    whole = [("r", "1", "A", None, None, f"x/{n}") for n in "abc"] + [("r", "2", "R", s, f"x/{n}", f"y/{n}") for n, s in (("a", 90), ("b", 60))]  # x/c stays: no directory moved
+    files = spark.createDataFrame(whole + [("r", "1", "A", None, None, f"d{i}/f") for i in range(60)], "repo string, sha string, status string, similarity int, old_path string, path string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lineage(commits, files).selectExpr("*", "spark_partition_id() AS task").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len({r["task"] for r in found}) > 1 and len(found) == 63
+    assert {r["path"]: r["confidence"] for r in found if r["path"][:2] in ("x/", "y/")} == {"x/c": 1.0, "y/a": 0.9, "y/b": 0.6}
+
+
 def test_directory_moves_need_all_living_files():
     moves = [("x/a", "y/a", 100), ("x/b", "y/b", 100)]
     assert directory_moves(moves, ["x/a", "x/b"]) == [("x", "y")] and directory_moves(moves, ["x/a", "x/b", "x/c"]) == []
