@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from kenmap.plans.storage import written
 
+#: All joins here are on names as many as the commits, and these tables are far smaller as files than in memory: by their files' size Spark would broadcast them through the driver.
+MERGE = "merge"
 #: Edges that leave one chain are dealt into so many parts by their place, so a trunk of very many merges is not one task's.
 PARTS = 16
 
@@ -25,18 +27,18 @@ def chains(edges: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     order = F.col("nth") if "nth" in edges.columns else F.lit(0)
     plain = edges.select("repo", "sha", "parent", order.alias("nth")).dropna(subset=["repo", "sha", "parent"]).where("sha <> parent")
     first = plain.groupBy("repo", "sha").agg(F.min(F.struct("nth", "parent")).alias("least")).selectExpr("repo", "sha", "least.parent as parent")
-    tips = first.join(first.selectExpr("repo", "parent as sha").distinct(), ["repo", "sha"], "left_anti").selectExpr("repo", "sha", "true as tip")
-    offers = first.join(tips, ["repo", "sha"], "left")
+    tips = first.join(first.selectExpr("repo", "parent as sha").distinct().hint(MERGE), ["repo", "sha"], "left_anti").selectExpr("repo", "sha", "true as tip")
+    offers = first.join(tips.hint(MERGE), ["repo", "sha"], "left")
     links = offers.groupBy("repo", "parent").agg(F.min(F.struct(F.coalesce("tip", F.lit(False)).alias("tip"), "sha")).alias("least")).selectExpr("repo", "least.sha as sha", "parent as jump")
     names = plain.select("repo", "sha").union(plain.select("repo", "parent"))
     names = (names if heads is None else names.union(heads.select("repo", "sha").dropna())).distinct()
-    state = written(names.join(links, ["repo", "sha"], "left").selectExpr("repo", "sha", "jump", "cast(if(jump is null, 0, 1) as bigint) as pos", "if(jump is null, sha, null) as chain"))
+    state = written(names.join(links.hint(MERGE), ["repo", "sha"], "left").selectExpr("repo", "sha", "jump", "cast(if(jump is null, 0, 1) as bigint) as pos", "if(jump is null, sha, null) as chain"))
     # Each open commit points 2**round places back, no two to the same, so no name is hot; after as many rounds as the count has bits only circles are open.
     for _ in range(names.count().bit_length() + 1):
         if state.where("jump is not null").isEmpty():
             return state.select("repo", "sha", "chain", "pos")
         further = state.selectExpr("repo", "sha as jump", "jump as next", "pos as more", "chain as oldest")
-        moved = state.where("jump is not null").join(further, ["repo", "jump"]).selectExpr("repo", "sha", "next as jump", "pos + more as pos", "oldest as chain")
+        moved = state.where("jump is not null").join(further.hint(MERGE), ["repo", "jump"]).selectExpr("repo", "sha", "next as jump", "pos + more as pos", "oldest as chain")
         state = written(state.where("jump is null").select("repo", "sha", "jump", "pos", "chain").union(moved))
     raise ValueError("commits that are their own first ancestors")
 
@@ -44,7 +46,7 @@ def chains(edges: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 def crossings(edges: DataFrame, placed: DataFrame) -> DataFrame:
     """repo, chain, pos, to_chain, to_pos: the edges from a commit to a parent that its chain does not hold below it."""
     own, above = placed, placed.selectExpr("repo", "sha as parent", "chain as to_chain", "pos as to_pos")
-    return edges.select("repo", "sha", "parent").join(own, ["repo", "sha"]).join(above, ["repo", "parent"]).where("chain <> to_chain").select("repo", "chain", "pos", "to_chain", "to_pos").distinct()
+    return edges.select("repo", "sha", "parent").join(own.hint(MERGE), ["repo", "sha"]).join(above.hint(MERGE), ["repo", "parent"]).where("chain <> to_chain").select("repo", "chain", "pos", "to_chain", "to_pos").distinct()
 
 
 def reach(heads: DataFrame, placed: DataFrame, crossed: DataFrame) -> DataFrame:
@@ -53,12 +55,12 @@ def reach(heads: DataFrame, placed: DataFrame, crossed: DataFrame) -> DataFrame:
     A round takes the crossings between the place that was known before and the one that is known now, so each crossing meets a head once.
     """
     dealt = written(crossed.withColumn("part", F.pmod("pos", F.lit(PARTS))))
-    fresh = written(heads.select("repo", "sha").distinct().join(placed, ["repo", "sha"]).selectExpr("repo", "sha as head", "chain", "pos as upto", "-1L as since"))
+    fresh = written(heads.select("repo", "sha").distinct().join(placed.hint(MERGE), ["repo", "sha"]).selectExpr("repo", "sha as head", "chain", "pos as upto", "-1L as since"))
     known = fresh.drop("since")
     while not fresh.isEmpty():
         spread = fresh.withColumn("part", F.explode(F.expr(f"sequence(0L, {PARTS - 1}L)")))
-        offers = spread.join(dealt, ["repo", "chain", "part"]).where("pos > since and pos <= upto").groupBy("repo", "head", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("upto"))
-        better = offers.join(known.withColumnRenamed("upto", "since"), ["repo", "head", "chain"], "left").where("since is null or upto > since")
+        offers = spread.join(dealt.hint(MERGE), ["repo", "chain", "part"]).where("pos > since and pos <= upto").groupBy("repo", "head", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("upto"))
+        better = offers.join(known.withColumnRenamed("upto", "since").hint(MERGE), ["repo", "head", "chain"], "left").where("since is null or upto > since")
         fresh = written(better.selectExpr("repo", "head", "chain", "upto", "coalesce(since, -1L) as since"))
         known = written(known.union(fresh.drop("since")).groupBy("repo", "head", "chain").agg(F.max("upto").alias("upto")))
     return known
@@ -75,15 +77,15 @@ def commit_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     placed = chains(edges, heads)
     crossed = written(crossings(edges, placed))
     known = reach(heads, placed, crossed)
-    sides = pairs.join(known.withColumnRenamed("head", "a"), ["repo", "a"]).selectExpr("repo", "a", "b", "chain", "upto as one", "-1L as two")
-    sides = sides.union(pairs.join(known.withColumnRenamed("head", "b"), ["repo", "b"]).selectExpr("repo", "a", "b", "chain", "-1L", "upto"))
+    sides = pairs.join(known.withColumnRenamed("head", "a").hint(MERGE), ["repo", "a"]).selectExpr("repo", "a", "b", "chain", "upto as one", "-1L as two")
+    sides = sides.union(pairs.join(known.withColumnRenamed("head", "b").hint(MERGE), ["repo", "b"]).selectExpr("repo", "a", "b", "chain", "-1L", "upto"))
     both = written(sides.groupBy("repo", "a", "b", "chain").agg(F.max("one").alias("one"), F.max("two").alias("two")).withColumn("upto", F.least("one", "two")))
     at = placed.selectExpr("repo", "sha as a", "chain as a_chain", "pos as a_pos")
-    counts = both.join(at, ["repo", "a"]).groupBy("repo", "a", "b").agg(F.sum(F.expr("one - upto")).alias("ahead"), F.sum(F.expr("two - upto")).alias("behind"), F.max(F.expr("chain = a_chain and two >= a_pos")).alias("is_ancestor"))
+    counts = both.join(at.hint(MERGE), ["repo", "a"]).groupBy("repo", "a", "b").agg(F.sum(F.expr("one - upto")).alias("ahead"), F.sum(F.expr("two - upto")).alias("behind"), F.max(F.expr("chain = a_chain and two >= a_pos")).alias("is_ancestor"))
     # A common ancestor is no base if it is the parent of one: on its own chain all but the last are, the last by a crossing from a common place.
     last = both.where("upto >= 0").select("repo", "a", "b", "chain", "upto")
-    behind = last.join(crossed.selectExpr("repo", "to_chain as chain", "to_pos as upto", "chain as from_chain", "pos as from_pos"), ["repo", "chain", "upto"])
-    behind = behind.join(last.selectExpr("repo", "a", "b", "chain as from_chain", "upto as common"), ["repo", "a", "b", "from_chain"]).where("from_pos <= common").select("repo", "a", "b", "chain").distinct()
-    bases = last.join(behind, ["repo", "a", "b", "chain"], "left_anti").join(placed.withColumnRenamed("pos", "upto"), ["repo", "chain", "upto"])
+    behind = last.join(crossed.selectExpr("repo", "to_chain as chain", "to_pos as upto", "chain as from_chain", "pos as from_pos").hint(MERGE), ["repo", "chain", "upto"])
+    behind = behind.join(last.selectExpr("repo", "a", "b", "chain as from_chain", "upto as common").hint(MERGE), ["repo", "a", "b", "from_chain"]).where("from_pos <= common").select("repo", "a", "b", "chain").distinct()
+    bases = last.join(behind.hint(MERGE), ["repo", "a", "b", "chain"], "left_anti").join(placed.withColumnRenamed("pos", "upto").hint(MERGE), ["repo", "chain", "upto"])
     bases = bases.groupBy("repo", "a", "b").agg(F.array_join(F.array_sort(F.collect_list("sha")), ",").alias("bases"))
-    return counts.join(bases, ["repo", "a", "b"], "left").select("repo", "a", "b", "ahead", "behind", "is_ancestor", F.coalesce("bases", F.lit("")).alias("bases"))
+    return counts.join(bases.hint(MERGE), ["repo", "a", "b"], "left").select("repo", "a", "b", "ahead", "behind", "is_ancestor", F.coalesce("bases", F.lit("")).alias("bases"))

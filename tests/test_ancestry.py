@@ -57,3 +57,10 @@ def test_chains_follow_first_parents_that_go_on(spark):
     placed = {r["sha"]: (r["chain"], r["pos"]) for r in ancestry.chains(edges).collect()}
     assert placed == {"1": ("1", 0), "2": ("1", 1), "3": ("1", 2), "a": ("a", 0)}
     assert [tuple(r) for r in ancestry.crossings(edges, ancestry.chains(edges)).orderBy("chain", "to_chain").collect()] == [("x", "1", 2, "a", 0), ("x", "a", 0, "1", 0)]
+
+
+def test_no_table_as_large_as_the_history_is_broadcast(spark):
+    edges = spark.createDataFrame([("r", str(i), str(i - 1)) for i in range(1, 9)] + [("r", "8", "5")], "repo string, sha string, parent string")
+    found = ancestry.commit_graph(edges, spark.createDataFrame([("r", "3", "8")], "repo string, a string, b string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["ahead"], r["behind"], r["is_ancestor"]) for r in found.collect()] == [(0, 5, True)]
