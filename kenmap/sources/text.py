@@ -162,7 +162,8 @@ def python_imports(files: DataFrame) -> DataFrame:
     based = import_statements(files).withColumn("base", F.expr(f"if(level = 0 or level - 1 > size({folders}), '', array_join(slice({folders}, 1, size({folders}) - level + 1), '.'))"))
     whole = based.withColumn("whole", F.expr("concat_ws('.', nullif(base, ''), nullif(module, ''))"))
     named = whole.select("path", F.explode(F.expr("array(whole, if(name is null or name = '*' or whole = '', null, concat(whole, '.', name)))")).alias("module"))
-    return named.where("module <> ''").join(modules, "module").where("path <> dependency").select(F.col("path").alias("dependent"), "dependency").distinct()
+    # the modules are as many as the files, while a short text that makes them looks small: they must not be broadcast
+    return named.where("module <> ''").join(modules.hint("merge"), "module").where("path <> dependency").select(F.col("path").alias("dependent"), "dependency").distinct()
 
 
 def rules(spark: SparkSession, content: str, sections: bool = False) -> DataFrame:

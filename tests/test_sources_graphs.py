@@ -148,3 +148,10 @@ def test_hysteresis_waits_and_jumps():
 def test_stream_windows(spark, sf):
     rows = ingest.drained(ingest.windowed(ingest.event_stream(spark, sf)), ["start", "event_type"])
     assert rows.agg({"events": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_modules_as_many_as_the_files_are_not_broadcast(spark):
+    files = spark.createDataFrame([("a.py", "import b"), ("b.py", "")], "path string, value string")
+    found = text.python_imports(files)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("a.py", "b.py")]
