@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from kenmap.params import Params
-from kenmap.plans.storage import kept
+from kenmap.plans.storage import kept, written
 
 _INPUT = re.compile(r"\{([a-z_]\w*)\}")
 _BRACES = re.compile(r"\{([a-z_]\w*)\}|[{}]")
@@ -85,6 +85,8 @@ class Operator:
     doc: str = ""
     #: Where Spark's SQL can't say it: makes the table of the inputs' tables, by name.
     build: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    #: The same SELECT over steps that Spark shares between operators, for engines that pin; ``sql`` stays the definition.
+    shared: str = ""
 
     @property
     def inputs(self) -> list[str]:
@@ -111,14 +113,18 @@ class Engine:
     #: Owner-level results that many steps of one report read: written once to the checkpoint folder, which also keeps the plans above them small.
     pinned: frozenset[str] = frozenset({"scored", "winners", "drift", "findings"})
 
+    #: Steps that are read again as files: wide tables of which each reader takes some columns and rows.
+    stored: frozenset[str] = frozenset({"line_items", "events"})
+
     def table(self, name: str) -> DataFrame:
         if name not in self.facts:
             op = self.operators[name]
-            sql = with_params(in_dialect(op.sql, 0), self.params)
+            text = op.shared if op.shared and self.pinned else op.sql
+            sql = with_params(in_dialect(text, 0), self.params)
             plain = _BRACES.sub(lambda m: m[0] if m[1] else 2 * m[0], sql)  # other braces are ordinary text
-            inputs = {i: self.table(i) for i in op.inputs}
+            inputs = {i: self.table(i) for i in dict.fromkeys(_INPUT.findall(text))}
             made = op.build(inputs) if op.build else self.spark.sql(plain, **inputs)
-            self.facts[name] = kept(made) if name in self.pinned else made
+            self.facts[name] = kept(made) if name in self.pinned else written(made) if self.pinned and name in self.stored else made
         return self.facts[name]
 
 
