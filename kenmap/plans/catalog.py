@@ -45,14 +45,21 @@ def engine(spark: SparkSession, sf_dir: str, params: Params = Params(), pinned:
 
 #: Lines of the history for each partition of a shuffle, and bytes for each task that reads one: so a task's memory does not grow with the tables.
 PARTITION_LINES, TASK_BYTES = 100_000, "16m"
+#: Lines for each bucket of small tables, which have no more buckets than a shuffle has partitions.
+BUCKET_LINES = 20_000
 
 
-def sized(spark: SparkSession, lines: int) -> None:
-    """Let shuffles have partitions by the size of the history; the settings are the session's, as Spark has no narrower place for them."""
-    at_least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines // PARTITION_LINES)
+def sized(spark: SparkSession, lines: int) -> int:
+    """Let shuffles have partitions by the size of the history; the settings are the session's, as Spark has no narrower place for them.
+
+    Gives the buckets for that history: tables of few lines have few.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at_least = max(usual, lines // PARTITION_LINES)
     if at_least > int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(at_least))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+    return max(lines // PARTITION_LINES, min(usual, lines // BUCKET_LINES + 1))
 
 
 _SHARED: dict[tuple, tuple[tuple[str, ...], Engine]] = {}
@@ -64,8 +71,8 @@ def shared(spark: SparkSession, sf_dir: str) -> Engine:
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     held = _SHARED.get(key)
     if held is None or held[0] != files:
-        sized(spark, spark.table("lineitem").count())
-        _SHARED[key] = (files, Engine(spark, adapter.OPERATORS | OPERATORS, {}))
+        parts = sized(spark, spark.table("lineitem").count())
+        _SHARED[key] = (files, Engine(spark, adapter.OPERATORS | OPERATORS, {}, parts=parts))
     return _SHARED[key][1]
 
 

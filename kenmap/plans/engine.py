@@ -9,13 +9,15 @@ inputs as one self-contained statement, for any other SQL engine that is to chec
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kenmap.params import Params
-from kenmap.plans.storage import kept, written
+from kenmap.plans.storage import bucketed, kept
 
 _INPUT = re.compile(r"\{([a-z_]\w*)\}")
 _BRACES = re.compile(r"\{([a-z_]\w*)\}|[{}]")
@@ -113,8 +115,12 @@ class Engine:
     #: Owner-level results that many steps of one report read: written once to the checkpoint folder, which also keeps the plans above them small.
     pinned: frozenset[str] = frozenset({"scored", "winners", "drift", "findings"})
 
-    #: Steps that are read again as files: wide tables of which each reader takes some columns and rows.
+    #: Steps that are read again as files, in buckets by their path: wide tables of which each reader takes some columns and rows and groups them by path.
     stored: frozenset[str] = frozenset({"line_items", "events"})
+    #: Steps of at most a row a person: sent to all tasks, as a join by person would gather each person's whole history in one task.
+    small: frozenset[str] = frozenset({"bot_authors", "mechanical_authors"})
+    #: Buckets of the stored steps; as many as a shuffle has partitions where it is 0.
+    parts: int = 0
 
     def table(self, name: str) -> DataFrame:
         if name not in self.facts:
@@ -122,11 +128,27 @@ class Engine:
             text = op.shared if op.shared and self.pinned else op.sql
             sql = with_params(in_dialect(text, 0), self.params)
             plain = _BRACES.sub(lambda m: m[0] if m[1] else 2 * m[0], sql)  # other braces are ordinary text
-            inputs = {i: self.table(i) for i in dict.fromkeys(_INPUT.findall(text))}
+            inputs = {i: F.broadcast(self.table(i)) if i in self.small else self.table(i) for i in dict.fromkeys(_INPUT.findall(text))}
             made = op.build(inputs) if op.build else self.spark.sql(plain, **inputs)
-            self.facts[name] = kept(made) if name in self.pinned else written(made) if self.pinned and name in self.stored else made
+            with self._as_it_lies(name == "scored" and bool(self.pinned)):
+                self.facts[name] = kept(made) if name in self.pinned else self._stored(made) if self.pinned and name in self.stored else made
         return self.facts[name]
 
+    @contextmanager
+    def _as_it_lies(self, yes: bool) -> Iterator[None]:
+        """Let joins by path and person take what lies in buckets by path as it lies; only for steps all of whose large inputs do."""
+        setting = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(setting)
+        if yes:
+            self.spark.conf.set(setting, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(setting, before)
+
+    def _stored(self, made: DataFrame) -> DataFrame:
+        return bucketed(made, "path", self.parts or int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 def statement(operators: Mapping[str, Operator], name: str, params: Params, which: int = 1) -> str:
     """One statement for ``name``: its inputs as common table expressions; what is no operator is a table of the database."""

@@ -30,3 +30,17 @@ def test_shuffles_have_partitions_by_the_history(spark):
         assert spark.conf.get(key) == "360"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_scores_read_the_history_in_buckets_by_path_and_never_gather_a_person(spark, sf):
+    own = catalog.engine(spark, sf)
+    own.pinned = own.pinned - {"scored"}
+    key, plans = "spark.sql.requireAllClusterKeysForCoPartition", []
+    usual = spark.conf.get(key)
+    for name in ("kept_contributions", "blame_share"):
+        plans.append(own.table(name)._jdf.queryExecution().executedPlan().toString())
+    large = [line for plan in plans for line in plan.splitlines() if "Join [author" in line]
+    assert large and all("BroadcastHashJoin" in line for line in large)
+    assert "Exchange hashpartitioning(path" not in plans[1] and "Bucketed: true" in plans[1]
+    catalog.engine(spark, sf).table("scored")
+    assert spark.conf.get(key) == usual
