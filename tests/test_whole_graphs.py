@@ -100,6 +100,15 @@ def test_ranks_and_strong_components(spark):
     assert [tuple(r) for r in empty] == [("x", 0, False, None)]
 
 
+def test_a_level_is_written_once(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(components, "written", lambda df: sizes.append(df.count()) or df.localCheckpoint())
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(6)]
+    flat, rest = components.layers(frame(spark, [*chain, ("x", "y"), ("y", "x")]), spark.createDataFrame([(f"n{i}",) for i in range(7)] + [("x",), ("y",)], "node string"))
+    assert {r["node"]: r["level"] for r in flat.collect()} == {f"n{i}": i for i in range(7)} and rest.count() == 2
+    assert sizes == [8, 9, 8, 7, 6, 5, 4, 3, 2, 7]  # edges, then what waits, round by round, then the levels
+
+
 def plain_living(touches, history):
     """The files one after the other, commit after commit."""
     steps = sorted({m[0] for m in history})
