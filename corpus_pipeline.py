@@ -57,7 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, WORD_BPE)
+    return packing.pack_documents(docs, WORD_BPE, lean=True)
 
 
 STAGES = [

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kenmap.llm.shared import keep, small_batches
-from kenmap.llm.token_ids import SLICE, token_ids
+from kenmap.llm.shared import give_back, keep, small_batches
+from kenmap.llm.token_ids import ENTRIES, SLICE, token_ids
 
 GROUP_ROWS = 60_000
+#: Documents at once and words of the memo where a worker is to stay small.
+LEAN_SLICE, LEAN_ENTRIES = 250, 75_000
 
 
 class SumOfSquares:
@@ -92,14 +94,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS)
     return grouped.groupBy("__group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document's ids (closed by ``closing_id``), cut where longer than ``capacity``."""
+def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int = 0, lean: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each document's ids (closed by ``closing_id``), cut where longer than ``capacity``.
+
+    The memo of encoded words is left in the worker for its next task, which saves time.  Where other stages need the memory, ``lean`` keeps the memo and
+    the slices of documents small and leaves nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, closing, width = token_ids(path), struct.pack("=I", closing_id), 4 * capacity
-        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+        rows_at_once, entries = (LEAN_SLICE, LEAN_ENTRIES) if lean else (SLICE, ENTRIES)
+        for b in (whole.slice(at, rows_at_once) for whole in batches for at in range(0, whole.num_rows, rows_at_once)):
             rows: list[tuple] = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).cast(pa.binary()).to_pylist())):
+            for doc_id, raw in zip(b.column(0).to_pylist(), own.raw(b.column(1).cast(pa.binary()).to_pylist(), entries)):
                 raw += closing
                 if sys.byteorder == "big":
                     raw = np.frombuffer(raw, "=u4").astype("<u4").tobytes()
@@ -109,11 +116,14 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, closing_id: int
             cols = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if lean:
+            own.forget()
+            give_back()
 
     small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, capacity: int = 2048, lean: bool = False) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(token_pieces(df, path, capacity), capacity)
+    return pack(token_pieces(df, path, capacity, lean=lean), capacity)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kenmap.plans.storage import kept
@@ -22,6 +24,15 @@ def release() -> None:
         if found is not None:
             getattr(found, holder).cache_clear()
     gc.collect()  # also what the task before left in reference cycles
+    give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system: Arrow's pool and the C library else keep it, while a worker waits for the stages that need none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -40,21 +40,25 @@ class TokenIds:
         cuts = all(alike(x + y) == alike(x, y) for x in ("word", "wörd", "id9") for y in (".", ",", "!?", "...", "###", "&&&", ";:|"))
         self.derives = folds and cuts
 
-    def raw(self, texts: list[bytes | None]) -> list[bytes]:
+    def forget(self) -> None:
+        """Free the memo."""
+        self.young, self.old = {}, {}
+
+    def raw(self, texts: list[bytes | None], entries: int = ENTRIES) -> list[bytes]:
         """As ``_raw``, without walks of the garbage collector over the memo meanwhile."""
         gc.disable()
         try:
-            return self._raw(texts)
+            return self._raw(texts, entries)
         finally:
             gc.enable()
 
-    def _raw(self, texts: list[bytes | None]) -> list[bytes]:
+    def _raw(self, texts: list[bytes | None], entries: int) -> list[bytes]:
         """The ids of each UTF-8 text as unsigned 32-bit numbers in the machine's byte order; at most ``SLICE`` texts a call keep memory bounded."""
         parts = [t.split() if t else [] for t in texts]  # ASCII white space; other white space stays in a chunk, where the library finds it
         wanted: set[bytes] = set()
         for p in parts:
             wanted.update(p)
-        if len(self.young) > ENTRIES:
+        if len(self.young) > entries:
             self.young, self.old = {}, self.young
         once: dict[bytes, bytes] = {}
         young, old = self.young, self.old

@@ -1,9 +1,10 @@
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from kenmap.llm import queries
+from kenmap.llm import packing, queries
 
 
 def test_stages_shrink_and_keep_columns(spark, sf):
@@ -48,3 +49,23 @@ def test_sql_gives_the_same_rows(spark, sf, name):
 @pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_for_each_operator(n):
     assert sum(name.startswith(f"op{n}_") for name in entry.queries()) == 1
+
+
+def test_packing_leaves_no_memo_in_the_workers(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def held(batches):
+        from kenmap.llm.token_ids import token_ids
+
+        own = token_ids(queries.WORD_BPE)
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(own.young) + len(own.old)], pa.int64())], ["held"])
+
+    def most():
+        return spark.range(0, 64, 1, 8).selectExpr("id as held").mapInArrow(held, "held long").agg({"held": "max"}).head()[0]
+
+    packing.token_pieces(docs, queries.WORD_BPE).count()
+    assert most() > 0  # op7 keeps it from task to task
+    corpus_pipeline.best_fit(spark, docs.repartition(16), sf).count()
+    assert most() == 0
