@@ -14,6 +14,27 @@ def test_facts_over_shared_lines_are_those_of_their_definitions(spark, sf):
         assert got.columns == want.columns and rows(got) == rows(want), name
 
 
+def test_facts_by_person_join_no_supplier_and_no_customer_again(spark, sf):
+    own = catalog.engine(spark, sf)
+    for name in adapter.SHARED:
+        plan = own.table(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [key for key in ("l_suppkey", "s_suppkey", "o_custkey", "c_custkey") if key in plan], name
+
+
+def test_facts_over_shared_lines_hold_where_keys_are_missing_or_stand_twice(spark, sf, tmp_path):
+    for name in adapter.TABLES:
+        table = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name in ("supplier", "customer"):
+            key, nation = table.columns[0], f"{name[0]}_nationkey"
+            moved = table.where(F.col(key) % 3 == 0).withColumn(nation, (F.col(nation) + 1) % 25)
+            table = table.where(F.col(key) % 5 != 0).union(moved).union(table.where(F.col(key) % 4 == 1)).union(table.where(F.col(key) % 7 == 1).withColumn(nation, F.lit(None).cast("int")))
+        if name in ("lineitem", "orders"):
+            key = "l_suppkey" if name == "lineitem" else "o_custkey"
+            table = table.withColumn(key, F.when(F.xxhash64("*") % 6 != 0, F.col(key)))
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    test_facts_over_shared_lines_are_those_of_their_definitions(spark, str(tmp_path))
+
+
 def test_lines_meet_their_orders_and_paths_once(spark, sf):
     own = catalog.engine(spark, sf)
     plan = own.table("signals")._jdf.queryExecution().optimizedPlan().toString()
