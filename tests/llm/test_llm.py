@@ -247,6 +247,28 @@ def test_packing_is_gapless_lossless_and_tight(spark):
     assert packing.pack_documents(table(spark, []), WORD).count() == 0
 
 
+def test_words_of_letters_are_read_as_one_text_with_the_ids_of_each():
+    own, words = TokenIds(WORD), ["plain", "Mixed", "größe", "Ünder", "a", "s", "ß", "x" * 90, "it's", "id9", "ſ", "e\u0301t", "日本", "<|endoftext|>", "\x01"]
+    library, slow, plain = own.library, [], []
+
+    class Counting:
+        def encode(self, chunks, **kw):
+            slow.extend(chunks)
+            return library.encode(chunks, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            plain.extend(texts[0].split(" "))
+            return library.encode_batch_fast(texts, **kw)
+
+    own.library = Counting()
+    got = [np.frombuffer(raw, "=u4").tolist() for raw in own.raw([w.encode() for w in words])]
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert {"plain", "mixed", "größe", "a", "ß"} <= set(plain) and not set(plain) & set(slow)
+    own.closes[:] = False  # closing tokens that are not one a word: all go the other way
+    own.forget()
+    assert [np.frombuffer(raw, "=u4").tolist() for raw in own.raw([w.encode() for w in words])] == got
+
+
 def test_binary_output_rows_hold_every_id(spark):
     docs = table(spark, list(enumerate(AWKWARD)), clash=True)
     library, back = Tokenizer.from_file(WORD), {}
